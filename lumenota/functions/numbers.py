@@ -15,10 +15,14 @@ CENT = "0.01"
 SUM_CAP = "1.00"
 
 
-def dec(value: str, precision: int = 38, scale: int | None = None) -> Column:
-    """A decimal literal of the text ``value``."""
+def dec(value: str, precision: int | None = None, scale: int | None = None) -> Column:
+    """A decimal literal of the text ``value``, as narrow as its digits.
+
+    A wide literal would make Spark drop fraction digits of the other side of a comparison.
+    """
     places = scale if scale is not None else len(value.partition(".")[2])
-    return F.lit(value).cast(f"decimal({precision},{places})")
+    digits = sum(character.isdigit() for character in value)
+    return F.lit(value).cast(f"decimal({precision or digits},{places})")
 
 
 def full_match(col: Column, pattern: str) -> Column:

@@ -362,7 +362,7 @@ def true_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answered_headers(headers: DataFrame) -> DataFrame:
-    """The headers as answered: one misreading for each of the first 25 values of ``g``."""
+    """The headers as answered: the misreading ``g`` stands for, if any."""
     g = F.col("g")
     cnpj, tax_id = F.col("issuer.cnpj"), F.col("recipient.tax_id")
     key, date = F.col("access_key"), F.col("issue_date")
@@ -385,12 +385,17 @@ def answered_headers(headers: DataFrame) -> DataFrame:
         F.when((g == 7) & F.col("issuer.ie").isNull(), "X")
         .when(g != 7, F.col("issuer.ie"))
         .alias("ie"),
-        F.when(g == 15, "XX").otherwise(F.col("issuer.uf")).alias("uf"),
+        F.when(g == 15, "XX")
+        .when((g == 29) & (F.col("issuer.uf") == "SP"), "RJ")
+        .when(g == 29, "SP")
+        .otherwise(F.col("issuer.uf"))
+        .alias("uf"),
     )
     kind = F.col("recipient.tax_id_kind")
     recipient = F.struct(
         F.when(g == 1, cnpj)
         .when(g == 16, "abc")
+        .when(g == 28, "123")
         .when(g == 17, wrong_digit)
         .when(g == 18, F.repeat(F.lit("1"), F.length(tax_id)))
         .otherwise(tax_id)

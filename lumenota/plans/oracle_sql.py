@@ -15,10 +15,12 @@ UF_CODE_ARRAY = "[" + ",".join(f"'{ids.UF_CODES[uf]}'" for uf in UF_LIST) + "]"
 
 def mod11(text: str, weights: tuple[int, ...]) -> str:
     """The mod-11 digit of ``text`` as an integer expression."""
-    total = "+".join(
-        f"(ascii(substr({text},{i + 1},1))-48)*{weight}" for i, weight in enumerate(weights)
+    listed = "[" + ",".join(str(weight) for weight in weights) + "]"
+    total = (
+        f"list_sum(list_transform(range(1,{len(weights) + 1}), "
+        f"lambda i: (ascii(substr({text},i,1))-48)*{listed}[i]))"
     )
-    return f"(CASE WHEN ({total})%11<2 THEN 0 ELSE 11-(({total})%11) END)"
+    return f"(((11-(({total})%11))%11)%10)::INTEGER"
 
 
 def two_digits(base: str, first: tuple[int, ...], second: tuple[int, ...]) -> str:
@@ -147,7 +149,7 @@ cases AS (
       CASE WHEN o_totalprice<150000 THEN 'short' WHEN o_totalprice<350000 THEN 'medium'
            ELSE 'many_items' END,
       CASE WHEN o_totalprice>=350000 THEN 'multi_page' ELSE 'single_page' END,
-      CASE WHEN c_mktsegment='MACHINERY' THEN 'mixed_tax_codes' END], x -> x IS NOT NULL) AS tags
+      CASE WHEN c_mktsegment='MACHINERY' THEN 'mixed_tax_codes' END], lambda x: x IS NOT NULL) AS tags
   FROM ordered)
 """
 
@@ -194,8 +196,9 @@ p_head AS (
     CASE g WHEN 1 THEN recipient_name WHEN 12 THEN substr(issuer_name,1,length(issuer_name)-1)
       ELSE issuer_name END AS issuer_name,
     CASE WHEN g=7 AND issuer_ie IS NULL THEN 'X' WHEN g<>7 THEN issuer_ie END AS issuer_ie,
-    CASE WHEN g=15 THEN 'XX' ELSE issuer_uf END AS issuer_uf,
-    CASE g WHEN 1 THEN issuer_cnpj WHEN 16 THEN 'abc' WHEN 17 THEN substr(tax_id,1,length(tax_id)-1)
+    CASE WHEN g=15 THEN 'XX' WHEN g=29 AND issuer_uf='SP' THEN 'RJ' WHEN g=29 THEN 'SP'
+      ELSE issuer_uf END AS issuer_uf,
+    CASE g WHEN 1 THEN issuer_cnpj WHEN 16 THEN 'abc' WHEN 28 THEN '123' WHEN 17 THEN substr(tax_id,1,length(tax_id)-1)
       ||CASE WHEN right(tax_id,1)='0' THEN '1' ELSE '0' END
       WHEN 18 THEN repeat('1',length(tax_id)) ELSE tax_id END AS tax_id,
     CASE WHEN g=20 AND tax_id_kind='cpf' THEN 'cnpj' WHEN g=20 THEN 'cpf' ELSE tax_id_kind END
