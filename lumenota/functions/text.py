@@ -144,6 +144,42 @@ def one_insert_or_delete(left: Column, right: Column) -> Column:
     return F.coalesce((F.length(longer) == F.length(shorter) + 1) & found, F.lit(False))
 
 
+def edit_class(left: Column, right: Column) -> Column:
+    """``transposition``, ``substitution``, ``count`` or null: the one-step edit between two texts.
+
+    The end of the common prefix and of the common suffix decide; no character array is built.
+    """
+    n, m = F.length(left), F.length(right)
+    longest = F.greatest(n, m)
+    spots = F.sequence(F.lit(1), F.greatest(longest, F.lit(1)))
+    one = F.lit(1)
+    first = F.array_position(
+        F.transform(
+            spots, lambda i: F.substring(left, i, one) == F.substring(right, i, one)
+        ),
+        F.lit(False),
+    ).cast("int")
+    head_left, head_right = F.substring(left, first, one), F.substring(right, first, one)
+    next_left, next_right = F.substring(left, first + 1, one), F.substring(right, first + 1, one)
+    after = lambda text, k: F.substring(text, first + k, longest)
+    substituted = (n == m) & (after(left, 1) == after(right, 1))
+    swapped = (
+        (n == m)
+        & (head_left == next_right)
+        & (next_left == head_right)
+        & (head_left != next_left)
+        & (after(left, 2) == after(right, 2))
+    )
+    counted = F.when(n == m + 1, after(left, 1) == after(right, 0)).when(
+        m == n + 1, after(right, 1) == after(left, 0)
+    )
+    close = F.abs(n - m) <= 1
+    kind = (
+        F.when(swapped, "transposition").when(substituted, "substitution").when(counted, "count")
+    )
+    return F.when(close & (left != right), kind)
+
+
 def text_ratio_at_least(left: Column, right: Column) -> Column:
     """Whether the matching-block ratio of two texts is at least 0.9.
 

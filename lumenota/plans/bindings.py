@@ -361,8 +361,14 @@ def true_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def answered_headers(headers: DataFrame) -> DataFrame:
-    """The headers as answered: the misreading ``g`` stands for, if any."""
+HEADER_COLUMNS = (
+    "access_key", "number", "series", "issue_date", "operation_nature", "issuer", "recipient",
+    "totals",
+)
+
+
+def _answered_fields() -> dict[str, Column]:
+    """The header fields as answered: the misreading ``g`` stands for, if any."""
     g = F.col("g")
     cnpj, tax_id = F.col("issuer.cnpj"), F.col("recipient.tax_id")
     key, date = F.col("access_key"), F.col("issue_date")
@@ -434,11 +440,29 @@ def answered_headers(headers: DataFrame) -> DataFrame:
         "recipient": recipient,
         "totals": F.struct(*[box[name].cast(MONEY).alias(name) for name in TOTAL_FIELDS]),
     }
+    return changes
+
+
+def answered_headers(headers: DataFrame) -> DataFrame:
+    changes = _answered_fields()
     return headers.select(
         *[changes.get(name, F.col(name)).alias(name) for name in headers.columns]
     )
 
 
+def header_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``case_id, g, status, t, p``: the true and the answered header of each order, no join."""
+    changes = _answered_fields()
+    answered = [changes.get(name, F.col(name)).alias(name) for name in HEADER_COLUMNS]
+    return true_headers(spark, sf_dir).select(
+        "case_id",
+        "g",
+        case_status(F.col("g")).alias("status"),
+        F.struct(*HEADER_COLUMNS).alias("t"),
+        F.struct(*answered).alias("p"),
+    )
+
+
 def headers_with_item_totals(headers: DataFrame, items: DataFrame) -> DataFrame:
     """Headers whose four item boxes and total are the sums of ``items`` (zero without items)."""
     summed = with_item_sums(headers, items)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumenota.plans import (
     queries_functions,  # noqa: F401
+    queries_grading,  # noqa: F401
     queries_rules,  # noqa: F401
 )
 from lumenota.plans.registry import ORACLES, QUERIES
