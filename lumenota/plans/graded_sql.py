@@ -183,16 +183,16 @@ def _copied() -> str:
     rows = []
     for column in tags.OTHER_ROW_COLUMNS:
         if column in ("code", "description"):
-            true, mine = norm_name(f"t_{column}"), norm_name(f"p_{column}")
+            true, mine = norm_name(f"t_{column}"), norm_name(f"m.p_{column}")
         elif column == "ncm":
-            true, mine = norm_id("t_ncm"), norm_id("p_ncm")
+            true, mine = norm_id("t_ncm"), norm_id("m.p_ncm")
         else:
-            true, mine = f"CAST(t_{column} AS VARCHAR)", f"CAST(p_{column} AS VARCHAR)"
+            true, mine = f"CAST(t_{column} AS VARCHAR)", f"CAST(m.p_{column} AS VARCHAR)"
         zero = f" AND m.p_{column}<>0" if column in g.NUMERIC_COLUMNS else ""
         rows.append(
             f"SELECT DISTINCT m.case_id, m.pos, '{column}' AS col FROM matched m JOIN "
             f"(SELECT DISTINCT case_id, {true} AS v FROM t_items) t ON m.case_id=t.case_id "
-            f"AND {mine.replace('p_', 'm.p_')}=t.v WHERE NOT {item_right(column)}{zero}"
+            f"AND {mine}=t.v WHERE NOT {item_right(column)}{zero}"
         )
     return f"copied AS ({' UNION ALL '.join(rows)})"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenota.operators import grading as g
+from lumenota.operators import matching as m
 from lumenota.operators import tags
 from lumenota.plans import bindings as b
 from lumenota.plans import graded_sql as s
@@ -362,6 +363,63 @@ def party_crossover(spark, sf):
     return graded_run(spark, sf).header.select("case_id", "crossover")
 
 
+_SCORE = " + ".join(
+    f"CASE WHEN coalesce({test},false) THEN {m.ITEM_WEIGHTS[name]} ELSE 0 END"
+    for name, test in (
+        ("code", f"{s.norm_name('a.p_code')}={s.norm_name('t.t_code')}"),
+        ("description", f"{s.norm_name('a.p_description')}={s.norm_name('t.t_description')}"),
+        ("ncm", "a.p_ncm=t.t_ncm"),
+        ("unit", "a.p_unit=t.t_unit"),
+        ("quantity", "a.p_quantity=t.t_quantity"),
+        ("unit_price", "a.p_unit_price=t.t_unit_price"),
+        ("total", "a.p_total=t.t_total"),
+    )
+)
+CANDIDATES = f"""scored AS (SELECT t.case_id, t.pos AS true_row, a.pos AS predicted_row, {_SCORE} AS score
+  FROM t_items t JOIN p_items a USING (case_id)),
+candidates AS (SELECT * FROM scored WHERE score>={m.ITEM_MINIMUM})"""
+
+
+def _both_sides(spark, sf):
+    links = b.item_links(spark, sf)
+    return b.true_items(links), b.answered_items(links)
+
+
+@query("j06_candidate_pairs", q.with_ctes(q.LINKS, CANDIDATES, select="SELECT * FROM candidates"))
+def candidate_pairs(spark, sf):
+    found = m.candidate_pairs(*_both_sides(spark, sf), "item")
+    return found.withColumnRenamed("row", "true_row")
+
+
+@query(
+    "j07_settled_pairs",
+    q.with_ctes(
+        q.LINKS, CANDIDATES,
+        """degrees AS (SELECT *, count(*) OVER (PARTITION BY case_id, true_row) AS true_degree,
+          count(*) OVER (PARTITION BY case_id, predicted_row) AS answer_degree FROM candidates)""",
+        select="SELECT * FROM degrees",
+    ),
+)
+def settled_pairs(spark, sf):
+    found = m.with_degrees(m.candidate_pairs(*_both_sides(spark, sf), "item"))
+    return found.withColumnRenamed("row", "true_row")
+
+
+@query("j07_match_rows")
+def match_rows(spark, sf):
+    """The optimal one-to-one pairs of all items (checked against brute force in the tests)."""
+    return m.match_rows(*_both_sides(spark, sf), "item").withColumnRenamed("row", "true_row")
+
+
+@query("j07_match_installments")
+def match_installments(spark, sf):
+    links = b.installment_links(spark, sf)
+    found = m.match_rows(
+        b.flat_installments(links, "t"), b.flat_installments(links, "p"), "installment"
+    )
+    return found.withColumnRenamed("row", "true_row")
+
+
 # --- tags -------------------------------------------------------------------------------------
 
 
