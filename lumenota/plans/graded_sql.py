@@ -236,12 +236,12 @@ factual AS (SELECT w.*, status, crossover,
       WHEN 'header' THEN path IN ('operation_nature','issuer.name','recipient.name') ELSE false END
       AS near_text
   FROM wrong w JOIN gcase USING (case_id) JOIN crossed USING (case_id)
-  LEFT JOIN merged_cells mc ON w.case_id=mc.case_id AND w.row=mc.pos AND w.col=mc.col
+  LEFT JOIN (SELECT case_id, pos, col AS c2 FROM merged_cells) mc ON w.case_id=mc.case_id AND w.row=mc.pos AND w.col=mc.c2
   LEFT JOIN merged_lost ml ON w.case_id=ml.case_id AND w.row=ml.pos
-  LEFT JOIN split_cells sc ON w.case_id=sc.case_id AND w.row=sc.pos AND w.col=sc.col
+  LEFT JOIN (SELECT case_id, pos, col AS c2 FROM split_cells) sc ON w.case_id=sc.case_id AND w.row=sc.pos AND w.col=sc.c2
   LEFT JOIN split_gained sg ON w.case_id=sg.case_id AND w.prow=sg.pos
   LEFT JOIN last_row lr ON w.case_id=lr.case_id
-  LEFT JOIN copied co ON w.case_id=co.case_id AND w.row=co.pos AND w.col=co.col),
+  LEFT JOIN (SELECT case_id, pos, col AS c2 FROM copied) co ON w.case_id=co.case_id AND w.row=co.pos AND w.col=co.c2),
 digital AS (SELECT *, CASE WHEN num THEN TRY_CAST(predicted AS DECIMAL(38,10)) END AS np,
   CASE WHEN num THEN TRY_CAST(expected AS DECIMAL(38,10)) END AS ne,
   CASE WHEN num OR idl THEN regexp_replace(upper(predicted),'[^A-Z0-9]','','g') END AS a,

@@ -375,7 +375,7 @@ _SCORE = " + ".join(
         ("total", "a.p_total=t.t_total"),
     )
 )
-CANDIDATES = f"""scored AS (SELECT t.case_id, t.pos AS true_row, a.pos AS predicted_row, {_SCORE} AS score
+CANDIDATES = f"""scored AS (SELECT t.case_id, t.pos AS true_row, a.pos AS predicted_row, ({_SCORE})::BIGINT AS score
   FROM t_items t JOIN p_items a USING (case_id)),
 candidates AS (SELECT * FROM scored WHERE score>={m.ITEM_MINIMUM})"""
 
