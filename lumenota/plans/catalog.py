@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenota.plans import (
     queries_functions,  # noqa: F401
     queries_grading,  # noqa: F401
+    queries_ledger,  # noqa: F401
     queries_measure,  # noqa: F401
     queries_rules,  # noqa: F401
 )
