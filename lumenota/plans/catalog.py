@@ -10,6 +10,7 @@ from lumenota.plans import (
     queries_ledger,  # noqa: F401
     queries_measure,  # noqa: F401
     queries_rules,  # noqa: F401
+    queries_sources,  # noqa: F401
 )
 from lumenota.plans.registry import ORACLES, QUERIES
 

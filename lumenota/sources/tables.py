@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenota.functions.identifiers import valid_case_id
@@ -69,17 +69,22 @@ def read_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return prices, raw.select(F.explode("aliases").alias("alias", "target"))
 
 
-def run_state(texts: DataFrame, text: str = "value") -> DataFrame:
-    """Run-state texts as ``case_ids, stopped_reason, problem``; a text without a list is damaged."""
+def run_state_columns(text: str) -> dict[str, Column]:
+    """``case_ids, stopped_reason, problem`` of a run-state text; one without a list is damaged."""
     tree = F.try_parse_json(text)
     listed = F.schema_of_variant(F.try_variant_get(tree, "$.case_ids", "variant"))
     usable = F.coalesce(listed.startswith("ARRAY"), F.lit(False))
     state = F.from_json(text, "case_ids array<string>, stopped_reason string")
-    return texts.select(
-        F.when(usable, state["case_ids"]).alias("case_ids"),
-        F.when(usable, state["stopped_reason"]).alias("stopped_reason"),
-        F.when(F.col(text).isNull(), "missing").when(~usable, "damaged").alias("problem"),
-    )
+    problem = F.when(F.col(text).isNull(), "missing").when(~usable, "damaged")
+    return {
+        "case_ids": F.when(usable, state["case_ids"]).alias("case_ids"),
+        "stopped_reason": F.when(usable, state["stopped_reason"]).alias("stopped_reason"),
+        "problem": problem.alias("problem"),
+    }
+
+
+def run_state(texts: DataFrame, text: str = "value") -> DataFrame:
+    return texts.select(*run_state_columns(text).values())
 
 
 def read_run_state(spark: SparkSession, path: str) -> DataFrame:
