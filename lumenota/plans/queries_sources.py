@@ -11,7 +11,6 @@ from lumenota.operators.decisions import label
 from lumenota.operators.rules import validate
 from lumenota.plans import bindings as b
 from lumenota.plans import oracle_sql as q
-from lumenota.plans.queries_ledger import charged_events
 from lumenota.plans.queries_rules import COLUMNS, HEAD_SQL
 from lumenota.plans.registry import query
 from lumenota.session import CHECKPOINT_KEY
@@ -508,7 +507,7 @@ def invoice_totals(spark, sf):
 
 @query(
     "n09_allocate",
-    """SELECT l_orderkey AS case_id, l_partkey, l_linenumber, cap, amount, least(cap, greatest(amount-coalesce(sum(cap)
+    """SELECT l_orderkey AS case_id, l_partkey, l_linenumber::BIGINT AS l_linenumber, cap, amount, least(cap, greatest(amount-coalesce(sum(cap)
       OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber ROWS BETWEEN UNBOUNDED
       PRECEDING AND 1 PRECEDING),0),0))::BIGINT AS share FROM (SELECT l.*, CAST(l_quantity*100 AS BIGINT) AS cap,
       5000::BIGINT AS amount FROM lineitem l)""",
@@ -695,11 +694,34 @@ def validate_stream(spark, sf):
 
 
 @query(
-    "w03_spend_inputs",
-    """SELECT user_id AS run_id, count(*) AS cases FROM events GROUP BY user_id""",
+    "w03_spend_stream",
+    """WITH charged AS (SELECT user_id AS run_id, event_id AS ordinal, CAST(round(value*100) AS BIGINT) AS spent
+      FROM events), running AS (SELECT *, sum(spent) OVER w AS s, coalesce(sum(spent) OVER b,0) AS before,
+      coalesce(max(spent) OVER b,0) AS held, max(spent) OVER w AS largest FROM charged WINDOW
+      w AS (PARTITION BY run_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      b AS (PARTITION BY run_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      SELECT run_id, ordinal, s/100 AS spent, largest/100 AS largest, before+greatest(50,held)<=400000 AS admitted
+      FROM running""",
 )
-def spend_inputs(spark, sf):
-    """Charged events per user, the input of the running spend (the state is checked in the tests)."""
-    return charged_events(spark, sf).groupBy(C("user_id").alias("run_id")).agg(
-        F.count(F.lit(1)).alias("cases")
+def spend_stream(spark, sf):
+    """The events file as a stream of charged records, one run per user, cap 4,000."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    schema = b.table(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    charged = source.select(
+        C("user_id").cast("string").alias("run_id"), C("event_id").alias("ordinal"),
+        C("value").cast("decimal(18,8)").alias("spent"),
+        F.lit("0").cast("decimal(18,8)").alias("assumed"),
+    )
+    folder = work_folder(spark)
+    streams.drain(
+        streams.spend_stream(charged, "4000.00", "0.50"),
+        lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{folder}/spend/batch={epoch}"),
+        f"{folder}/state",
+    )
+    return spark.read.parquet(f"{folder}/spend").select(
+        C("run_id").cast("bigint").alias("run_id"), "ordinal", "spent", "largest", "admitted"
     )

@@ -221,8 +221,10 @@ def to_invoices(parsed: DataFrame, nfe: str = "nfe", keep: tuple[str, ...] = ())
 
 def parse_nfe(df: DataFrame, xml: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Invoices of a column of XML texts whose root is ``infNFe``."""
-    parsed = df.withColumn("nfe", F.from_xml(F.col(xml), NFE_SCHEMA, {"mode": "PERMISSIVE"}))
-    return to_invoices(parsed, "nfe", keep)
+    parsed = F.from_xml(F.col(xml), NFE_SCHEMA, {"mode": "PERMISSIVE"})
+    # A one-element explode parses each text once: without it a later filter on ``problems`` would
+    # be pushed below with the whole parse repeated for every element it reads.
+    return to_invoices(df.select(*keep, F.explode(F.array(parsed)).alias("nfe")), "nfe", keep)
 
 
 def read_nfe(spark: SparkSession, path: str) -> DataFrame:

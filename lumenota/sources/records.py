@@ -151,9 +151,8 @@ def _typed(tree: Column, path: str, kind: str) -> Column:
     return F.when(~found.eqNullSafe(kind), F.lit(path))
 
 
-def _element_shapes(raw: Column, list_name: str, fields: tuple[str, ...]) -> Column:
-    """The paths of list elements whose member set or types are wrong."""
-    elements = F.from_json(F.get_json_object(raw, f"$.{list_name}"), "array<string>")
+def _element_shapes(elements: Column, list_name: str, fields: tuple[str, ...]) -> Column:
+    """The paths of list elements (JSON texts) whose member set or types are wrong."""
     expected = _shape(dict.fromkeys(fields, "STRING"))
 
     def wrong(element: Column, i: Column) -> Column:
@@ -217,15 +216,28 @@ def _installment_leaves(part: Column, i: Column) -> Column:
     )
 
 
-def invoice_violations(raw: Column) -> Column:
-    """The paths at which a text is not a strict invoice; values are never shown.
+def _read_text(raw: Column) -> Column:
+    """A text read once in every form the checks need."""
+
+    def elements(name: str) -> Column:
+        return F.from_json(F.get_json_object(raw, f"$.{name}"), "array<string>").alias(name)
+
+    return F.struct(
+        F.try_parse_json(raw).alias("tree"),
+        F.from_json(raw, INVOICE_TEXT_SCHEMA).alias("invoice"),
+        F.json_object_keys(raw).alias("keys"),
+        elements("items"),
+        elements("installments"),
+    )
+
+
+def invoice_violations(read: Column) -> Column:
+    """The paths at which a read text is not a strict invoice; values are never shown.
 
     Unknown, missing and mistyped members are violations of their object; malformed leaves are
     violations of their own path.
     """
-    tree = F.try_parse_json(raw)
-    invoice = F.from_json(raw, INVOICE_TEXT_SCHEMA)
-    keys = F.json_object_keys(raw)
+    tree, invoice, keys = read["tree"], read["invoice"], read["keys"]
     members = F.array(*[F.lit(name) for name in _TOP_MEMBERS])
     top = [
         F.when(
@@ -256,8 +268,8 @@ def invoice_violations(raw: Column) -> Column:
     none = F.array().cast("array<string>")
     inside = F.concat(
         F.array_compact(F.array(*top)),
-        _element_shapes(raw, "items", ITEM_FIELDS),
-        _element_shapes(raw, "installments", INSTALLMENT_FIELDS),
+        _element_shapes(read["items"], "items", ITEM_FIELDS),
+        _element_shapes(read["installments"], "installments", INSTALLMENT_FIELDS),
         F.array_compact(F.array(*leaves)),
         F.coalesce(F.flatten(F.transform(invoice["items"], _item_leaves)), none),
         F.coalesce(F.flatten(F.transform(invoice["installments"], _installment_leaves)), none),
@@ -268,7 +280,10 @@ def invoice_violations(raw: Column) -> Column:
 
 def typed_invoice(raw: Column) -> Column:
     """The typed invoice struct of a strict text (call it on valid texts only)."""
-    invoice = F.from_json(raw, INVOICE_TEXT_SCHEMA)
+    return _typed_members(F.from_json(raw, INVOICE_TEXT_SCHEMA))
+
+
+def _typed_members(invoice: Column) -> Column:
 
     def amount(value: Column, name: str) -> Column:
         kind = "decimal(18,4)" if name in _SCALES else "decimal(18,2)"
@@ -302,12 +317,16 @@ def typed_invoice(raw: Column) -> Column:
 
 
 def parse_invoice(df: DataFrame, raw: str) -> DataFrame:
-    """Plus ``violations``, ``parse_status`` (ok / schema_invalid) and the typed ``invoice``."""
-    checked = df.withColumn("violations", invoice_violations(F.col(raw)))
+    """Plus ``violations``, ``parse_status`` (ok / schema_invalid) and the typed ``invoice``.
+
+    The one-element explode reads each text once for all checks.
+    """
+    read = df.select("*", F.explode(F.array(_read_text(F.col(raw)))).alias("__read"))
+    checked = read.withColumn("violations", invoice_violations(F.col("__read")))
     valid = F.size("violations") == 0
     return checked.withColumns(
         {
             "parse_status": F.when(valid, "ok").otherwise("schema_invalid"),
-            "invoice": F.when(valid, typed_invoice(F.col(raw))),
+            "invoice": F.when(valid, _typed_members(F.col("__read.invoice"))),
         }
-    )
+    ).drop("__read")

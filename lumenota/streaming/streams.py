@@ -79,17 +79,18 @@ class SpendProcessor(StatefulProcessor):
             held = self.state.get()
             spent, assumed, largest = (Decimal(held[i]) for i in range(3))
             stopped = held[3]
-        for frame in rows:
-            out = []
-            for row in frame.sort_values("ordinal").itertuples():
-                following = max(self.reserve, largest)
-                stopped = stopped or spent + assumed + following > self.cap
-                spent, assumed = spent + row.spent, assumed + row.assumed
-                largest = max(largest, row.spent)
-                out.append((key[0], row.ordinal, spent, assumed, largest, not stopped))
-            yield pd.DataFrame(
-                out, columns=["run_id", "ordinal", "spent", "assumed", "largest", "admitted"]
-            )
+        # One trigger's records of a run, put in order; the source's per-trigger limit bounds them.
+        arrived = pd.concat(list(rows), ignore_index=True).sort_values("ordinal")
+        out = []
+        for row in arrived.itertuples():
+            following = max(self.reserve, largest)
+            stopped = stopped or spent + assumed + following > self.cap
+            spent, assumed = spent + row.spent, assumed + row.assumed
+            largest = max(largest, row.spent)
+            out.append((key[0], row.ordinal, spent, assumed, largest, not stopped))
+        yield pd.DataFrame(
+            out, columns=["run_id", "ordinal", "spent", "assumed", "largest", "admitted"]
+        )
         self.state.update((str(spent), str(assumed), str(largest), stopped))
 
     def close(self) -> None:
