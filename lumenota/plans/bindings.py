@@ -38,6 +38,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# A table below this many bytes per core may be a single row group, read by a single task.
+SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A small table hashed by ``key`` over all cores; a large one as it is read.
+
+    The size comes from the scan's own statistics. Beyond the bound a table has row groups enough,
+    and a shuffle before the expressions would only cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, key) if size < cores * SPREAD_BYTES_PER_CORE else df
+
+
+LINE_COLUMNS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+# Columns only the position of a line needs.
+UNPLACED = ("l_suppkey", "l_linenumber", "l_shipdate")
+
+
 def _money(col: Column) -> Column:
     return col.cast(MONEY)
 
@@ -174,7 +199,8 @@ def item_links(spark: SparkSession, sf_dir: str, *, positions: bool = True) -> D
     ``pos`` is the printed position inside the invoice; without ``positions`` it is left out and
     the binding needs no shuffle beyond the small part join.
     """
-    line = table(spark, sf_dir, "lineitem")
+    used = [name for name in LINE_COLUMNS if positions or name not in UNPLACED]
+    line = spread(table(spark, sf_dir, "lineitem").select(*used), "l_orderkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     f = F.round(F.col("l_tax") * 100).cast("int") * 11 + F.round(F.col("l_discount") * 100).cast("int")
     slots = F.when(F.col("f").isin(*TWO_SLOTS), F.array(F.lit(0), F.lit(1))).otherwise(
@@ -289,7 +315,7 @@ def case_status(g: Column) -> Column:
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     customer = table(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_mktsegment"
     )
