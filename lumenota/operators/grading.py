@@ -143,8 +143,8 @@ def grade_pairs(
     )
 
 
-def pair_wrong(graded: DataFrame, kind: str) -> DataFrame:
-    """One row per wrong column of a matched pair."""
+def _cells(kind: str, when: Column | None = None) -> list[Column]:
+    """Per column the wrong cell of a pair, or null where it is right."""
     columns, list_name, _ = KINDS[kind]
     t, p, row = F.col("t"), F.col("p"), F.col("row")
     cells = []
@@ -154,9 +154,10 @@ def pair_wrong(graded: DataFrame, kind: str) -> DataFrame:
             if column in NUMERIC_COLUMNS
             else F.lit(False)
         )
+        wrong = ~F.col(f"right_{column}")
         cells.append(
             F.when(
-                ~F.col(f"right_{column}"),
+                wrong if when is None else when & wrong,
                 F.struct(
                     field_path(list_name, row, column).alias("path"),
                     F.lit(column).alias("column"),
@@ -168,12 +169,60 @@ def pair_wrong(graded: DataFrame, kind: str) -> DataFrame:
                 ),
             )
         )
+    return cells
+
+
+def pair_wrong(graded: DataFrame, kind: str) -> DataFrame:
+    """One row per wrong column of a matched pair."""
     listed = graded.select(
-        "case_id", "row", "predicted_row", F.inline(F.array_compact(F.array(*cells)))
+        "case_id", "row", "predicted_row", F.inline(F.array_compact(F.array(*_cells(kind))))
     )
     return _wrong_shape(listed, kind, event=F.lit(None).cast("string"))
 
 
+def linked_wrong(graded: DataFrame, kind: str) -> DataFrame:
+    """All wrong values of one list in a single pass over linked rows.
+
+    ``graded`` is ``grade_pairs`` of rows ``case_id, row, t, p`` where a null ``p`` is a missing and
+    a null ``t`` an extra row, so cells and row events come from the same scan.
+    """
+    _, list_name, anchor = KINDS[kind]
+    t, p, row = F.col("t"), F.col("p"), F.col("row")
+    has_true, has_answer = t.isNotNull(), p.isNotNull()
+    nothing = F.lit(None).cast("string")
+
+    def event(path: Column, expected: Column, predicted: Column) -> Column:
+        return F.struct(
+            path.alias("path"),
+            F.lit(anchor).alias("column"),
+            F.lit(0).alias("ordinal"),
+            expected.alias("expected"),
+            predicted.alias("predicted"),
+            F.lit(False).alias("within_cent"),
+            F.lit(False).alias("other_box"),
+        )
+
+    extra_path = F.concat(F.lit(f"{list_name}[+"), row.cast("string"), F.lit(f"].{anchor}"))
+    missing = event(field_path(list_name, row, anchor), t[anchor].cast("string"), nothing)
+    extra = event(extra_path, nothing, p[anchor].cast("string"))
+    both = has_true & has_answer
+    found = F.array_compact(
+        F.array(
+            *_cells(kind, both),
+            F.when(has_true & ~has_answer, missing),
+            F.when(has_answer & ~has_true, extra),
+        )
+    )
+    listed = graded.select(
+        "case_id",
+        F.when(has_true, row).alias("row"),
+        F.when(has_answer, row).alias("predicted_row"),
+        F.when(has_true & ~has_answer, "missing").when(has_answer & ~has_true, "extra").alias("event"),
+        F.inline(found),
+    )
+    return _wrong_shape(listed, kind, event=F.col("event"))
+
+
 def row_events(missing: DataFrame, extra: DataFrame, kind: str) -> DataFrame:
     """Each missing true row and each extra answered row as one wrong value on the anchor."""
     _, list_name, anchor = KINDS[kind]

@@ -27,21 +27,21 @@ class GradedRun:
     truth: DataFrame
 
 
-def _linked_rows(links: DataFrame, status: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Paired, missing and extra rows of the graded cases, from the given links.
-
-    A case with an unusable answer keeps its true rows only.
-    """
+def _kept_links(links: DataFrame, status: DataFrame) -> DataFrame:
+    """The links of the graded cases; a case with an unusable answer keeps its true rows only."""
     kept = links.join(status, "case_id").withColumn(
         "p", F.when(F.col("status") != "schema_invalid", F.col("p"))
     )
+    used = F.col("t").isNotNull() | F.col("p").isNotNull()
+    return kept.filter(used).select("case_id", F.col("pos").alias("row"), "t", "p")
+
+
+def _sides(kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Paired, missing and extra rows of kept links."""
     has_true, has_answer = F.col("t").isNotNull(), F.col("p").isNotNull()
-    pos = F.col("pos")
-    paired = kept.filter(has_true & has_answer).select(
-        "case_id", pos.alias("row"), pos.alias("predicted_row"), "t", "p"
-    )
-    missing = kept.filter(has_true & ~has_answer).select("case_id", pos.alias("row"), "t.*")
-    extra = kept.filter(~has_true & has_answer).select("case_id", pos.alias("row"), "p.*")
+    paired = kept.filter(has_true & has_answer).withColumn("predicted_row", F.col("row"))
+    missing = kept.filter(has_true & ~has_answer).select("case_id", "row", "t.*")
+    extra = kept.filter(~has_true & has_answer).select("case_id", "row", "p.*")
     return paired, missing, extra
 
 
@@ -88,16 +88,18 @@ def graded_run(spark: SparkSession, sf_dir: str, tolerance: str = "0.00") -> Gra
     header = g.grade_header(
         counted_headers(b.header_links(spark, sf_dir), item_links, installment_links), tolerance
     )
-    paired, missing, extra = _linked_rows(item_links, status)
-    part_paired, part_missing, part_extra = _linked_rows(installment_links, status)
+    kept_items = _kept_links(item_links, status)
+    kept_parts = _kept_links(installment_links, status)
+    paired, missing, extra = _sides(kept_items)
+    part_paired, _, _ = _sides(kept_parts)
     item_pairs = g.grade_pairs(paired, "item", tolerance)
     part_pairs = g.grade_pairs(part_paired, "installment", tolerance)
     wrong = (
         g.header_wrong(header)
-        .unionByName(g.pair_wrong(item_pairs, "item"))
-        .unionByName(g.row_events(missing, extra, "item"))
-        .unionByName(g.pair_wrong(part_pairs, "installment"))
-        .unionByName(g.row_events(part_missing, part_extra, "installment"))
+        .unionByName(g.linked_wrong(g.grade_pairs(kept_items, "item", tolerance), "item"))
+        .unionByName(
+            g.linked_wrong(g.grade_pairs(kept_parts, "installment", tolerance), "installment")
+        )
     )
     return GradedRun(
         cases=cases,
