@@ -86,7 +86,13 @@ def graded_run(spark: SparkSession, sf_dir: str, tolerance: str = "0.00") -> Gra
     item_links = b.item_links(spark, sf_dir)
     installment_links = b.installment_links(spark, sf_dir)
     header = g.grade_header(
-        counted_headers(b.header_links(spark, sf_dir), item_links, installment_links), tolerance
+        counted_headers(
+            b.header_links(spark, sf_dir),
+            # Counts need no positions, so this side has no window.
+            b.item_links(spark, sf_dir, positions=False),
+            installment_links,
+        ),
+        tolerance,
     )
     kept_items = _kept_links(item_links, status)
     kept_parts = _kept_links(installment_links, status)
