@@ -7,6 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from lumenota.operators import datasets as ds
+from lumenota.operators import grading as g
 from lumenota.operators.decisions import label
 from lumenota.operators.rules import validate
 from lumenota.plans import bindings as b
@@ -725,3 +726,112 @@ def spend_stream(spark, sf):
     return spark.read.parquet(f"{folder}/spend").select(
         C("run_id").cast("bigint").alias("run_id"), "ordinal", "spent", "largest", "admitted"
     )
+
+
+# --- blocks of nested run records -------------------------------------------------------------
+
+
+def _event_findings(spark, sf):
+    """Events with a findings array: one finding of their own kind and, for some, a warning."""
+    kind, c = C("event_type"), F.round(C("value") * 100).cast("bigint")
+    own = F.struct(
+        kind.alias("rule_id"), F.when(kind == "view", "note").otherwise("error").alias("severity")
+    )
+    warning = F.struct(F.lit("A_WARNING").alias("rule_id"), F.lit("warning").alias("severity"))
+    found = F.when(c < 2000, F.array(own, own, warning)).when(c < 9000, F.array(own))
+    return b.table(spark, sf, "events").select("event_id", found.alias("findings"))
+
+
+@query(
+    "g12_validator_block",
+    """SELECT event_id, CASE WHEN event_type='view' OR c>=9000 THEN 0 WHEN c<2000 THEN 2 ELSE 1 END::BIGINT AS errors,
+      CASE WHEN c<2000 THEN 1 ELSE 0 END::BIGINT AS warnings, array_to_string(list_sort(list_filter([
+      CASE WHEN c<2000 THEN 'A_WARNING' END, CASE WHEN c<9000 AND event_type<>'view' THEN event_type END],
+      lambda x: x IS NOT NULL)), ',') AS rule_ids
+      FROM (SELECT *, CAST(round(value*100) AS BIGINT) AS c FROM events)""",
+)
+def validator_block(spark, sf):
+    rows = _event_findings(spark, sf)
+    return rows.select("event_id", g.validator_block(C("findings")).alias("v")).select(
+        "event_id", "v.*"
+    )
+
+
+@query(
+    "g13_attempt_block",
+    """SELECT event_id, CASE WHEN event_type<>'error' THEN 2 END::BIGINT AS attempt_count,
+      CASE WHEN event_type<>'error' THEN 'refused,success' END AS attempt_statuses,
+      CASE WHEN event_type='click' THEN 1 ELSE 0 END::BIGINT AS cache_hits,
+      CASE WHEN event_type<>'error' THEN 1 ELSE 0 END::BIGINT AS answered_attempts,
+      CASE WHEN event_type<>'error' THEN 7+c END::BIGINT AS model_latency_ms
+      FROM (SELECT *, CAST(round(value*100) AS BIGINT) AS c FROM events)""",
+)
+def attempt_block(spark, sf):
+    kind, c = C("event_type"), F.round(C("value") * 100).cast("bigint")
+    cache = F.struct(F.when(kind == "click", "hit").otherwise("miss").alias("status"))
+    usage = F.struct(F.lit(1).cast("bigint").alias("input_tokens"))
+    first = F.struct(
+        F.lit("refused").alias("status"), F.when(F.lit(False), usage).alias("usage"),
+        cache.alias("cache"), F.lit(7).cast("bigint").alias("latency_ms"),
+    )
+    second = F.struct(
+        F.lit("success").alias("status"), F.when(F.lit(True), usage).alias("usage"),
+        cache.alias("cache"), c.alias("latency_ms"),
+    )
+    attempts = F.when(kind != "error", F.array(first, second))
+    rows = b.table(spark, sf, "events").select("event_id", attempts.alias("attempts"))
+    return rows.select("event_id", g.attempt_block(C("attempts")).alias("a")).select(
+        "event_id", "a.*"
+    )
+
+
+@query(
+    "g14_schema_validity",
+    """SELECT o_orderpriority LIKE '4%' AS valid, count(*) AS cases FROM orders GROUP BY ALL""",
+)
+def schema_validity(spark, sf):
+    """The strict check of every raw text, counted."""
+    parsed = records.parse_invoice(invoice_texts(spark, sf), "raw")
+    return parsed.groupBy((C("parse_status") == "ok").alias("valid")).agg(
+        F.count(F.lit(1)).alias("cases")
+    )
+
+
+@query(
+    "n12_expected_block",
+    q.with_ctes(
+        q.CASES, q.HEADERS,
+        select="""SELECT case_id, 1::BIGINT AS item_count, 0::BIGINT AS installment_count,
+          invoice_total/100 AS invoice_total, issuer_cnpj, tax_id AS recipient_tax_id,
+          tax_id_kind AS recipient_tax_id_kind FROM t_head""",
+    ),
+)
+def expected_block(spark, sf):
+    nested = _nested(b.true_headers(spark, sf))
+    return ds.expected_block(nested).select("case_id", "expected.*")
+
+
+@query(
+    "s16_decision_cases",
+    """SELECT case_id, CASE WHEN o_orderstatus='P' THEN 'refused' ELSE 'success' END AS extraction_status,
+      o_orderpriority='1-URGENT' AS has_warning FROM (SELECT o_orderkey AS case_id, * FROM orders)""",
+)
+def decision_cases(spark, sf):
+    """Decision case texts from orders, read back by the case reader's columns."""
+    status = F.when(C("o_orderstatus") == "P", "refused").otherwise("success")
+    severity = F.when(C("o_orderpriority") == "1-URGENT", "warning").otherwise("error")
+    text = F.to_json(
+        F.struct(
+            F.concat(F.lit("o-"), C("o_orderkey").cast("string")).alias("case_id"),
+            F.struct(status.alias("status")).alias("extraction"),
+            F.array(
+                F.struct(F.lit("X").alias("rule_id"), severity.alias("severity"))
+            ).alias("findings"),
+        )
+    )
+    texts = b.table(spark, sf, "orders").select("o_orderkey", text.alias("value"))
+    return tables.decision_cases(texts).select(
+        F.substring_index("case_id", "-", -1).cast("bigint").alias("case_id"),
+        "extraction_status",
+        "has_warning",
+    )

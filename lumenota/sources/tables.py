@@ -97,8 +97,12 @@ def read_run_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decision_cases(spark: SparkSession, path: str) -> DataFrame:
-    """``case_id, extraction_status, tax_id, has_warning, invoice_total, invoice`` per case file."""
-    raw = spark.read.text(path, wholetext=True)
+    """The decision cases of a folder of case files, one file each."""
+    return decision_cases(spark.read.text(path, wholetext=True))
+
+
+def decision_cases(raw: DataFrame) -> DataFrame:
+    """``case_id, extraction_status, tax_id, has_warning, invoice_total, invoice`` per case text."""
     head = F.from_json(
         "value",
         "case_id string, extraction struct<status:string>, "
