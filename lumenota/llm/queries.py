@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 # pipeline registered below
-from lumenota.llm import sharding
+from lumenota.llm import fertility, mixing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_source_mix": mixing.op3_source_mix,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
+    "op10_token_fertility": fertility.op10_token_fertility,
+}
+ORACLES: dict[str, str] = {
+    "op3_source_mix": mixing.OP3_SQL,
 }
-ORACLES: dict[str, str] = {}
