@@ -26,15 +26,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the one ``spark.checkpoint.dir`` names.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only where that is unset
-    (tests) a temporary one is chosen.
+    Only a local session, where driver and executors are one process, may leave it unset; it then
+    gets a temporary folder. Anywhere else a missing setting is an error.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    folder = spark.conf.get(CHECKPOINT_KEY, None)
+    if folder is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder shared by all executors")
+        folder = f"file://{tempfile.mkdtemp(prefix='lumenota-shared-')}"
+        spark.conf.set(CHECKPOINT_KEY, folder)
+    return folder.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = spark.conf.get(CHECKPOINT_KEY, None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lumenota-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
