@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 # pipeline registered below
-from lumenota.llm import fertility, mixing, sharding
+from lumenota.llm import fertility, mixing, sharding, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_source_mix": mixing.op3_source_mix,
+    "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.OP3_SQL,
+    "op8_warc_transactions": warc.OP8_SQL,
 }
