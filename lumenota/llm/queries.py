@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 # pipeline registered below
-from lumenota.llm import fertility, mixing, sharding, urls, warc
+from lumenota.llm import decontaminate, fertility, mixing, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op3_source_mix": mixing.op3_source_mix,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.OP3_SQL,
+    "op5_decontamination": decontaminate.OP5_SQL,
     "op8_warc_transactions": warc.OP8_SQL,
 }
