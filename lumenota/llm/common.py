@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from uuid import uuid4
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenota.session import checkpointed
+from lumenota.session import checkpointed, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -18,6 +20,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again: lineage ends there, columns
+    are compressed and later reads take only what they need."""
+    folder = f"{shared_folder(df.sparkSession)}/{label}-{uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Whole texts in UTF-8 (null: empty) in turns of about ``most`` bytes, with the row at which
+    each turn begins; memory follows one turn, or one text where that is longer."""
+    first, turn, size = 0, [], 0
+    for value in texts.cast(pa.large_binary()):
+        text = value.as_py() or b""
+        turn.append(text)
+        size += len(text)
+        if size >= most:
+            yield first, turn
+            first, turn, size = first + len(turn), [], 0
+    if turn:
+        yield first, turn
+
+
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

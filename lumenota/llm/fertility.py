@@ -12,7 +12,6 @@ result; extra columns pass through ``keep_documents`` untouched.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import table
+from lumenota.llm.common import slices, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Accepted characters per token, byte-fallback share and token entropy (share of the greatest
@@ -126,21 +125,7 @@ def _measure(texts: list[bytes], path: str) -> list[tuple]:
 
 
 _NAMES = [part.split()[0] for part in MEASURES.split(", ")]
-_LARGEST_SLICE = 4 << 20
-
-
-def _slices(values: pa.Array) -> Iterator[list[bytes]]:
-    """Whole texts in turns of a few megabytes, so that memory follows one turn and one text."""
-    turn, size = [], 0
-    for value in values.cast(pa.large_binary()):
-        text = value.as_py() or b""
-        turn.append(text)
-        size += len(text)
-        if size >= _LARGEST_SLICE:
-            yield turn
-            turn, size = [], 0
-    if turn:
-        yield turn
+_TURN = 4 << 20
 
 
 def measured(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -152,7 +137,7 @@ def measured(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         import pandas as pd
 
         rows = []
-        for turn in _slices(pa.Array.from_pandas(texts, type=pa.large_string())):
+        for _, turn in slices(pa.Array.from_pandas(texts, type=pa.large_string()), _TURN):
             rows += _measure(turn, vocabulary)
         return pd.DataFrame(rows, columns=_NAMES)
 

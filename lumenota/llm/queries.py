@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 # pipeline registered below
-from lumenota.llm import decontaminate, fertility, mixing, privacy, sharding, urls, warc
+from lumenota.llm import decontaminate, fertility, mixing, privacy, repeats, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op3_source_mix": mixing.op3_source_mix,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_repeated_strings": repeats.op6_repeated_strings,
     "op7_personal_data": privacy.op7_personal_data,
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
