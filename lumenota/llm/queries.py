@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 # pipeline registered below
-from lumenota.llm import decontaminate, fertility, mixing, neardup, privacy, repeats, sharding, urls, warc
+from lumenota.llm import decontaminate, fertility, licenses, mixing, neardup, privacy, repeats, sharding, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
     "op2_near_duplicates": neardup.op2_near_duplicates,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_license_scan": licenses.op4_license_scan,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_repeated_strings": repeats.op6_repeated_strings,
     "op7_personal_data": privacy.op7_personal_data,
