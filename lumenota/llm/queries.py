@@ -6,8 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-# pipeline registered below
-from lumenota.llm import decontaminate, fertility, licenses, mixing, neardup, privacy, repeats, sharding, urls, warc
+import corpus_pipeline
+from lumenota.llm import (
+    decontaminate,
+    fertility,
+    licenses,
+    mixing,
+    neardup,
+    privacy,
+    repeats,
+    sharding,
+    urls,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1_url_filter,
@@ -20,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.OP3_SQL,
