@@ -218,7 +218,10 @@ def assemble(records: DataFrame) -> DataFrame:
         )
         .dropDuplicates(["__id"])
     )
-    joined = main.join(heads, F.col("refers_to_id") == F.col("__id"), "left")
+    # a response refers to nothing: its own id, which no head is looked up by, spreads those rows
+    nothing = F.concat(F.lit("none "), F.col("response.record_id"))
+    looked_up = F.coalesce(F.col("refers_to_id"), nothing)
+    joined = main.join(heads, looked_up == F.col("__id"), "left")
     return joined.withColumn(
         "full_bytes", F.coalesce(F.col("response.payload_bytes"), F.col("__bytes"))
     ).drop("__id", "__bytes")
