@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct column ``__row``, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    """The columns that ``boxed`` put away."""
+    return df.select("__row.*")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as a table in the shared folder and read again: lineage ends there, columns
     are compressed and later reads take only what they need."""

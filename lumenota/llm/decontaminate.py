@@ -21,7 +21,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import GAP, table
+from lumenota.llm.common import GAP, boxed, table, unboxed
 from lumenota.session import checkpointed
 
 WORDS = 5
@@ -127,8 +127,10 @@ def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     bad = contaminated(docs, items).select(
         F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__h"))
-    return docs.join(checkpointed(bad.distinct()), same, "left_anti")
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__d")) & (
+        F.xxhash64("__row.text") == F.col("__h")
+    )
+    return unboxed(boxed(docs).join(checkpointed(bad.distinct()), same, "left_anti"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

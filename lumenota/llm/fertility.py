@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import slices, table
+from lumenota.llm.common import boxed, slices, table, unboxed
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Accepted characters per token, byte-fallback share and token entropy (share of the greatest
@@ -129,7 +129,7 @@ _TURN = 4 << 20
 
 
 def measured(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``docs`` (any columns, among them text) plus one struct column ``measures``."""
+    """``docs`` in one column ``__row`` and the struct column ``__measures``."""
     kind = ", ".join(part.replace(" ", ": ") for part in MEASURES.split(", "))
 
     @F.pandas_udf(f"struct<{kind}>")
@@ -141,7 +141,7 @@ def measured(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             rows += _measure(turn, vocabulary)
         return pd.DataFrame(rows, columns=_NAMES)
 
-    return docs.withColumn("__measures", measure("text"))
+    return boxed(docs).withColumn("__measures", measure("__row.text"))
 
 
 def _verdict(m: Column) -> tuple[Column, Column]:
@@ -168,7 +168,7 @@ def judge_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     failed, fits = _verdict(m)
     chars = m["word_chars"] / F.greatest(m["n_tokens"], F.lit(1))
     return measured(docs.select("doc_id", "text"), vocabulary).select(
-        "doc_id",
+        "__row.doc_id",
         *[m[name].alias(name) for name in _NAMES],
         chars.alias("chars_per_token"),
         failed.alias("base_failed"),
@@ -179,7 +179,7 @@ def judge_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 def keep_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """The documents that pass the base rules and the bands, with their own columns."""
     failed, fits = _verdict(F.col("__measures"))
-    return measured(docs, vocabulary).where(~failed & fits).select(*docs.columns)
+    return unboxed(measured(docs, vocabulary).where(~failed & fits))
 
 
 def op10_token_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

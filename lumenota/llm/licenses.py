@@ -24,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lumenota.llm.common import slices, table
 
@@ -235,7 +236,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
                     names=["doc_id", "template", "first_word", "end_word", "containment"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    return docs.select(number, "text").mapInArrow(
         scan, "doc_id long, template string, first_word long, end_word long, containment double"
     )
 

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import n_words, prefix_sums, ranked, table
+from lumenota.llm.common import boxed, n_words, prefix_sums, ranked, table, unboxed
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -75,18 +75,18 @@ def position_of(share: Column, start: Column, end: Column) -> Column:
     return demand * 2.0 / (start + F.sqrt(start * start + (end - start) * demand * 2.0))
 
 
-def _key(df: DataFrame) -> DataFrame:
-    return df.withColumn("__text_hash", F.xxhash64("text"))
-
-
 def mix_units(docs: DataFrame, most_passes: int = MOST_PASSES) -> DataFrame:
     """One row per unit of repeated rows: ``copies`` rows, what each row takes, and its passes.
 
     ``takes`` is an array of (pass, words, position). Only narrow columns are shuffled.
     """
     units = (
-        _key(docs.select("doc_id", "source", "text"))
-        .select("doc_id", "source", "__text_hash", n_words(F.col("text")).alias("size"))
+        docs.select(
+            "doc_id",
+            "source",
+            F.xxhash64("text").alias("__text_hash"),
+            n_words(F.col("text")).alias("size"),
+        )
         .groupBy("doc_id", "source", "size", "__text_hash")
         .agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("__order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
@@ -142,12 +142,12 @@ def training_order(docs: DataFrame) -> DataFrame:
         F.explode("takes").alias("__take"),
     )
     same = (
-        F.col("doc_id").eqNullSafe(F.col("__id"))
-        & F.col("source").eqNullSafe(F.col("__source"))
-        & (F.col("__text_hash") == F.col("__hash"))
+        F.col("__row.doc_id").eqNullSafe(F.col("__id"))
+        & F.col("__row.source").eqNullSafe(F.col("__source"))
+        & (F.xxhash64("__row.text") == F.col("__hash"))
     )
-    mixed = _key(docs).join(takes, same)
-    return mixed.orderBy("__take.position", "doc_id").select(docs.columns)
+    mixed = boxed(docs).join(takes, same)
+    return unboxed(mixed.orderBy("__take.position", "__id"))
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import slices, stored, table
+from lumenota.llm.common import boxed, slices, stored, table, unboxed
 from lumenota.llm.components import components
 from lumenota.session import checkpointed
 
@@ -387,11 +387,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     kept = classes_of(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     kept = kept.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "class_id")
     kept = kept.groupBy("class_id", "__d").agg(F.min("__k").alias("__k"))
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
+    keyed = boxed(docs).withColumn("__key", F.xxhash64("__row.text"))
+    keyed = keyed.withColumn("__id", F.col("__row.doc_id"))
+    same = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))
     rows = keyed.join(kept, same, "left_semi")
-    first = Window.partitionBy("doc_id", "__key").orderBy("__key")
-    return rows.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(docs.columns)
+    first = Window.partitionBy("__id", "__key").orderBy("__key")
+    return unboxed(rows.withColumn("__n", F.row_number().over(first)).where("__n = 1"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,7 +246,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """One row per document that loses bytes: doc_id, key (a hash of the text), n_removed, n_spans,
     kept_sha256 and the removed ``spans`` (begin, end) in bytes."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    keyed = docs.select(number, F.xxhash64("text").alias("key"), "text")
     runs = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, _OUT_SQL)
     repeated, open_ = _counted(stored(runs, "repeat-runs"))
     covers = [stored(repeated, "repeat-covers")]
