@@ -5,7 +5,8 @@ A text is the weighted set of its five-word shingles, weight = count in the text
 Jaccard similarity is THRESHOLD or more. Signatures of consistent weighted samples in bands propose
 pairs, the exact weighted Jaccard similarity decides, and classes are connected components.
 
-Shingles reach their counts through one shuffle of packed hashes. A shingle of one document cannot
+Shingles reach their document counts through one shuffle of packed hashes, after the most common
+ones, a bounded number, have been counted apart so that none fills a bucket. A shingle of one document cannot
 be shared, so only its weight matters: it is dropped there, a document keeps the sum, and its
 sample takes part as one exponential draw of that total weight. A text whose shared weight is under
 THRESHOLD of its whole weight cannot be linked at all and leaves before it is signed.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import boxed, slices, stored, table, unboxed
+from lumenota.llm.common import boxed, n_words, slices, stored, table, unboxed
 from lumenota.llm.components import components
 from lumenota.session import checkpointed
 
@@ -38,8 +39,13 @@ THRESHOLD = 0.8
 BANDS = 16
 ROWS = 3
 #: Bytes of text whose shingles meet in one bucket; the number of buckets grows with the input.
-BUCKET_BYTES = 12 << 20
-_TURN = 8 << 20
+BUCKET_BYTES = 10 << 20
+_TURN = 4 << 20
+#: Very common shingles, whose document counts are found beforehand, are at most this many.
+MOST_FREQUENT = 1_000_000
+#: Pairs of texts of different classes that a bucket may have for each of its texts to be compared
+#: all; see README for what larger buckets do.
+PARTNERS = 64
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
@@ -114,39 +120,120 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _shingle_packs(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Per turn of texts and bucket: keys, shingle totals and counts of texts; six bytes of each
-    hash (the bucket holds the rest); counts of shingles that repeat in a text; how many documents
-    of the turn have the text."""
+def _parts(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal numbers in a sorted array."""
+    values, begins = np.unique(numbers, return_index=True)
+    ends = np.append(begins[1:], len(numbers))
+    for value, a, b in zip(values.tolist(), begins.tolist(), ends[: len(begins)].tolist(), strict=True):
+        yield value, slice(a, b)
+
+
+def _turns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per turn of texts: keys, copies and shingle totals of its distinct texts, then rows, hashes
+    and counts of their distinct shingles."""
+    for batch in batches:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        for first, texts in slices(batch.column("text"), _TURN):
+            own = keys[first : first + len(texts)]
+            own, at, copies = np.unique(own, return_index=True, return_counts=True)
+            rows, hashes = shingle_hashes([texts[i] for i in at])
+            totals = np.bincount(rows, minlength=len(own)).astype(np.uint32)
+            yield own, copies.astype(np.uint32), totals, *_grouped(rows, hashes)
+
+
+_COUNT_SQL = "hash long, n long"
+
+
+def _held(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted known ones."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.searchsorted(known, hashes).clip(max=len(known) - 1)] == hashes
+
+
+def _counts(known: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents per shingle and turn: of the known shingles, or of those two documents share."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, copies, _, rows, hashes, _ in _turns_of(batches):
+            if known is not None:
+                kept = _held(hashes, known)
+                rows, hashes = rows[kept], hashes[kept]
+            values, inverse = np.unique(hashes, return_inverse=True)
+            n = np.bincount(inverse, weights=copies[rows], minlength=len(values)).astype(np.int64)
+            if known is None:
+                values, n = values[n >= 2], n[n >= 2]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values.view(np.int64)), pa.array(n)], names=["hash", "n"]
+            )
+
+    return count
+
+
+def frequent_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of very common shingles and the exact number of documents of each.
+
+    Common is more than one in MOST_FREQUENT of all shingles of all documents, so there are at most
+    MOST_FREQUENT of them at any size of input; they travel with the tasks.
+    """
+    words = F.greatest(n_words(F.col("text")) - (WORDS - 1), F.lit(0))
+    least = max(2, (rows.agg(F.sum(words)).first()[0] or 0) // MOST_FREQUENT)
+    total = lambda known: rows.mapInArrow(_counts(known), _COUNT_SQL).groupBy("hash").agg(
+        F.sum("n").alias("n")
+    )
+    some = total(None).where(F.col("n") >= least).select("hash").toArrow().column(0).to_numpy()
+    known = np.sort(some.view(np.uint64))
+    if not len(known):
+        return known, np.zeros(0, np.int64)
+    exact = total(known).toArrow()
+    hashes = exact.column("hash").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], exact.column("n").to_numpy()[order]
+
+
+def _shingle_packs(
+    buckets: int, common: np.ndarray, documents: np.ndarray
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per turn of texts and bucket: keys, shingle totals, copies and numbers of shingles of texts;
+    six bytes of each hash (the bucket holds the rest); counts of shingles that repeat in a text.
+
+    Common shingles go straight to the groups of their texts (negative buckets), as their document
+    counts are known: no bucket gathers the many texts of one shingle.
+    """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column("key").to_numpy(zero_copy_only=False)
-            for first, texts in slices(batch.column("text"), _TURN):
-                own = keys[first : first + len(texts)]
-                own, at, copies = np.unique(own, return_index=True, return_counts=True)
-                rows, hashes = shingle_hashes([texts[i] for i in at])
-                totals = np.bincount(rows, minlength=len(own)).astype(np.uint32)
-                rows, hashes, counts = _grouped(rows, hashes)
-                bucket = (hashes & _U(0xFFFFFFFF)) % _U(buckets)
-                order = np.argsort(bucket, kind="stable")
-                rows, hashes, counts = rows[order], hashes[order], counts[order]
-                numbers, begins = np.unique(bucket[order], return_index=True)
-                ends = np.append(begins[1:], len(order))
-                packs = []
-                for a, b in zip(begins.tolist(), ends.tolist(), strict=True):
-                    texts_, n = np.unique(rows[a:b], return_counts=True)
-                    six = (hashes[a:b] >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    more = np.flatnonzero(counts[a:b] > 1)
+        for own, copies, totals, rows, hashes, counts in _turns_of(batches):
+            numbers, packs = [], []
+            known = _held(hashes, common)
+            if known.any():
+                r, h, c = rows[known], hashes[known], counts[known]
+                group = (own[r].view(np.uint64) % _U(buckets)).astype(np.int64)
+                order = np.argsort(group, kind="stable")
+                r, h, c = r[order], h[order], c[order]
+                held = documents[np.searchsorted(common, h)]
+                for number, at in _parts(group[order]):
+                    numbers.append(-1 - number)
                     packs.append(
-                        _pack(own[texts_], totals[texts_], copies[texts_].astype(np.uint32),
-                              n.astype(np.uint32), np.ascontiguousarray(six).ravel(),
-                              more.astype(np.uint32), counts[a:b][more].astype(np.uint32))
+                        _pack(own[r[at]], totals[r[at]], _mixed(~h[at]),
+                              c[at].astype(np.uint32), held[at])
                     )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers.astype(np.int64)), pa.array(packs, pa.binary())],
-                    schema=_PACKED,
-                )
+                rows, hashes, counts = rows[~known], hashes[~known], counts[~known]
+            bucket = (hashes & _U(0xFFFFFFFF)) % _U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            rows, hashes, counts = rows[order], hashes[order], counts[order]
+            for number, at in _parts(bucket[order]):
+                texts, n = np.unique(rows[at], return_counts=True)
+                six = (hashes[at] >> _U(16)).view(np.uint8).reshape(-1, 8)[:, :6]
+                more = np.flatnonzero(counts[at] > 1)
+                numbers.append(int(number))
+                packs.append(
+                    _pack(own[texts], totals[texts], copies[texts], n.astype(np.uint32),
+                          np.ascontiguousarray(six).ravel(), more.astype(np.uint32),
+                          counts[at][more].astype(np.uint32))
+                )
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int64()), pa.array(packs, pa.binary())], schema=_PACKED
+            )
 
     return pack
 
@@ -156,10 +243,13 @@ def _shared_packs(groups: int) -> Callable[[pa.Table], pa.Table]:
 
     def share(packs: pa.Table) -> pa.Table:
         bucket = packs.column("bucket")[0].as_py()
+        if bucket < 0:  # common shingles: already packed for their group
+            number = pa.array(np.full(len(packs), -1 - bucket))
+            return pa.Table.from_arrays([number, packs.column("packed")], schema=_PACKED)
         parts = [_unpack(x.as_py()) for x in packs.column("packed")]
-        key = np.concatenate([np.repeat(p[0], p[3]) for p in parts])
-        total = np.concatenate([np.repeat(p[1], p[3]) for p in parts])
-        copies = np.concatenate([np.repeat(p[2], p[3]) for p in parts])
+        key, total, copies = (
+            np.concatenate([np.repeat(p[i], p[3]) for p in parts]) for i in range(3)
+        )
         wide = np.zeros((len(key), 8), np.uint8)
         wide[:, :6] = np.concatenate([p[4] for p in parts]).reshape(-1, 6)
         rest = wide.view(np.uint64).ravel()
@@ -168,6 +258,7 @@ def _shared_packs(groups: int) -> Callable[[pa.Table], pa.Table]:
         for p in parts:
             times[p[5] + offset] = p[6]
             offset += len(p[4]) // 6
+        del parts
         order = np.argsort(rest, kind="stable")
         sorted_ = rest[order]
         new = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
@@ -176,16 +267,17 @@ def _shared_packs(groups: int) -> Callable[[pa.Table], pa.Table]:
         documents[order] = np.repeat(n, np.diff(np.append(new, len(order))))
         kept = np.flatnonzero(documents >= 2)
         group = (key[kept].view(np.uint64) % _U(groups)).astype(np.int64)
-        kept = kept[np.argsort(group, kind="stable")]
-        numbers, begins = np.unique(np.sort(group), return_index=True)
-        ends = np.append(begins[1:], len(kept))
-        name = _mixed(rest * _U(2 * bucket + 1) + _U(bucket))
+        order = np.argsort(group, kind="stable")
+        kept, group = kept[order], group[order]
+        name = _mixed(rest[kept] * _U((2 * bucket + 1) % 2**64) + _U(bucket))
         rows = [
-            _pack(key[i], total[i], name[i], times[i], documents[i])
-            for i in (kept[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True))
-        ]
+            (number, _pack(key[kept[at]], total[kept[at]], name[at], times[kept[at]],
+                           documents[kept[at]]))
+            for number, at in _parts(group)
+        ]
+        numbers, packed = zip(*rows, strict=True) if rows else ([], [])
         return pa.Table.from_arrays(
-            [pa.array(numbers), pa.array(rows, pa.binary())], schema=_PACKED
+            [pa.array(numbers, pa.int64()), pa.array(packed, pa.binary())], schema=_PACKED
         )
 
     return share
@@ -335,36 +427,70 @@ def signed_texts(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.xxhash64("text").alias("key"), "text").where("text is not null")
     n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
     buckets = max(1, (size or 0) // BUCKET_BYTES + 1)
-    packs = rows.mapInArrow(_shingle_packs(buckets), _PACKED_SQL)
+    packs = rows.mapInArrow(_shingle_packs(buckets, *frequent_shingles(rows)), _PACKED_SQL)
     shared = packs.groupBy("bucket").applyInArrow(_shared_packs(buckets), _PACKED_SQL)
     signed = shared.groupBy("bucket").applyInArrow(_signatures(max(n, 1)), _SIGNED_SQL)
     return stored(signed, "neardup-signed")
 
 
+def _between_classes(bands: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of different classes in one bucket whose weights allow a link.
+
+    All such pairs, where they are at most PARTNERS times the bucket's texts. In larger buckets each
+    class is represented by its least text, and these are compared in a chain.
+    """
+    named = bands.join(classes, F.col("key") == F.col("node"), "left").drop("node")
+    named = checkpointed(named.withColumn("component", F.coalesce("component", "key")))
+    parts = named.groupBy("band", "component").agg(
+        F.min("key").alias("least"), F.count(F.lit(1)).alias("n")
+    )
+    largest = F.max(F.struct("n", "component"))["component"]
+    buckets = parts.groupBy(F.col("band").alias("__band")).agg(
+        largest.alias("__largest"),
+        ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("__pairs"),
+        F.sum("n").alias("__n"),
+    )
+    buckets = checkpointed(buckets.where("__pairs > 0"))
+    small = F.col("__pairs") <= F.col("__n") * PARTNERS
+    some = named.join(buckets.where(small), F.col("band") == F.col("__band"))
+    outside = some.where("component <> __largest").select(
+        "band", F.col("key").alias("a"), F.col("component").alias("ca"), F.col("weight").alias("wa")
+    )
+    others = some.select(
+        F.col("band").alias("__b"), F.col("key").alias("b"), F.col("component").alias("cb"),
+        F.col("weight").alias("wb"), (F.col("component") == F.col("__largest")).alias("inside"),
+    )
+    apart = (F.col("ca") != F.col("cb")) & (F.col("inside") | (F.col("a") > F.col("b")))
+    near = F.least("wa", "wb") >= F.greatest("wa", "wb") * (THRESHOLD - 1e-9)
+    pairs = outside.join(others, (F.col("band") == F.col("__b")) & apart & near).select("a", "b")
+    chain = Window.partitionBy("band").orderBy("least")
+    crowded = parts.join(buckets.where(~small), F.col("band") == F.col("__band"), "left_semi")
+    crowded = crowded.select(F.col("least").alias("a"), F.lag("least").over(chain).alias("b"))
+    pairs = pairs.union(crowded.where("b is not null"))
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def text_classes(docs: DataFrame) -> DataFrame:
     """(node, component) of the distinct texts, by key, that are linked to another.
 
-    Every text is compared with the least text of each of its band buckets. Where a bucket then
-    still holds several classes, these are compared in a chain. Both are linear in the bucket.
+    Every text is first compared with the least text of each of its band buckets, which joins most
+    of a class at a cost linear in the bucket; pairs inside a class need no further look. What is
+    left, pairs of texts in one bucket but in different classes, is then compared.
     """
     signed = signed_texts(docs)
-    bands = signed.select("key", F.explode("bands").alias("band")).where("band <> 0")
+    bands = signed.select("key", "weight", F.explode("bands").alias("band")).where("band <> 0")
     heads = bands.groupBy(F.col("band").alias("__band")).agg(
         F.min("key").alias("__least"), F.count(F.lit(1)).alias("__n")
     )
     bands = bands.join(heads.where("__n >= 2"), F.col("band") == F.col("__band"))
-    bands = checkpointed(bands.select("band", "key", "__least"))
+    bands = checkpointed(bands.select("band", "key", "weight", "__least"))
     stars = bands.where("key <> __least").select(F.col("key").alias("a"), F.col("__least").alias("b"))
-    links = checkpointed(_linked(stars.distinct(), signed).select("a", "b"))
+    stars = stars.distinct()
+    links = checkpointed(_linked(stars, signed).select("a", "b"))
     classes = checkpointed(components(links))
-    named = bands.join(classes, F.col("key") == F.col("node"), "left")
-    named = named.withColumn("component", F.coalesce("component", "key"))
-    parts = named.groupBy("band", "component").agg(F.min("key").alias("a"))
-    chain = Window.partitionBy("band").orderBy("a")
-    pairs = parts.withColumn("b", F.lag("a").over(chain)).where("b is not null").select("a", "b")
-    tried = stars.select(F.greatest("a", "b").alias("__a"), F.least("a", "b").alias("__b"))
-    same = (F.greatest("a", "b") == F.col("__a")) & (F.least("a", "b") == F.col("__b"))
-    pairs = pairs.distinct().join(tried, same, "left_anti")
+    pairs = _between_classes(bands, classes)
+    tried = stars.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    pairs = pairs.join(tried, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti")
     more = checkpointed(_linked(pairs, signed).select("a", "b"))
     return components(links.union(more))
 
@@ -379,6 +505,8 @@ def classes_of(docs: DataFrame) -> DataFrame:
     heads = named.groupBy(F.col("__class").alias("__c")).agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")
     )
+    # kept apart from the rows, so that a large class is split in the join
+    heads = checkpointed(heads)
     return named.join(heads, F.col("__class") == F.col("__c")).drop("__c", "__class")
 
 
