@@ -496,25 +496,27 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, text_key, class_id (least doc_id) and class_size."""
+    """One row per document: doc_id, text_key, class_key, class_id (least doc_id) and class_size."""
     own = docs.select("doc_id", F.xxhash64("text").alias("text_key"))
     texts = text_classes(docs)
     named = own.join(texts, F.col("text_key") == F.col("node"), "left")
-    named = named.withColumn("__class", F.coalesce("component", "text_key")).drop("node", "component")
+    named = named.withColumn("class_key", F.coalesce("component", "text_key"))
+    named = named.drop("node", "component")
     named = checkpointed(named)
-    heads = named.groupBy(F.col("__class").alias("__c")).agg(
+    heads = named.groupBy(F.col("class_key").alias("__c")).agg(
         F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size")
     )
     # kept apart from the rows, so that a large class is split in the join
     heads = checkpointed(heads)
-    return named.join(heads, F.col("__class") == F.col("__c")).drop("__c", "__class")
+    return named.join(heads, F.col("class_key") == F.col("__c")).drop("__c")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that of the least doc_id, with its own columns."""
     kept = classes_of(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k"), "class_id")
-    kept = kept.groupBy("class_id", "__d").agg(F.min("__k").alias("__k"))
+    kept = kept.groupBy("class_key", F.col("doc_id").alias("__d")).agg(
+        F.min("text_key").alias("__k")
+    )
     keyed = boxed(docs).withColumn("__key", F.xxhash64("__row.text"))
     keyed = keyed.withColumn("__id", F.col("__row.doc_id"))
     same = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k"))

@@ -24,10 +24,11 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenota.llm.common import slices, stored, table
+from lumenota.session import checkpointed
 
 LENGTH = 400
 GRAM = 64
@@ -104,17 +105,25 @@ def _runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return doc[first], place - begins, first - begins, last - begins, grams[place], whole
 
 
-_OUT = [("doc_id", pa.int64()), ("key", pa.int64()), ("place", pa.int64()), ("first", pa.int64()),
-        ("last", pa.int64()), ("core", pa.int64()), ("whole", pa.int64())]
-_OUT_SQL = ", ".join(f"{name} long" for name, _ in _OUT)
+#: A run of windows in one number: its first window, how far the anchor lies behind that, and how
+#: far the last window does; the latter two are less than LENGTH.
+_BITS = 10
+_OUT = ("key", "run", "core", "whole")
+_OUT_SQL = ", ".join(f"{name} long" for name in _OUT)
 
 
-def _batch(columns: list) -> pa.RecordBatch:
-    arrays = [
-        c if isinstance(c, pa.Array) else pa.array(np.asarray(c).astype(np.int64, copy=False))
-        for c in columns
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _ in _OUT])
+def _run(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (first << 2 * _BITS) | ((place - first) << _BITS) | (last - first)
+
+
+def _unrun(run: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    first, low = run >> 2 * _BITS, (1 << _BITS) - 1
+    return first + ((run >> _BITS) & low), first, first + (run & low)
+
+
+def _batch(key: np.ndarray, run: np.ndarray, core: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    columns = [key, run, core.view(np.int64), whole.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=list(_OUT))
 
 
 def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int, list[bytes]]]:
@@ -130,15 +139,12 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[np.ndarray, int, list[bytes]]]
 
 def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, keys = batch.column("doc_id"), batch.column("key")
+        keys = batch.column("key").to_numpy()
         for begin, texts in slices(batch.column("text"), _TURN):
             for rows, offset, pieces in _pieces(texts):
                 doc, place, first, last, core, whole = _runs(pieces)
-                at = pa.array(rows[doc] + begin)
-                yield _batch(
-                    [ids.take(at), keys.take(at), place + offset, first + offset, last + offset,
-                     core.view(np.int64), whole.view(np.int64)]
-                )
+                run = _run(place + offset, first + offset, last + offset)
+                yield _batch(keys[rows[doc] + begin], run, core, whole)
 
 
 def _split_runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -146,28 +152,24 @@ def _split_runs(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("doc_id"), batch.column("key")
-            for row, (value, runs) in enumerate(
-                zip(batch.column("text").cast(pa.large_binary()), batch.column("runs"), strict=True)
-            ):
-                text = value.as_py()
-                runs = np.array([[r["place"], r["first"], r["last"]] for r in runs.as_py()])
-                for some in np.array_split(runs, max(1, len(runs) // 512)):
-                    low, high = int(some[:, 1].min()), int(some[:, 2].max()) + LENGTH
-                    # runs far apart in a very long text are hashed each on its own
-                    groups = [some] if high - low <= 2 * PIECE else list(some[:, None, :])
-                    for group in groups:
-                        parts = _blocks(text, group, width)
-                        at = pa.array(np.full(len(parts[0]), row))
-                        yield _batch([ids.take(at), keys.take(at), *parts])
+            keys = batch.column("key").to_numpy()
+            texts = batch.column("text").cast(pa.large_binary())
+            for key, text, runs in zip(keys, texts, batch.column("runs"), strict=True):
+                own = np.sort(runs.values.to_numpy())
+                first = own >> 2 * _BITS
+                # runs far apart in a very long text are hashed apart
+                breaks = np.flatnonzero(np.diff(first // PIECE)) + 1
+                for some in np.split(own, breaks):
+                    run, core, whole = _blocks(text.as_py(), some, width)
+                    yield _batch(np.full(len(run), key), run, core, whole)
 
     return split
 
 
-def _blocks(text: bytes, runs: np.ndarray, width: int) -> list[np.ndarray]:
-    low, high = int(runs[:, 1].min()), int(runs[:, 2].max()) + LENGTH
+def _blocks(text: bytes, runs: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    place, first, last = _unrun(runs)
+    low, high = int(first.min()), int(last.max()) + LENGTH
     hashes = Hashes(np.frombuffer(text, np.uint8)[low:high])
-    place, first, last = runs.T
     top, bottom = (place - last) // width, (place - first) // width
     counts = bottom - top + 1
     owner = np.repeat(np.arange(len(runs)), counts)
@@ -177,35 +179,28 @@ def _blocks(text: bytes, runs: np.ndarray, width: int) -> list[np.ndarray]:
     own_first, own_last = np.maximum(begin, first[owner]), np.minimum(end, last[owner])
     core = hashes.of(end - low, begin + LENGTH - low)  # the bytes all its windows share
     whole = hashes.of(own_first - low, own_last + LENGTH - low)
-    return [place[owner], own_first, own_last, core.view(np.int64), whole.view(np.int64)]
+    return _run(place[owner], own_first, own_last), core, whole
 
 
 def _counted(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Repeated pieces, and the pieces that are still open with one of each repeated kind that
     shares their core."""
     kinds = found.groupBy("core", "whole").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.first(c).alias(c) for c in ("doc_id", "key", "place", "first", "last")],
+        F.count(F.lit(1)).alias("n"), F.first("key").alias("key"), F.first("run").alias("run")
     )
     kinds = stored(kinds, "repeat-kinds")
     many = kinds.where("n >= 2").select(F.col("core").alias("__c"), F.col("whole").alias("__w"))
     same = (F.col("core") == F.col("__c")) & (F.col("whole") == F.col("__w"))
-    repeated = found.join(many, same).select("doc_id", "key", "first", "last")
+    repeated = found.join(many, same).select("key", "run").distinct()
     mixed = kinds.groupBy(F.col("core").alias("__c")).agg(F.count(F.lit(1)).alias("__kinds"))
     mixed = mixed.where("__kinds >= 2")
     open_ = kinds.join(mixed, F.col("core") == F.col("__c"))
-    return repeated, open_.select("doc_id", "key", "place", "first", "last")
-
-
-def _same_text() -> Column:
-    return F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
+    return repeated, open_.select("key", "run")
 
 
 def _with_runs(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    listed = runs.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(
-        F.collect_list(F.struct("place", "first", "last")).alias("runs")
-    )
-    return texts.join(listed, _same_text()).select("doc_id", "key", "text", "runs")
+    listed = runs.groupBy(F.col("key").alias("__k")).agg(F.collect_set("run").alias("runs"))
+    return texts.join(listed, F.col("key") == F.col("__k")).select("key", "text", "runs")
 
 
 def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,66 +213,66 @@ def _spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    span = pa.struct([("begin", pa.int64()), ("end", pa.int64())])
     for batch in batches:
         rows = []
-        for value, covers in zip(
-            batch.column("text").cast(pa.large_binary()), batch.column("covers"), strict=True
-        ):
+        texts = batch.column("text").cast(pa.large_binary())
+        for value, runs in zip(texts, batch.column("runs"), strict=True):
             text = value.as_py()
-            pairs = np.array([[c["first"], c["last"]] for c in covers.as_py()])
-            begins, ends = _spans(pairs[:, 0], pairs[:, 1])
-            kept = sha256()
-            at = 0
-            for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+            _, first, last = _unrun(runs.values.to_numpy())
+            begins, ends = (x.tolist() for x in _spans(first, last))
+            kept, at = sha256(), 0
+            for begin, end in zip(begins, ends, strict=True):
                 kept.update(text[at:begin])
                 at = end
             kept.update(text[at:])
-            spans = [{"begin": b, "end": e} for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
-            rows.append((int((ends - begins).sum()), len(begins), kept.hexdigest(), spans))
-        removed, n, digest, spans = zip(*rows, strict=True) if rows else ([], [], [], [])
+            spans = [{"begin": b, "end": e} for b, e in zip(begins, ends, strict=True)]
+            rows.append((sum(ends) - sum(begins), len(begins), kept.hexdigest(), spans))
+        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.list_(span))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()),
-             pa.array(n, pa.int64()), pa.array(digest, pa.string()),
-             pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))],
-            names=["doc_id", "key", "n_removed", "n_spans", "kept_sha256", "spans"],
-        )
+            [batch.column("key"), *map(pa.array, columns, kinds)],
+            names=["key", "n_removed", "n_spans", "kept_sha256", "spans"],
+        )
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
-    """One row per document that loses bytes: doc_id, key (a hash of the text), n_removed, n_spans,
-    kept_sha256 and the removed ``spans`` (begin, end) in bytes."""
-    number = F.col("doc_id").cast("long").alias("doc_id")
-    keyed = docs.select(number, F.xxhash64("text").alias("key"), "text")
-    runs = keyed.where(F.octet_length("text") >= LENGTH).mapInArrow(_find_runs, _OUT_SQL)
+    """One row per text that loses bytes: key (a hash of the text), n_removed, n_spans, kept_sha256
+    and the removed ``spans`` (begin, end) in bytes.
+
+    All documents are counted; after that only one document of each text is looked at again.
+    """
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    keyed = keyed.where(F.octet_length("text") >= LENGTH)
+    runs = keyed.select("key", "text").mapInArrow(_find_runs, _OUT_SQL)
     repeated, open_ = _counted(stored(runs, "repeat-runs"))
     covers = [stored(repeated, "repeat-covers")]
     open_ = stored(open_, "repeat-open")
-    held = covers[0].select("doc_id", "key").union(open_.select("doc_id", "key")).distinct()
-    held = held.select(F.col("doc_id").alias("__d"), F.col("key").alias("__k"))
-    texts = stored(keyed.join(held, _same_text(), "left_semi"), "repeat-texts")
+    held = covers[0].select("key").union(open_.select("key")).distinct()
+    held = held.select(F.col("key").alias("__k"))
+    one = keyed.select("doc_id", "key").join(held, F.col("key") == F.col("__k"), "left_semi")
+    one = one.groupBy(F.col("key").alias("__k")).agg(F.min("doc_id").alias("__d"))
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
+    texts = stored(keyed.join(stored(one, "repeat-ids"), same).select("key", "text"), "repeat-texts")
     for width in (BLOCK, 1):
         found = _with_runs(texts, open_).mapInArrow(_split_runs(width), _OUT_SQL)
         repeated, open_ = _counted(stored(found, "repeat-blocks"))
         covers.append(repeated)
     covered = covers[0].union(covers[1]).union(covers[2])
-    listed = covered.groupBy(F.col("doc_id").alias("__d"), F.col("key").alias("__k")).agg(
-        F.collect_set(F.struct("first", "last")).alias("covers")
-    )
-    joined = texts.dropDuplicates(["doc_id", "key"]).join(listed, _same_text())
-    return joined.select("doc_id", "key", "text", "covers").mapInArrow(
+    cut = _with_runs(texts, covered).mapInArrow(
         _cut,
-        "doc_id long, key long, n_removed long, n_spans long, kept_sha256 string, "
+        "key long, n_removed long, n_spans long, kept_sha256 string, "
         "spans array<struct<begin:long,end:long>>",
     )
+    return cut.dropDuplicates(["key"])
 
 
 def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with what they lose and the digest of what stays."""
     docs = table(spark, sf_dir, "documents")
     cut = repeated_bytes(docs).select(
-        F.col("doc_id").alias("__d"), F.col("key").alias("__k"), "n_removed", "n_spans",
-        "kept_sha256",
-    )
+        F.col("key").alias("__k"), "n_removed", "n_spans", "kept_sha256"
+    )
     text = F.coalesce("text", F.lit(""))
     own = docs.select(
         "doc_id",
@@ -286,7 +281,9 @@ def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text, 256).alias("__sha"),
     )
     zero = F.lit(0).cast("long")
-    return own.join(cut, _same_text(), "left").select(
+    # kept apart from the rows, so that many copies of one text are split in the join
+    joined = own.join(checkpointed(cut), F.col("key") == F.col("__k"), "left")
+    return joined.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "__sha").alias("kept_sha256"),

@@ -150,16 +150,16 @@ def test_repeated_strings_equal_all_windows(spark):
         at = rng.randint(0, len(base) - 460)
         rows.append((610 + i, prose(rng, 30) + base[at : at + rng.randint(390, 450)] + prose(rng, 30), "", "", 0))
     docs = frame(spark, rows).withColumn("n_removed", F.lit("clash"))
-    cut = {(r.doc_id, r.key): r for r in repeats.repeated_bytes(docs).collect()}
+    cut = {r.key: r for r in repeats.repeated_bytes(docs).collect()}
     keys = docs.select("doc_id", "text", F.xxhash64("text").alias("key")).collect()
     want = dict(zip([(i, t) for i, t, *_ in rows],
                     cases.repeated_bytes([r[1] for r in rows], repeats.LENGTH), strict=True))
     for r in keys:
         size, removed, spans, digest = want[r.doc_id, r.text]
         if not removed:
-            assert (r.doc_id, r.key) not in cut
+            assert r.key not in cut
             continue
-        got = cut[r.doc_id, r.key]
+        got = cut[r.key]
         assert (got.n_removed, got.n_spans, got.kept_sha256) == (removed, spans, digest)
         assert sum(s.end - s.begin for s in got.spans) == removed
     assert repeats.repeated_bytes(empty(spark)).count() == 0
@@ -167,13 +167,12 @@ def test_repeated_strings_equal_all_windows(spark):
 
 def test_long_texts_in_pieces_have_the_same_windows(monkeypatch):
     text = prose(random.Random(9), 2000).encode()
-    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "key": [2], "text": [text]})
+    batch = pa.RecordBatch.from_pydict({"key": [2], "text": [text]})
 
     def windows():
         out = set()
         for b in repeats._find_runs(iter([batch])):
-            for place, first, last in zip(*(b.column(c).to_pylist() for c in ("place", "first", "last")),
-                                          strict=True):
+            for place, first, last in zip(*repeats._unrun(b.column("run").to_numpy()), strict=True):
                 out |= {(place, w) for w in range(first, last + 1)}
         return out
 
