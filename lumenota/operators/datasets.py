@@ -367,245 +367,208 @@ def synthetic_cpf(seed: Column) -> Column:
 
 
 # --- misreadings ------------------------------------------------------------------------------
+#
+# A misreading is the least change to an invoice that fits the definition of one tag. Each rule names
+# the member it rewrites and gives the new value, null where the tag cannot apply. Rows are chosen by
+# what they hold: the dearest row, or the ends of the list.
 
-Change = Callable[[Column], dict[str, Column]]
+Rule = Callable[[], dict[str, Column]]
+MISREADINGS: dict[str, Rule] = {}
+_ROW_TYPES = {"quantity": "decimal(18,4)", "unit_price": "decimal(18,4)", "total": MONEY}
 
 
-def _pick(seed: Column, count: Column) -> Column:
-    """A zero-based index below ``count`` from a seed text."""
-    head = F.conv(F.substring(F.md5(seed), 1, 8), 16, 10).cast("bigint")
-    return F.pmod(head, F.greatest(count, F.lit(1)).cast("bigint")).cast("int")
+def _misreading(tag: str) -> Callable[[Rule], Rule]:
+    def register(rule: Rule) -> Rule:
+        MISREADINGS[tag] = rule
+        return rule
 
+    return register
 
-def _items() -> Column:
-    return F.col("items")
 
+def _length() -> Column:
+    return F.size("items")
 
-def _at(items: Column, index: Column) -> Column:
-    return F.element_at(items, index + 1)
 
+def _dearest() -> Column:
+    """Place (from one) of the row with the greatest total, the first of equals."""
+    totals = F.col("items")["total"]
+    return F.array_position(totals, F.array_max(totals)).cast("int")
 
-def _replace(index: Column, change: Callable[[Column], Column]) -> Column:
-    return F.transform(
-        _items(), lambda item, i: F.when(i == index, change(item)).otherwise(item)
-    )
 
+def _row(place: Column) -> Column:
+    return F.try_element_at("items", place)
 
-def _without(index: Column) -> Column:
-    return F.filter(_items(), lambda _, i: i != index)
 
+def _edited(row: Column, values: dict[str, Column]) -> Column:
+    for name, value in values.items():
+        row = row.withField(name, value.cast(_ROW_TYPES[name]) if name in _ROW_TYPES else value)
+    return row
 
-def _same(item: Column, **members: Column) -> Column:
-    """An item with members replaced by values of the same type."""
-    changed = item
-    for name, value in members.items():
-        kind = {"quantity": "decimal(18,4)", "unit_price": "decimal(18,4)"}.get(name)
-        if kind is None and name in ("total", "icms_base", "icms_amount"):
-            kind = MONEY
-        changed = changed.withField(name, value.cast(kind) if kind else value)
-    return changed
 
+def _with_row(place: Column, **values: Column) -> Column:
+    """The items with members of one row replaced."""
+    return F.transform(
+        "items", lambda row, i: F.when(i + 1 == place, _edited(row, values)).otherwise(row)
+    )
 
-def _party_swap(seed: Column) -> dict[str, Column]:
-    issuer, recipient = F.col("issuer"), F.col("recipient")
-    return {
-        "issuer": issuer.withField("cnpj", recipient["tax_id"]).withField(
-            "name", recipient["name"]
-        ),
-        "recipient": recipient.withField("tax_id", issuer["cnpj"]).withField(
-            "name", issuer["name"]
-        ),
-    }
 
+def _first_rows(count: Column) -> Column:
+    return F.slice("items", F.lit(1), F.greatest(count, F.lit(0)))
 
-def _trailing(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    return {"items": F.when(n >= 4, F.slice(_items(), F.lit(1), F.greatest(n - 2, F.lit(0))))}
 
+def _box(name: str, value: Column) -> Column:
+    return F.col("totals").withField(name, value.cast(MONEY))
 
-def _dropped(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    return {"items": F.when(n >= 4, _without(_pick(seed, n - 3) + 1))}
 
+def _all_but_last(text: Column) -> Column:
+    return F.substring(text, F.lit(1), F.length(text) - 1)
 
-def _invented(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    fake = _same(
-        _at(_items(), F.lit(0)),
-        code=F.lit("ZZ9999"), description=F.lit("PRODUTO INEXISTENTE INVENTADO"),
-        ncm=F.lit("99999999"), unit=F.lit("KG"), quantity=dec("1.0000"), unit_price=dec("1.0000"),
-        total=dec("1.00"), icms_base=dec("0.00"), icms_amount=dec("0.00"),
-    )
-    place = _pick(seed, n + 1)
-    head = F.slice(_items(), F.lit(1), place)
-    tail = F.slice(_items(), place + 1, F.greatest(n - place, F.lit(0)))
-    return {"items": F.when(n > 0, F.concat(head, F.array(fake), tail))}
-
-
-def _merged(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    i = _pick(seed, n - 1)
-    following = F.try_element_at(_items(), i + 2)
-    first = F.try_element_at(_items(), i + 1)
-    usable = (n >= 3) & (first["total"] != 0) & (following["total"] != 0)
-    joined = _replace(
-        i,
-        lambda item: _same(
-            item,
-            quantity=item["quantity"] + following["quantity"],
-            total=item["total"] + following["total"],
-        ),
-    )
-    return {"items": F.when(usable, F.filter(joined, lambda _, k: k != i + 1))}
+
+@_misreading("party_swap")
+def _parties_exchanged() -> dict[str, Column]:
+    """Each party carries the other's number."""
+    issuer, recipient = F.col("issuer"), F.col("recipient")
+    return {
+        "issuer": issuer.withField("cnpj", recipient["tax_id"]),
+        "recipient": recipient.withField("tax_id", issuer["cnpj"]),
+    }
 
 
-def _split(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    i = _pick(seed, n)
-    row = F.try_element_at(_items(), i + 1)
-    quantity = F.bround(row["quantity"] / 2, 4).cast("decimal(18,4)")
-    total = F.bround(row["total"] / 2, 2).cast(MONEY)
-    first = _same(row, quantity=quantity, total=total)
-    second = _same(row, quantity=row["quantity"] - quantity, total=row["total"] - total)
-    usable = (n > 0) & (row["total"] >= dec("0.10")) & (row["quantity"] >= dec("0.0002"))
-    head = F.slice(_items(), F.lit(1), i)
-    tail = F.slice(_items(), i + 2, F.greatest(n - i - 1, F.lit(0)))
-    return {"items": F.when(usable, F.concat(head, F.array(first, second), tail))}
+@_misreading("merged_rows")
+def _last_two_in_one() -> dict[str, Column]:
+    """The last row is read as part of the one above it."""
+    n = _length()
+    last, above = _row(n), _row(n - 1)
+    sums = {name: above[name] + last[name] for name in ("quantity", "total")}
+    both = F.slice(_with_row(n - 1, **sums), F.lit(1), F.greatest(n - 1, F.lit(0)))
+    return {"items": F.when((n > 2) & (last["total"] * above["total"] != 0), both)}
+
+
+@_misreading("split_rows")
+def _dearest_in_two() -> dict[str, Column]:
+    """A quarter of the dearest row stands in a row of its own at the end."""
+    at = _dearest()
+    row = _row(at)
+    part = {
+        name: F.bround(row[name] / 4, scale).cast(_ROW_TYPES[name])
+        for name, scale in (("quantity", 4), ("total", 2))
+    }
+    left = {name: row[name] - value for name, value in part.items()}
+    large = (part["quantity"] > 0) & (part["total"] > 0)
+    rows = F.concat(_with_row(at, **left), F.array(_edited(row, part)))
+    return {"items": F.when(large, rows)}
 
 
-def _other_row(seed: Column) -> dict[str, Column]:
-    n = F.size("items")
-    i = _pick(seed, n)
-    j = F.pmod(i + 1, F.greatest(n, F.lit(1)))
-    mine, other = F.try_element_at(_items(), i + 1), F.try_element_at(_items(), j + 1)
-    usable = (n >= 3) & (mine["total"] != other["total"]) & (other["total"] != 0)
-    return {"items": F.when(usable, _replace(i, lambda item: _same(item, total=other["total"])))}
+@_misreading("trailing_rows_lost")
+def _second_half_lost() -> dict[str, Column]:
+    n = _length()
+    return {"items": F.when(n > 1, _first_rows(F.ceil(n / 2).cast("int")))}
 
 
-def _totals(name: str, value: Column, usable: Column) -> dict[str, Column]:
-    return {"totals": F.when(usable, F.col("totals").withField(name, value.cast(MONEY)))}
+@_misreading("dropped_row")
+def _first_row_lost() -> dict[str, Column]:
+    n = _length()
+    return {"items": F.when(n > 2, F.slice("items", F.lit(2), F.greatest(n - 1, F.lit(0))))}
 
 
-def _other_box(seed: Column) -> dict[str, Column]:
-    products = F.col("totals.products_total")
-    return _totals("freight", products, (products != 0) & (products != F.col("totals.freight")))
+@_misreading("invented_row")
+def _mirrored_row_added() -> dict[str, Column]:
+    """The dearest row once more with its texts mirrored and its amounts raised."""
+    row = _row(_dearest())
+    texts = {name: F.reverse(row[name]) for name in ("code", "description", "ncm", "unit")}
+    amounts = {name: row[name] + row[name] + 1 for name in _ROW_TYPES}
+    return {"items": F.when(row.isNotNull(), F.concat("items", F.array(_edited(row, texts | amounts))))}
 
 
-def _thousands(seed: Column) -> dict[str, Column]:
-    total = F.col("totals.invoice_total")
-    return _totals("invoice_total", total * 100, total >= 1)
+@_misreading("value_from_other_row")
+def _total_of_the_cheapest() -> dict[str, Column]:
+    at, totals = _dearest(), F.col("items")["total"]
+    least = F.array_min(F.filter(totals, lambda total: total != 0))
+    usable = (_length() > 2) & (least < F.array_max(totals))
+    return {"items": F.when(usable, _with_row(at, total=least))}
 
 
-def _zero(seed: Column) -> dict[str, Column]:
-    taxed = F.transform(_items(), lambda item: item["icms_amount"] != 0)
-    first = F.array_position(taxed, F.lit(True)).cast("int")
-    blank = _replace(first - 1, lambda item: _same(item, icms_amount=dec("0.00")))
-    return {"items": F.when(first > 0, blank)}
+@_misreading("value_from_other_box")
+def _products_for_the_whole() -> dict[str, Column]:
+    whole, products = F.col("totals.invoice_total"), F.col("totals.products_total")
+    return {"totals": F.when((products != 0) & (products != whole), _box("invoice_total", products))}
 
 
-def _transposed(seed: Column) -> dict[str, Column]:
-    key, one = F.col("access_key"), F.lit(1)
-    digit = lambda i: F.substring(key, i, one)
-    spots = F.filter(
-        F.sequence(F.lit(1), F.length(key) - 1),
-        lambda i: digit(i).rlike("[0-9]") & digit(i + 1).rlike("[0-9]") & (digit(i) != digit(i + 1)),
-    )
-    i = F.try_element_at(spots, F.lit(1))
-    swapped = F.concat(
-        F.substring(key, one, i - 1), digit(i + 1), digit(i), F.substring(key, i + 2, F.length(key))
-    )
-    return {"access_key": swapped}
+@_misreading("thousands_misparse")
+def _comma_for_a_point() -> dict[str, Column]:
+    whole = F.col("totals.invoice_total")
+    return {"totals": F.when(whole != 0, _box("invoice_total", whole * 1000))}
 
 
-def _substituted(seed: Column) -> dict[str, Column]:
-    cnpj, one = F.col("issuer.cnpj"), F.lit(1)
-    spots = F.filter(
-        F.sequence(F.lit(1), F.length(cnpj)), lambda i: F.substring(cnpj, i, one).rlike("[0-9]")
-    )
-    i = F.try_element_at(spots, F.lit(1))
-    digit = F.when(F.substring(cnpj, i, one) == "0", "1").otherwise("0")
-    changed = F.concat(
-        F.substring(cnpj, one, i - 1), digit, F.substring(cnpj, i + 1, F.length(cnpj))
-    )
-    return {"issuer": F.when(i.isNotNull(), F.col("issuer").withField("cnpj", changed))}
+@_misreading("zero_for_blank")
+def _freight_read_as_nothing() -> dict[str, Column]:
+    freight = F.col("totals.freight")
+    return {"totals": F.when(freight != 0, _box("freight", freight - freight))}
 
 
-def _shortened(seed: Column) -> dict[str, Column]:
-    tax_id = F.col("recipient.tax_id")
-    shorter = F.substring(tax_id, F.lit(1), F.length(tax_id) - 1)
-    return {"recipient": F.col("recipient").withField("tax_id", shorter)}
+@_misreading("digit_transposition")
+def _last_unequal_digits_exchanged() -> dict[str, Column]:
+    """The last two unequal neighbours among the access key's digits change places."""
+    key = "access_key"
+    pair = r"^(.*)([0-9])(?!\2)([0-9])(.*)$"
+    swapped = F.regexp_replace(key, pair, "$1$3$2$4")
+    return {key: F.when(swapped != F.col(key), swapped)}
 
 
-def _near_text(seed: Column) -> dict[str, Column]:
-    text = F.try_element_at(_items(), F.lit(1))["description"]
-    shorter = F.substring(text, F.lit(1), F.length(text) - 1)
-    changed = _replace(F.lit(0), lambda item: item.withField("description", shorter))
-    return {"items": F.when(F.length(text) >= 12, changed)}
+@_misreading("digit_substitution")
+def _last_digit_raised() -> dict[str, Column]:
+    cnpj = F.col("issuer.cnpj")
+    digit = F.substring(cnpj, -1, 1)
+    raised = F.pmod(digit.try_cast("int") + 1, F.lit(10)).cast("string")
+    changed = F.concat(_all_but_last(cnpj), raised)
+    return {"issuer": F.when(changed.isNotNull(), F.col("issuer").withField("cnpj", changed))}
 
 
-def _wrong_text(seed: Column) -> dict[str, Column]:
-    other = "DEVOLUCAO DE MERCADORIA"
-    return {"operation_nature": F.when(F.col("operation_nature") != other, F.lit(other))}
+@_misreading("digit_count")
+def _last_digit_doubled() -> dict[str, Column]:
+    tax_id = F.col("recipient.tax_id")
+    longer = F.concat(tax_id, F.substring(tax_id, -1, 1))
+    return {"recipient": F.when(tax_id != "", F.col("recipient").withField("tax_id", longer))}
 
 
-def _wrong_code(seed: Column) -> dict[str, Column]:
-    def change(item: Column) -> Column:
-        code = F.when(item["cfop"].isin("6403", "6404"), "5102").otherwise("6403")
-        return item.withField("cfop", code)
+@_misreading("text_near_miss")
+def _last_letter_doubled() -> dict[str, Column]:
+    at = _dearest()
+    text = _row(at)["description"]
+    longer = F.concat(text, F.substring(text, -1, 1))
+    return {"items": F.when(F.length(text) > 10, _with_row(at, description=longer))}
 
-    return {"items": F.when(F.size("items") > 0, _replace(F.lit(0), change))}
 
+@_misreading("text_wrong")
+def _nature_mirrored() -> dict[str, Column]:
+    nature, mirrored = F.col("operation_nature"), F.reverse("operation_nature")
+    return {"operation_nature": F.when(nature != mirrored, mirrored)}
 
-def _wrong_date(seed: Column) -> dict[str, Column]:
-    date = F.col("issue_date")
-    day = F.when(F.dayofmonth(date) == 2, 3).otherwise(2)
-    return {"issue_date": F.make_date(F.year(date), F.month(date), day)}
 
+@_misreading("tax_code_wrong")
+def _last_code_mirrored() -> dict[str, Column]:
+    n = _length()
+    code = _row(n)["cfop"]
+    return {"items": F.when(code != F.reverse(code), _with_row(n, cfop=F.reverse(code)))}
 
-def _odd_amount(seed: Column) -> dict[str, Column]:
-    amount = F.col("totals.icms_amount")
-    return _totals("icms_amount", amount + dec("3817.46"), F.lit(True))
 
+@_misreading("date_wrong")
+def _a_day_late() -> dict[str, Column]:
+    return {"issue_date": F.date_add("issue_date", 1)}
 
-CORRUPTIONS: tuple[tuple[str, Change], ...] = (
-    ("party_swap", _party_swap),
-    ("merged_rows", _merged),
-    ("split_rows", _split),
-    ("trailing_rows_lost", _trailing),
-    ("dropped_row", _dropped),
-    ("invented_row", _invented),
-    ("value_from_other_row", _other_row),
-    ("value_from_other_box", _other_box),
-    ("thousands_misparse", _thousands),
-    ("zero_for_blank", _zero),
-    ("digit_transposition", _transposed),
-    ("digit_substitution", _substituted),
-    ("digit_count", _shortened),
-    ("text_near_miss", _near_text),
-    ("text_wrong", _wrong_text),
-    ("tax_code_wrong", _wrong_code),
-    ("date_wrong", _wrong_date),
-    ("untagged", _odd_amount),
-)
 
+@_misreading("untagged")
+def _tax_of_no_kind() -> dict[str, Column]:
+    tax = F.col("totals.icms_amount")
+    return {"totals": _box("icms_amount", tax + tax + dec("71.03"))}
 
-def corrupt(invoices: DataFrame, tag: str, seed: str, *, case: str = "case_id") -> DataFrame:
-    """Invoices with the misreading of a tag; those it does not apply to are left out.
 
-    The row it touches follows from the digest of (seed, tag, case).
-    """
-    changes = dict(CORRUPTIONS)[tag](
-        F.concat_ws("-", F.lit(seed), F.lit(tag), F.col(case).cast("string"))
-    )
-    columns = [
-        (changes[name] if name in changes else F.col(name)).alias(name)
-        for name in invoices.columns
-    ]
+def corrupt(invoices: DataFrame, tag: str) -> DataFrame:
+    """Invoices with the misreading of a tag; those it does not apply to are left out."""
+    changes = MISREADINGS[tag]()
+    columns = [changes.get(name, F.col(name)).alias(name) for name in invoices.columns]
     changed = invoices.select(*columns)
-    kept = F.lit(True)
-    for name in changes:
-        kept = kept & F.col(name).isNotNull()
-    return changed.filter(kept)
+    return changed.dropna("any", subset=list(changes))
 
 
 def expected_block(invoices: DataFrame) -> DataFrame:

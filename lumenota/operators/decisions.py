@@ -20,9 +20,17 @@ CALLED = ("ok", "error")
 def label(cases: DataFrame, policy: DataFrame) -> DataFrame:
     """Cases with the decision, cause and rule of the first policy rule that applies.
 
-    ``cases`` has ``extraction_status, tax_id, has_warning, invoice_total``; ``policy`` is one row.
+    ``cases`` has ``extraction_status, tax_id, has_warning, invoice_total``; ``policy`` is one row,
+    any other number of rows is an error.
     """
-    joined = cases.crossJoin(F.broadcast(policy.select("buyer_cnpj", "approval_limit").limit(1)))
+    one = policy.agg(
+        F.count(F.lit(1)).alias("rows"), F.first("buyer_cnpj").alias("buyer"),
+        F.first("approval_limit").alias("approval_limit"),
+    )
+    refuse = F.raise_error(F.lit("a policy has exactly one row"))
+    buyer = F.when(F.col("rows") == 1, F.col("buyer")).otherwise(refuse)
+    one = one.select(buyer.alias("buyer_cnpj"), "approval_limit")
+    joined = cases.crossJoin(F.broadcast(one))
     rule = (
         F.when(~F.col("extraction_status").eqNullSafe("success"), 1)
         .when(~F.col("tax_id").eqNullSafe(F.col("buyer_cnpj")), 2)
@@ -112,14 +120,19 @@ def grade_decisions(records: DataFrame, labels: DataFrame) -> DataFrame:
     """Records against their labels: decision, cause and the model's own decision.
 
     A decided case without a final decision is wrong. A cause counts only where the label
-    escalates; undecided cases have no grades.
+    escalates; undecided cases have no grades. A record without a label is an error.
     """
     expected = labels.select(
         "case_id",
         F.col("decision").alias("expected_decision"),
         F.col("cause").alias("expected_cause"),
+        F.lit(True).alias("labelled"),
     )
-    joined = records.join(expected, "case_id")
+    joined = records.join(expected, "case_id", "left")
+    refuse = F.raise_error(F.concat(F.lit("no label for case "), F.col("case_id").cast("string")))
+    joined = joined.withColumn(
+        "status", F.when(F.col("labelled"), F.col("status")).otherwise(refuse)
+    ).drop("labelled")
     decided = F.col("status") == "decided"
     has = F.col("decision").isNotNull()
     return joined.withColumns(

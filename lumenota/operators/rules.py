@@ -520,14 +520,23 @@ def installment_findings(
     return late.unionByName(off)
 
 
-def flat_null_findings(headers: DataFrame, items: DataFrame, *, key: str = "case_id") -> DataFrame:
-    """NULL_VALUE findings of flat header and item tables."""
+def flat_null_findings(
+    headers: DataFrame, items: DataFrame, installments: DataFrame | None = None, *,
+    key: str = "case_id",
+) -> DataFrame:
+    """NULL_VALUE findings of flat header, item and installment tables."""
     header = headers.select(
         key, F.explode(_null_paths(HEADER_REQUIRED, F.col, F.lit(""))).alias("path")
     )
-    prefix = F.concat(F.lit("items["), F.col("row").cast("string"), F.lit("]."))
-    item = items.select(key, F.explode(_null_paths(ITEM_FIELDS, F.col, prefix)).alias("path"))
-    return header.unionByName(item).select(key, F.inline(F.array(_null_finding(F.col("path")))))
+
+    def listed(rows: DataFrame, name: str, fields: Sequence[str]) -> DataFrame:
+        prefix = F.concat(F.lit(f"{name}["), F.col("row").cast("string"), F.lit("]."))
+        return rows.select(key, F.explode(_null_paths(fields, F.col, prefix)).alias("path"))
+
+    paths = header.unionByName(listed(items, "items", ITEM_FIELDS))
+    if installments is not None:
+        paths = paths.unionByName(listed(installments, "installments", INSTALLMENT_FIELDS))
+    return paths.select(key, F.inline(F.array(_null_finding(F.col("path")))))
 
 
 def validate_flat(
@@ -535,7 +544,7 @@ def validate_flat(
     key: str = "case_id",
 ) -> DataFrame:
     """All findings of flat tables; a case with a null value keeps only its NULL_VALUE rows."""
-    nulls = flat_null_findings(headers, items, key=key)
+    nulls = flat_null_findings(headers, items, installments, key=key)
     head = headers.select(key, F.inline(header_findings(reference_date, formula=True)))
     found = (
         head.unionByName(item_table_findings(items, key=key))

@@ -38,19 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# A table below this many bytes per core may be a single row group, read by a single task.
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """A small table hashed by ``key`` over all cores; a large one as it is read.
-
-    The size comes from the scan's own statistics. Beyond the bound a table has row groups enough,
-    and a shuffle before the expressions would only cost.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, key) if size < cores * SPREAD_BYTES_PER_CORE else df
+    """A table hashed by the key that later steps group by; they find it in place."""
+    return df.repartition(key)
 
 
 LINE_COLUMNS = (
@@ -144,20 +134,20 @@ def _answers() -> dict[str, list[tuple[Column, Column]]]:
     shorter = F.substring(col("description"), F.lit(1), F.length("description") - 1)
     return {
         "code": [
-            (invented, F.lit("ZZ9999")),
+            (invented, F.lit("NOROW-1")),
             (f == 36, F.concat(F.lit("Q"), F.substring("code", 2, 40))),
         ],
         "description": [
-            (invented, F.lit("invented row")),
+            (invented, F.lit("row of no invoice")),
             (f == 38, shorter),
             (f == 39, F.lit("unreadable")),
         ],
-        "ncm": [(invented, F.lit("99999999")), (f == 37, F.substring("ncm", 1, 7))],
+        "ncm": [(invented, F.lit("00112233")), (f == 37, F.substring("ncm", 1, 7))],
         "cst_csosn": [(f == 40, F.lit("9999"))],
         "cfop": [(f == 50, F.lit("9999"))],
-        "unit": [(invented, F.lit("KG")), (f == 41, F.lit("ZZ"))],
+        "unit": [(invented, F.lit("CX")), (f == 41, F.lit("ZZ"))],
         "quantity": [
-            (invented, dec("1.0000")),
+            (invented, dec("6.0000")),
             (other_half, col("quantity") - quantity_half),
             (f == MERGED, col("quantity") + 3),
             (f == SPLIT, quantity_half),
@@ -165,18 +155,18 @@ def _answers() -> dict[str, list[tuple[Column, Column]]]:
             (f.between(45, 49), dec("25.0000")),
         ],
         "unit_price": [
-            (invented, dec("1.0000")),
-            (f == 44, col("unit_price") + dec("3817.46")),
+            (invented, dec("8.5000")),
+            (f == 44, col("unit_price") + dec("2941.83")),
         ],
         "total": [
-            (invented, dec("1.00")),
+            (invented, dec("51.00")),
             (other_half, col("total") - total_half),
             (f == MERGED, col("total") + dec("7.50")),
             (f == SPLIT, total_half),
             (f == 35, _swapped_cents(col("total"))),
             (f == 43, col("total") + dec("0.01")),
         ],
-        "icms_base": [(invented, dec("0.00"))],
+        "icms_base": [(invented, dec("51.00"))],
         "icms_amount": [
             (invented | (f == 34), dec("0.00")),
             (f == 42, col("total")),
@@ -447,7 +437,7 @@ def _answered_fields() -> dict[str, Column]:
         .otherwise(box["invoice_total"]),
         "freight": F.when(g == 9, box["products_total"]).otherwise(box["freight"]),
         "discount": F.when(g == 10, dec("0.00")).otherwise(box["discount"]),
-        "icms_amount": F.when(g == 13, box["icms_amount"] + dec("3817.46")).otherwise(
+        "icms_amount": F.when(g == 13, box["icms_amount"] + dec("2941.83")).otherwise(
             box["icms_amount"]
         ),
     }

@@ -97,21 +97,21 @@ links AS (
     CASE WHEN adj THEN a_ia ELSE b_ia END AS t_icms_amount,
     pc AS t_ipi_rate,
     CASE WHEN adj THEN a_pa ELSE b_pa END AS t_ipi_amount,
-    CASE WHEN inv THEN 'ZZ9999' WHEN f=36 THEN 'Q'||substr(b_code,2) ELSE b_code END AS p_code,
-    CASE WHEN inv THEN 'invented row' WHEN f=38 THEN substr(b_description,1,length(b_description)-1)
+    CASE WHEN inv THEN 'NOROW-1' WHEN f=36 THEN 'Q'||substr(b_code,2) ELSE b_code END AS p_code,
+    CASE WHEN inv THEN 'row of no invoice' WHEN f=38 THEN substr(b_description,1,length(b_description)-1)
          WHEN f=39 THEN 'unreadable' ELSE b_description END AS p_description,
-    CASE WHEN inv THEN '99999999' WHEN f=37 THEN substr(b_ncm,1,7) ELSE b_ncm END AS p_ncm,
+    CASE WHEN inv THEN '00112233' WHEN f=37 THEN substr(b_ncm,1,7) ELSE b_ncm END AS p_ncm,
     CASE WHEN f=40 THEN '9999' ELSE cst END AS p_cst_csosn,
     CASE WHEN f=50 THEN '9999' ELSE cfop END AS p_cfop,
-    CASE WHEN inv THEN 'KG' WHEN f=41 THEN 'ZZ' ELSE b_unit END AS p_unit,
-    CASE WHEN inv THEN 10000 WHEN slot=1 AND f=24 THEN b_q - b_q//2 WHEN f=23 THEN b_q+30000
+    CASE WHEN inv THEN 'CX' WHEN f=41 THEN 'ZZ' ELSE b_unit END AS p_unit,
+    CASE WHEN inv THEN 60000 WHEN slot=1 AND f=24 THEN b_q - b_q//2 WHEN f=23 THEN b_q+30000
          WHEN f=24 THEN b_q//2 WHEN f=3 THEN b_q*10 WHEN f BETWEEN 45 AND 49 THEN 250000
          ELSE b_q END AS p_quantity,
-    CASE WHEN inv THEN 10000 WHEN f=44 THEN b_u+38174600 ELSE b_u END AS p_unit_price,
-    CASE WHEN inv THEN 100 WHEN slot=1 AND f=24 THEN c - c//2 WHEN f=23 THEN c+750
+    CASE WHEN inv THEN 85000 WHEN f=44 THEN b_u+29418300 ELSE b_u END AS p_unit_price,
+    CASE WHEN inv THEN 5100 WHEN slot=1 AND f=24 THEN c - c//2 WHEN f=23 THEN c+750
          WHEN f=24 THEN c//2 WHEN f=35 THEN (c//100)*100 + (c%10)*10 + (c//10)%10
          WHEN f=43 THEN c+1 ELSE c END AS p_total,
-    CASE WHEN inv THEN 0 ELSE c END AS p_icms_base, rc AS p_icms_rate,
+    CASE WHEN inv THEN 5100 ELSE c END AS p_icms_base, rc AS p_icms_rate,
     CASE WHEN inv OR f=34 THEN 0 WHEN f=42 THEN c ELSE b_ia END AS p_icms_amount,
     pc AS p_ipi_rate,
     CASE WHEN f=51 THEN b_pa*100 ELSE b_pa END AS p_ipi_amount
@@ -205,7 +205,7 @@ p_head AS (
       AS tax_id_kind,
     CASE WHEN g=1 THEN issuer_name ELSE recipient_name END AS recipient_name, recipient_ie,
     CASE WHEN g=11 THEN 'ZZ' ELSE recipient_uf END AS recipient_uf,
-    icms_base, CASE WHEN g=13 THEN icms_amount+381746 ELSE icms_amount END AS icms_amount,
+    icms_base, CASE WHEN g=13 THEN icms_amount+294183 ELSE icms_amount END AS icms_amount,
     icms_st_base, icms_st_amount, products_total,
     CASE WHEN g=9 THEN products_total ELSE freight END AS freight, insurance,
     CASE WHEN g=10 THEN 0 ELSE discount END AS discount, other_expenses, ipi_amount,

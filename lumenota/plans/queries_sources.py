@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from lumenota.plans import bindings as b
 from lumenota.plans import oracle_sql as q
 from lumenota.plans.queries_rules import COLUMNS, HEAD_SQL
 from lumenota.plans.registry import query
-from lumenota.session import CHECKPOINT_KEY
+from lumenota.session import shared_folder
 from lumenota.sources import nfe, records, sinks, tables
 from lumenota.streaming import streams
 
@@ -550,14 +550,15 @@ def synthetic_ids(spark, sf):
     q.with_ctes(
         q.CASES, q.HEADERS,
         select="""SELECT case_id, 'party_swap' AS tag, tax_id||'/'||issuer_cnpj AS changed FROM t_head UNION ALL
-          SELECT case_id, 'digit_count', substr(tax_id,1,length(tax_id)-1) FROM t_head UNION ALL
-          SELECT case_id, 'digit_substitution', CASE WHEN substr(issuer_cnpj,1,1)='0' THEN '1' ELSE '0' END||
-            substr(issuer_cnpj,2) FROM t_head UNION ALL
-          SELECT case_id, 'date_wrong', CAST(make_date(year(issue_date), month(issue_date),
-            CASE WHEN day(issue_date)=2 THEN 3 ELSE 2 END) AS VARCHAR) FROM t_head UNION ALL
-          SELECT case_id, 'thousands_misparse', CAST(invoice_total AS VARCHAR)||'.00' FROM t_head UNION ALL
+          SELECT case_id, 'digit_count', tax_id||right(tax_id,1) FROM t_head UNION ALL
+          SELECT case_id, 'digit_substitution', left(issuer_cnpj,length(issuer_cnpj)-1)||
+            (CAST(right(issuer_cnpj,1) AS INTEGER)+1)%10 FROM t_head UNION ALL
+          SELECT case_id, 'date_wrong', CAST(CAST(issue_date+INTERVAL 1 DAY AS DATE) AS VARCHAR) FROM t_head
+          UNION ALL SELECT case_id, 'thousands_misparse', CAST(invoice_total*10 AS VARCHAR)||'.00' FROM t_head
+          WHERE invoice_total<>0 UNION ALL
           SELECT case_id, 'value_from_other_box', products_total//100||'.'||
-            lpad(CAST(products_total%100 AS VARCHAR),2,'0') FROM t_head WHERE products_total NOT IN (0,1000)""",
+            lpad(CAST(products_total%100 AS VARCHAR),2,'0') FROM t_head
+            WHERE products_total<>0 AND products_total<>invoice_total""",
     ),
 )
 def corrupt_header(spark, sf):
@@ -569,10 +570,10 @@ def corrupt_header(spark, sf):
         "digit_substitution": C("issuer.cnpj"),
         "date_wrong": C("issue_date").cast("string"),
         "thousands_misparse": C("totals.invoice_total").cast("string"),
-        "value_from_other_box": C("totals.freight").cast("string"),
+        "value_from_other_box": C("totals.invoice_total").cast("string"),
     }
     parts = [
-        ds.corrupt(heads, tag, "9").select(
+        ds.corrupt(heads, tag).select(
             "case_id", F.lit(tag).alias("tag"), value.alias("changed")
         )
         for tag, value in shown.items()
@@ -651,13 +652,8 @@ def validate_nested(spark, sf):
 
 
 def work_folder(spark):
-    """A fresh folder under the cluster's shared checkpoint folder, or a temporary one in tests."""
-    shared = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        return tempfile.mkdtemp(prefix="lumenota-stream-")
-    import uuid
-
-    return f"{shared}/lumenota-stream-{uuid.uuid4().hex}"
+    """A fresh folder in the shared one, for a stream's tables and state."""
+    return f"{shared_folder(spark)}/lumenota-stream-{uuid.uuid4().hex}"
 
 
 @query(

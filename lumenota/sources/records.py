@@ -44,12 +44,13 @@ class BadRecord(ValueError):
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, place, line``: the lines of run files in file order."""
+    """``file, block, place, size, line``: the lines of run files in file order."""
     text = spark.read.text(path, lineSep="\n")
     return text.select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("place"),
+        F.col("_metadata.file_size").alias("size"),
         F.col("value").alias("line"),
     )
 
@@ -71,48 +72,42 @@ def parse_records(lines: DataFrame, schema: str = RECORD_SCHEMA) -> DataFrame:
     return kept.withColumns({"record": record, "reason": reason})
 
 
-def _ends_with_newline(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    system = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    size = system.getFileStatus(location).getLen()
-    if size == 0:
-        return True
-    stream = system.open(location)
-    try:
-        stream.seek(size - 1)
-        return stream.read() == 10
-    finally:
-        stream.close()
+def bad_files(lines: DataFrame) -> DataFrame:
+    """Files with a bad line that is not a torn end: ``file`` and the ``reason`` of its first.
+
+    A torn end is bad JSON in the last line of a file without a final newline. Whether there is one
+    follows from the file's size against its lines, with or without a leading byte order mark.
+    """
+    parsed = parse_records(lines)
+    bad = F.col("reason").isNotNull()
+    place = F.struct("block", "place")
+    found = parsed.groupBy("file").agg(
+        F.count_if(bad).alias("n"),
+        F.min_by("reason", F.when(bad, place)).alias("reason"),
+        F.max_by("reason", place).alias("last"),
+    )
+    sizes = lines.groupBy("file").agg(
+        (F.max("size") - F.sum(F.octet_length("line") + 1)).alias("rest")
+    )
+    torn = (F.col("n") == 1) & F.col("last").eqNullSafe("invalid JSON") & F.col("rest").isin(-1, 2)
+    return found.filter("n > 0").join(sizes, "file").filter(~torn).select("file", "reason")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The latest record of every case of a run folder or file.
 
     A file's torn last line (bad JSON in a file without a final newline) is left out; any other bad
-    line raises ``BadRecord`` with its text position.
+    line of any file raises ``BadRecord``.
     """
-    parsed = parse_records(read_lines(spark, path))
-    bad = parsed.filter(F.col("reason").isNotNull())
-    per_file = bad.groupBy("file").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max_by(F.struct("reason", "line"), F.struct("block", "place")).alias("last"),
-    )
-    torn = []
-    for row in per_file.limit(1000).collect():
-        whole = row.n > 1 or row.last.reason != "invalid JSON"
-        if whole or _ends_with_newline(spark, row.file):
-            raise BadRecord(f"{row.file}: a line is not a run record ({row.last.reason})")
-        torn.append(row.file)
-    good = parsed.filter(F.col("reason").isNull())
+    lines = read_lines(spark, path)
+    first = bad_files(lines).orderBy("file").first()
+    if first is not None:
+        raise BadRecord(f"{first.file}: a line is not a run record ({first.reason})")
+    good = parse_records(lines).filter(F.col("reason").isNull())
     rows = good.select("record.*", "file", "block", "place")
     return latest_per_key(rows, ["case_id"], ["file", "block", "place"])
 
 
-def with_later_wins(rows: DataFrame, order: list[str]) -> DataFrame:
-    return latest_per_key(rows, ["case_id"], order)
-
-
 def append_records(df: DataFrame, path: str) -> None:
     """Append records durably, one JSON line each."""
     df.write.mode("append").json(path)

@@ -38,7 +38,8 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per manifest case; absent members stay null, a null base case is the case."""
     cases = _json(spark, path, MANIFEST_SCHEMA).select(F.inline("cases"))
-    return cases.filter(F.col("case_id").isNotNull())
+    cases = cases.filter(F.col("case_id").isNotNull())
+    return cases.withColumn("base_case", F.coalesce("base_case", "case_id"))
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -97,7 +98,7 @@ def read_run_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_decision_cases(spark: SparkSession, path: str) -> DataFrame:
-    """The decision cases of a folder of case files, one file each."""
+    """The decision cases of a folder of case files, one file each; a bad case id is an error."""
     return decision_cases(spark.read.text(path, wholetext=True))
 
 
@@ -110,7 +111,7 @@ def decision_cases(raw: DataFrame) -> DataFrame:
     )
     body = F.get_json_object("value", "$.invoice")
     rows = raw.select(head.alias("h"), F.when(body.isNotNull(), typed_invoice(body)).alias("invoice"))
-    return rows.select(
+    rows = rows.select(
         "h.case_id",
         F.col("h.extraction.status").alias("extraction_status"),
         F.col("invoice.recipient.tax_id").alias("tax_id"),
@@ -119,7 +120,11 @@ def decision_cases(raw: DataFrame) -> DataFrame:
         ).alias("has_warning"),
         F.col("invoice.totals.invoice_total").alias("invoice_total"),
         "invoice",
-    ).filter(valid_case_id(F.col("case_id")))
+    )
+    named = F.coalesce(F.col("case_id"), F.lit("(none)"))
+    refuse = F.raise_error(F.concat(F.lit("not a decision case id: "), named))
+    valid = F.coalesce(valid_case_id(F.col("case_id")), F.lit(False))
+    return rows.withColumn("case_id", F.when(valid, F.col("case_id")).otherwise(refuse))
 
 
 def read_policy(spark: SparkSession, path: str) -> DataFrame:

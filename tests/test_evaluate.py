@@ -7,16 +7,16 @@ from tests.fixtures import frame, invoice
 
 def test_each_misreading_gets_its_own_tag(spark):
     """All 18 misreadings at once: one case each, and every wrong value carries that tag."""
-    base = [invoice(number) for number in range(1, len(ds.CORRUPTIONS) + 1)]
+    base = [invoice(number) for number in range(1, len(ds.MISREADINGS) + 1)]
     truth = frame(spark, base)
     answers = None
     names = {}
-    for number, (tag, _) in enumerate(ds.CORRUPTIONS, start=1):
+    for number, tag in enumerate(ds.MISREADINGS, start=1):
         names[number] = tag
-        part = ds.corrupt(truth.filter(F.col("case_id") == number), tag, "5")
+        part = ds.corrupt(truth.filter(F.col("case_id") == number), tag)
         answers = part if answers is None else answers.unionByName(part)
     answers = answers.persist()
-    assert answers.count() == len(ds.CORRUPTIONS)
+    assert answers.count() == len(ds.MISREADINGS)
     cases = truth.select("case_id", F.lit("success").alias("status"))
     found = grade_answers(cases, truth, answers)
     tags = {}

@@ -87,3 +87,14 @@ def test_redaction_never_echoes_identifiers(spark):
     df = rules.validate(frame(spark, [nested(("recipient", "tax_id"), "secret!")]), DAY)
     shown = [r.detail for r in rules.redact(df).collect()]
     assert shown and not any("secret" in text for text in shown)
+
+
+def test_null_installments_block_the_flat_form_too(spark):
+    row = nested(("installments", 0, "amount"), None)
+    df = frame(spark, [row])
+    flat = rules.validate_flat(
+        df.drop("items", "installments"), evaluate.list_rows(df, "items"),
+        evaluate.list_rows(df, "installments"), DAY,
+    )
+    assert [(r.rule_id, r.field) for r in flat.collect()] == [("NULL_VALUE", "installments[0].amount")]
+    assert found(spark, row) == [("NULL_VALUE", "installments[0].amount")]

@@ -110,3 +110,24 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(b"abc")
     hashed = tables.content_hash(spark, str(tmp_path / "f.bin")).first()
     assert hashed.sha256 == hashlib.sha256(b"abc").hexdigest()
+
+
+def test_only_a_torn_end_is_left_out(spark, tmp_path):
+    good, more, torn = '{"case_id":"a","status":"x"}', '{"case_id":"b","status":"y"}', '{"case_id":"c'
+    read = lambda name: {r.case_id for r in records.read_records(spark, f"{tmp_path}/{name}").collect()}
+    for name, text in (("torn", f"{good}\n{more}\n{torn}"), ("whole", f"{good}\n\n{more}\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run.jsonl").write_text(text)
+        assert read(name) == {"a", "b"}
+    for name, text in (("middle", f"{good}\n{torn}\n{more}"), ("ended", f"{good}\n{torn}\n"),
+                       ("list", f"{good}\n[1]"), ("two", f"{torn}\n{torn}")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "run.jsonl").write_text(text)
+        with pytest.raises(records.BadRecord):
+            read(name)
+
+
+def test_bad_decision_case_ids_are_refused(spark):
+    texts = spark.createDataFrame([('{"case_id":"../x","extraction":{"status":"success"}}',)], "value string")
+    with pytest.raises(Exception, match="not a decision case id"):
+        tables.decision_cases(texts).collect()
