@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenota.plans import (
+    queries_files,  # noqa: F401
     queries_functions,  # noqa: F401
     queries_grading,  # noqa: F401
     queries_ledger,  # noqa: F401

@@ -35,39 +35,55 @@ def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per manifest case; absent members stay null, a null base case is the case."""
-    cases = _json(spark, path, MANIFEST_SCHEMA).select(F.inline("cases"))
+def _texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True)
+
+
+def manifest_cases(raw: DataFrame) -> DataFrame:
+    """One row per case of the manifests in column ``value``; absent members stay null, a null base
+    case is the case."""
+    cases = raw.select(F.from_json("value", MANIFEST_SCHEMA).alias("m")).select(F.inline("m.cases"))
     cases = cases.filter(F.col("case_id").isNotNull())
     return cases.withColumn("base_case", F.coalesce("base_case", "case_id"))
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Expected decisions; entries without a case, decision or cause are kept apart by ``usable``."""
-    rows = _json(spark, path, LABEL_SCHEMA).select("labelling_version", F.inline("cases"))
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The cases of a manifest file."""
+    return manifest_cases(_texts(spark, path))
+
+
+def label_rows(raw: DataFrame) -> DataFrame:
+    """Expected decisions of the label texts in column ``value``; entries without a case, decision
+    or cause are kept apart by ``usable``."""
+    rows = raw.select(F.from_json("value", LABEL_SCHEMA).alias("m"))
+    rows = rows.select("m.labelling_version", F.inline("m.cases"))
     usable = (
         F.col("case_id").isNotNull() & F.col("decision").isNotNull() & F.col("cause").isNotNull()
     )
     return rows.withColumn("usable", usable)
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """The expected decisions of a label file."""
+    return label_rows(_texts(spark, path))
+
+
+def price_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(prices, aliases)`` of the price texts in column ``value``: one row per model with its
+    decimal rates, one per alias."""
+    rates = ("input", "cache_write_5m", "cache_write_1h", "cache_read", "output")
+    packed = ",".join(f"{rate}:string" for rate in rates)
+    schema = f"pricing_version string, models map<string,struct<{packed}>>, aliases map<string,string>"
+    rows = raw.select(F.from_json("value", schema).alias("m")).select("m.*")
+    prices = rows.select("pricing_version", F.explode("models").alias("model", "r"))
+    decimals = [F.col(f"r.{rate}").try_cast("decimal(10,4)").alias(rate) for rate in rates]
+    aliases = rows.select(F.explode("aliases").alias("alias", "target"))
+    return prices.select("pricing_version", "model", *decimals), aliases
+
+
 def read_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(prices, aliases)``: one row per model with its decimal rates, one per alias."""
-    rates = "input string, cache_write_5m string, cache_write_1h string, cache_read string, output string"
-    packed = ", ".join(part.replace(" ", ":") for part in rates.split(", "))
-    raw = _json(
-        spark, path,
-        f"pricing_version string, models map<string,struct<{packed}>>, aliases map<string,string>",
-    )
-    prices = raw.select("pricing_version", F.explode("models").alias("model", "r")).select(
-        "pricing_version",
-        "model",
-        *[
-            F.col(f"r.{part.split(' ')[0]}").try_cast("decimal(10,4)").alias(part.split(" ")[0])
-            for part in rates.split(", ")
-        ],
-    )
-    return prices, raw.select(F.explode("aliases").alias("alias", "target"))
+    """The prices and aliases of a price file."""
+    return price_rows(_texts(spark, path))
 
 
 def run_state_columns(text: str) -> dict[str, Column]:
