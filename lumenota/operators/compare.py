@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from lumenota.operators.grading import GRADED_STATUSES
 
-# Binomial terms of up to this many discordant cases are whole numbers of a DECIMAL(38,0).
-EXACT_LIMIT = 60
 REFUSALS = ("manifest_sha256", "grader_version", "tolerance")
 
 
@@ -124,66 +122,54 @@ def classify(paired: DataFrame) -> DataFrame:
     return paired.withColumn("change", change)
 
 
-def _tail_terms(least: Column, n: Column) -> Column:
-    """The sum of binomial coefficients ``C(n, 0..least)`` as a whole decimal, for n <= 60."""
-    one = F.lit(1).cast("decimal(38,0)")
-    start = F.struct(one.alias("term"), one.alias("total"))
+def _stirling_error(n: Column) -> Column:
+    """log n! less Stirling's formula: exact for small n, by its series (to 1e-16) beyond."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    formula = F.log(x * 6.283185307179586) / 2 + x * F.log(x) - x
+    exact = F.log(F.factorial(F.least(n, F.lit(20)).cast("int"))) - formula
+    square = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - F.lit(1 / 1680) / square) / square) / square) / x
+    return F.when(n <= 20, exact).otherwise(series)
 
-    def step(state: Column, i: Column) -> Column:
-        term = F.call_function(
-            "div", (state["term"] * (n - i + 1)).cast("decimal(38,0)"), i.cast("decimal(38,0)")
-        ).cast("decimal(38,0)")
-        return F.struct(
-            term.alias("term"), (state["total"] + term).cast("decimal(38,0)").alias("total")
-        )
-
-    counted = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), start, step)
-    return F.when(least == 0, one).otherwise(counted["total"])
-
-
-def _log_tail(least: Column, n: Column) -> Column:
-    """The two-sided p-value in logarithms, for any number of discordant cases."""
-    half = F.lit(0.6931471805599453)
 
-    def step(log: Column, i: Column) -> Column:
-        return log + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
+def _two_sided(least: Column, n: Column) -> Column:
+    """Twice the chance of at most ``least`` heads in ``n`` tosses of a fair coin, at most 1.
 
-    # log C(n, least) by one pass, then the smaller terms relative to it by a second pass.
-    top = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), F.lit(0.0), step)
-    peak = F.when(least == 0, F.lit(0.0)).otherwise(top)
-    ratio_start = F.struct(F.lit(1.0).alias("ratio"), F.lit(1.0).alias("total"))
+    The chance of exactly ``least`` by its deviance from one half, times the sum of the smaller
+    terms relative to it. That sum is over in a few square roots of n, so neither the count of terms
+    nor the loss of digits grows with n.
+    """
+    few, many, all_ = (c.cast("double") for c in (least, n - least, n))
+    lean = (many - few) / all_
+    deviance = few * F.log1p(-lean) + many * F.log1p(lean)
+    errors = _stirling_error(n) - _stirling_error(least) - _stirling_error(n - least)
+    spread = F.log(all_ / (few * many * 6.283185307179586)) / 2
+    log_chance = F.when(least == 0, -all_ * 0.6931471805599453).otherwise(
+        errors - deviance + spread
+    )
+    terms = F.least(least, F.ceil(F.sqrt(all_) * 12) + 30)
+    start = F.struct(F.lit(1.0).alias("ratio"), F.lit(1.0).alias("total"))
 
-    def ratio(state: Column, k: Column) -> Column:
-        i = least - k + 1
-        term = state["ratio"] * i / (n - i + 1)
-        return F.struct(term.alias("ratio"), (state["total"] + term).alias("total"))
+    def step(state: Column, i: Column) -> Column:
+        ratio = state["ratio"] * (few - i + 1) / (many + i)
+        return F.struct(ratio.alias("ratio"), (state["total"] + ratio).alias("total"))
 
-    below = F.aggregate(F.sequence(F.lit(1), F.greatest(least, F.lit(1))), ratio_start, ratio)
-    total = F.when(least == 0, F.lit(1.0)).otherwise(below["total"])
-    log_p = half + peak + F.log(total) - n * half
-    return F.least(F.lit(1.0), F.exp(log_p))
+    places = F.sequence(F.lit(1).cast("long"), F.greatest(terms, F.lit(1)).cast("long"))
+    total = F.when(least == 0, F.lit(1.0)).otherwise(F.aggregate(places, start, step)["total"])
+    return F.least(F.lit(1.0), F.exp(log_chance) * total * 2)
 
 
 def mcnemar(counts: DataFrame, b: str = "b", c: str = "c") -> DataFrame:
     """Plus ``p_value`` and ``significant`` (p < 0.05) of the exact two-sided paired test.
 
-    Up to 60 discordant cases the comparison is in whole numbers; beyond it in logarithms, and
-    ``near_alpha`` says when that lies within 1e-9 of 0.05.
+    One formula for every number of discordant cases, good to about 1e-13; ``near_alpha`` says when
+    the value lies within 1e-12 of 0.05, which no pair of counts up to some hundreds does.
     """
-    small, n = F.least(b, c).cast("int"), (F.col(b) + F.col(c)).cast("int")
-    exact = n <= EXACT_LIMIT
-    tail = _tail_terms(small, F.least(n, F.lit(EXACT_LIMIT)))
-    power = F.pow(F.lit(2.0), n.cast("double"))
-    whole_power = F.when(exact, power.cast("decimal(38,0)"))
-    exact_p = F.least(F.lit(1.0), F.lit(2.0) * tail.cast("double") / power)
-    log_p = _log_tail(small, n)
-    p = F.when(n == 0, F.lit(1.0)).when(exact, exact_p).otherwise(log_p)
-    decided = F.when(n == 0, F.lit(False)).when(
-        exact, (tail * F.lit(40).cast("decimal(3,0)")).cast("decimal(38,0)") < whole_power
-    )
-    significant = decided.otherwise(log_p < 0.05)
-    near = ~exact & (F.abs(log_p - 0.05) < 1e-9)
-    return counts.withColumns({"p_value": p, "significant": significant, "near_alpha": near})
+    small, n = F.least(b, c).cast("long"), (F.col(b) + F.col(c)).cast("long")
+    p = F.when(n == 0, F.lit(1.0)).otherwise(_two_sided(small, F.greatest(n, F.lit(1))))
+    near = F.abs(F.col("p_value") - 0.05) < 1e-12
+    tested = counts.withColumn("p_value", p)
+    return tested.withColumns({"significant": F.col("p_value") < 0.05, "near_alpha": near})
 
 
 def paired_verdict(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

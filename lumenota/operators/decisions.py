@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenota.operators.measure import TOKEN_FIELDS
+from lumenota.operators.measure import TOKEN_FIELDS, median_spread
 
 LABELLING_VERSION = "decision-labels-1"
 # Outcomes, and the causes a model may give for an escalation.
@@ -246,12 +246,7 @@ def escalation_pr(graded: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Least, interpolated median and greatest value of a column."""
-    grouped = df.groupBy(*by) if by else df.groupBy()
-    return grouped.agg(
-        F.min(column).alias("least"),
-        F.percentile(column, F.lit(0.5)).alias("median"),
-        F.max(column).alias("greatest"),
-    )
+    return median_spread(df, column, by)
 
 
 def decision_totals(cases: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from lumenota.operators.grading import (
     ITEM_COLUMNS,
     OUTCOME_STATUSES,
 )
+from lumenota.operators.ordering import running_before
 from lumenota.operators.tags import TAG_ORDER
 
 SLICES_VERSION = "slices-1"
@@ -410,18 +411,65 @@ def slice_rates(cases: DataFrame) -> DataFrame:
 # --- totals -----------------------------------------------------------------------------------
 
 
-def latency_summary(cases: DataFrame, column: str = "latency_ms", by: Sequence[str] = ()) -> DataFrame:
-    """Least, nearest-rank median and 95th, greatest and count of an integer column."""
+def value_ranks(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, each value of ``column``, its count ``n``, the smaller values' ``before`` and ``all``.
+
+    Rows become counts of values first. Values are then summed in two levels, by the range of 1024
+    they fall in and inside it, so no task holds all values of a group.
+    """
+    group = F.struct(*by) if by else F.lit(0)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(
+        group.alias("group"), F.col(column).alias("value")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("chunk", F.floor(F.col("value") / 1024).cast("long"))
+    placed = running_before(counts, ["group"], "chunk", ["value"], sums={"before": "n"})
+    totals = counts.groupBy(F.col("group").alias("__group")).agg(F.sum("n").alias("all"))
+    joined = placed.join(totals, F.col("group").eqNullSafe(F.col("__group")))
+    return joined.select(
+        *[F.col(f"group.{name}").alias(name) for name in by],
+        "value", "n", F.coalesce("before", F.lit(0)).alias("before"), "all",
+    )
 
-    def rank(share: str) -> Column:
-        return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {column})").cast("bigint")
 
-    return _grouped(
+def _beside(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """One row per group from both sides; groups may have null names."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    named = right.select(*[F.col(n).alias(f"__{n}") for n in by],
+                         *[n for n in right.columns if n not in by])
+    same = F.lit(True)
+    for name in by:
+        same = same & F.col(name).eqNullSafe(F.col(f"__{name}"))
+    return left.join(named, same, "left").drop(*[f"__{name}" for name in by])
+
+
+def latency_summary(cases: DataFrame, column: str = "latency_ms", by: Sequence[str] = ()) -> DataFrame:
+    """Least, nearest-rank median and 95th, greatest and count of an integer column."""
+    whole = _grouped(
         cases, by,
-        F.min(column).alias("least"), rank("0.5").alias("p50"), rank("0.95").alias("p95"),
-        F.max(column).alias("greatest"), F.count(column).alias("n"),
+        F.min(column).alias("least"), F.max(column).alias("greatest"), F.count(column).alias("n"),
     )
 
+    def rank(percent: int) -> Column:
+        reached = (F.col("before") + F.col("n")) * 100 >= F.col("all") * percent
+        return F.min(F.when(reached, F.col("value"))).cast("bigint")
+
+    ranks = _grouped(value_ranks(cases, column, by), by, rank(50).alias("p50"), rank(95).alias("p95"))
+    return _beside(whole, ranks, by).select(*by, "least", "p50", "p95", "greatest", "n")
+
+
+def median_spread(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """Least, interpolated median and greatest value of a numeric column."""
+    whole = _grouped(df, by, F.min(column).alias("least"), F.max(column).alias("greatest"))
+
+    def at(place: Column) -> Column:
+        inside = (F.col("before") <= place) & (place < F.col("before") + F.col("n"))
+        return F.max(F.when(inside, F.col("value").cast("double")))
+
+    low, high = F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2)
+    middle = _grouped(value_ranks(df, column, by), by, ((at(low) + at(high)) / 2).alias("median"))
+    return _beside(whole, middle, by).select(*by, "least", "median", "greatest")
+
 
 TOKEN_FIELDS = (
     "input_tokens", "output_tokens", "cache_read_tokens", "cache_write_5m_tokens",

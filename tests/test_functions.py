@@ -81,10 +81,49 @@ def test_mcnemar(spark):
     df = mcnemar(spark.createDataFrame(pairs, "b int, c int"))
     for row in df.collect():
         p = exact(row.b, row.c)
-        assert abs(row.p_value - float(p)) < 1e-9, row
+        assert abs(row.p_value - float(p)) < 1e-12 and not row.near_alpha, row
         assert row.significant == (p < Fraction(1, 20)), row
 
 
+def test_mcnemar_decides_alike_at_every_size(spark):
+    from itertools import accumulate
+    from math import comb, erfc, sqrt
+
+    pairs, want = [], {}
+    for n in (*range(1, 70), 150, 599, 1201):
+        tails = accumulate(comb(n, k) for k in range(n // 2 + 1))
+        for k, tail in enumerate(tails):
+            pairs.append((k, n - k))
+            want[k, n - k] = 40 * tail < 2**n, min(1.0, 2 * tail / 2**n)
+    for row in mcnemar(spark.createDataFrame(pairs, "b long, c long")).collect():
+        significant, p = want[row.b, row.c]
+        assert row.significant == significant and abs(row.p_value - p) <= 1e-12, row
+    half = 500_000_000
+    large = mcnemar(spark.createDataFrame([(half - 31_000, half + 31_000), (0, 10**9)], "b long, c long"))
+    p, none = (r.p_value for r in large.collect())
+    assert abs(p / erfc(62_000 / sqrt(2 * 10**9)) - 1) < 1e-3 and none == 0.0
+
+
+def test_ranks_of_values_against_sorting(spark):
+    from lumenota.operators.measure import latency_summary, median_spread
+
+    rng = random.Random(6)
+    rows = [(g, rng.choice([None, rng.randint(-5000, 50_000), 7])) for g in ("a", "b", None) for _ in range(301)]
+    rows.append(("c", None))
+    df = spark.createDataFrame(rows, "g string, latency_ms int")
+    nearest = lambda v, share: v[-(-len(v) * share // 100) - 1]
+    got = {r.g: r for r in latency_summary(df, by=("g",)).collect()}
+    middle = {r.g: r.median for r in median_spread(df, "latency_ms", ("g",)).collect()}
+    for g in ("a", "b", None):
+        v = sorted(x for name, x in rows if name == g and x is not None)
+        assert (got[g].least, got[g].p50, got[g].p95, got[g].greatest, got[g].n) == (
+            v[0], nearest(v, 50), nearest(v, 95), v[-1], len(v))
+        assert middle[g] == (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+    assert (got["c"].p50, got["c"].n, middle["c"]) == (None, 0, None)
+    v = sorted(x for _, x in rows if x is not None)
+    assert latency_summary(df).first().p95 == nearest(v, 95)
+
+
 def test_names(spark):
     pairs = [("Comércio", "COMÉRCIO", True), ("Comércio", "Comercio", False), ("ﬁtas  A-1", "FITAS a 1", True),
              ("Straße", "STRASSE", True), ("日本 株", "日本-株", True), ("½ kg", "1 2 kg", False)]
