@@ -40,7 +40,7 @@ BANDS = 16
 ROWS = 3
 #: Bytes of text whose shingles meet in one bucket; the number of buckets grows with the input.
 BUCKET_BYTES = 10 << 20
-_TURN = 4 << 20
+_TURN = 2 << 20
 #: Very common shingles, whose document counts are found beforehand, are at most this many.
 MOST_FREQUENT = 1_000_000
 #: Pairs of texts of different classes that a bucket may have for each of its texts to be compared
@@ -59,10 +59,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % 2**64, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class _Powers:
+    """Powers of the hash's base and of its inverse, kept as far as they were needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (
+                np.multiply.accumulate(np.append(_U(1), np.full(n + n // 4, base % 2**64, np.uint64)))
+                for base in (_PRIME, pow(_PRIME, -1, 2**64))
+            )
+        return cls.up[:n], cls.down[:n]
 
 
 _BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _U(_PRIME))
@@ -75,9 +84,10 @@ def shingle_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     gap = _IS_GAP[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]])))
     begin, end = edge[::2], edge[1::2]
+    up, down = _Powers.of(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_PRIME, len(data)), out=sums[1:])
-    down = _powers(pow(_PRIME, -1, 2**64), len(data) + 1)
+    np.multiply(_BYTE[data], up[:-1], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     words = _mixed((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
     doc = np.searchsorted(np.cumsum(lengths), begin, side="right")
     n = len(words) - WORDS + 1
