@@ -1,7 +1,9 @@
 """Near-duplicate documents: improved consistent weighted sampling over TF-IDF shingles.
 
-A text is the weighted set of its five-word shingles, weight = count in the text times
-1 + log(N / n) with n of N documents holding the shingle. Two texts are linked where their weighted
+A text is the weighted set of its five-word shingles, weight = count in the text times the inverse
+document frequency 1 + log(N / n), with n of N documents holding the shingle and n taken as at least
+COMMON of N: what more documents than that share is boilerplate and weighs less, while the shingles
+of a large group of near copies weigh what the changed ones do. Two texts are linked where their weighted
 Jaccard similarity is THRESHOLD or more. Signatures of consistent weighted samples in bands propose
 pairs, the exact weighted Jaccard similarity decides, and classes are connected components.
 
@@ -35,6 +37,8 @@ from lumenota.session import checkpointed
 
 WORDS = 5
 THRESHOLD = 0.8
+#: Share of all documents up to which shingles are taken as equally rare.
+COMMON = 0.1
 #: A pair at the threshold shares no band with probability (1 - 0.8**ROWS)**BANDS, about 1e-5.
 BANDS = 16
 ROWS = 3
@@ -45,7 +49,7 @@ _TURN = 2 << 20
 MOST_FREQUENT = 1_000_000
 #: Pairs of texts of different classes that a bucket may have for each of its texts to be compared
 #: all; see README for what larger buckets do.
-PARTNERS = 64
+PARTNERS = 16
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
@@ -346,7 +350,8 @@ _SIGNED_SQL = "key long, weight double, bands array<long>, shared binary"
 
 def _signatures(documents: int) -> Callable[[pa.Table], pa.Table]:
     """Of one group of texts: weight, band keys and shared shingles of those that can be linked."""
-    top = 1.0 + log(documents)
+    limit = 1.0 + log(1.0 / COMMON)
+    top = min(1.0 + log(documents), limit)
 
     def sign(packs: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py()) for x in packs.column("packed")]
@@ -355,7 +360,7 @@ def _signatures(documents: int) -> Callable[[pa.Table], pa.Table]:
         key, total, name, times, held = (c[order] for c in (key, total, name, times, held))
         new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]))  # equal texts: once
         key, total, name, times, held = (c[new] for c in (key, total, name, times, held))
-        weight = times * (top - np.log(held))
+        weight = times * np.minimum(1.0 + log(documents) - np.log(held), limit)
         begins = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         shared = np.add.reduceat(weight, begins)
         alone = (total[begins] - np.add.reduceat(times.astype(np.int64), begins)) * top

@@ -73,7 +73,7 @@ def near_classes(rows, threshold=0.8):
             (words(t) for _, t in rows)]
     n = sum(t is not None for _, t in rows)
     held = Counter(k for bag in bags for k in bag)
-    weights = [{k: c * (1 + log(n / held[k])) for k, c in bag.items()} for bag in bags]
+    weights = [{k: c * (1 + min(log(n / held[k]), log(10))) for k, c in bag.items()} for bag in bags]
     whole = [sum(w.values()) for w in weights]
     where = defaultdict(list)
     for i, bag in enumerate(bags):
