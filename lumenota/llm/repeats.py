@@ -65,8 +65,8 @@ class Hashes:
     def __init__(self, data: np.ndarray) -> None:
         n = len(data)
         if len(Hashes.up) <= n:
-            Hashes.up = _powers(_BASE, 2 * n + 1)
-            Hashes.down = _powers(pow(_BASE, -1, 2**64), 2 * n + 1)
+            Hashes.up = _powers(_BASE, n + n // 4 + 1)
+            Hashes.down = _powers(pow(_BASE, -1, 2**64), n + n // 4 + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * Hashes.up[:n], out=self.sums[1:])
 
@@ -250,10 +250,13 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     open_ = stored(open_, "repeat-open")
     held = covers[0].select("key").union(open_.select("key")).distinct()
     held = held.select(F.col("key").alias("__k"))
-    one = keyed.select("doc_id", "key").join(held, F.col("key") == F.col("__k"), "left_semi")
-    one = one.groupBy(F.col("key").alias("__k")).agg(F.min("doc_id").alias("__d"))
+    # copies are counted down to one document before anything is joined
+    one = keyed.groupBy("key").agg(F.min("doc_id").alias("__d"))
+    one = one.join(held, F.col("key") == F.col("__k"), "left_semi")
+    one = stored(one.select("__d", F.col("key").alias("__k")), "repeat-ids")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("key") == F.col("__k"))
-    texts = stored(keyed.join(stored(one, "repeat-ids"), same).select("key", "text"), "repeat-texts")
+    # the ids grow with the documents, so they are merged and not broadcast at any size
+    texts = stored(keyed.join(one.hint("merge"), same).select("key", "text"), "repeat-texts")
     for width in (BLOCK, 1):
         found = _with_runs(texts, open_).mapInArrow(_split_runs(width), _OUT_SQL)
         repeated, open_ = _counted(stored(found, "repeat-blocks"))
