@@ -44,7 +44,7 @@ BANDS = 16
 ROWS = 3
 #: Bytes of text whose shingles meet in one bucket; the number of buckets grows with the input.
 BUCKET_BYTES = 10 << 20
-_TURN = 2 << 20
+_TURN = 1 << 20
 #: Very common shingles, whose document counts are found beforehand, are at most this many.
 MOST_FREQUENT = 1_000_000
 #: Pairs of texts of different classes that a bucket may have for each of its texts to be compared
@@ -272,7 +272,7 @@ def _shared_packs(groups: int) -> Callable[[pa.Table], pa.Table]:
         for p in parts:
             times[p[5] + offset] = p[6]
             offset += len(p[4]) // 6
-        del parts
+        del parts, wide
         order = np.argsort(rest, kind="stable")
         sorted_ = rest[order]
         new = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
