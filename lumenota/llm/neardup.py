@@ -48,8 +48,10 @@ _TURN = 1 << 20
 #: Very common shingles, whose document counts are found beforehand, are at most this many.
 MOST_FREQUENT = 1_000_000
 #: Pairs of texts of different classes that a bucket may have for each of its texts to be compared
-#: all; see README for what larger buckets do.
+#: one by one; larger buckets are first joined along a chain and then compared in blocks.
 PARTNERS = 16
+#: Texts on each side of a block.
+BLOCK = 256
 
 _U = np.uint64
 _PRIME = 0x9E3779B97F4A7C15
@@ -448,11 +450,13 @@ def signed_texts(docs: DataFrame) -> DataFrame:
     return stored(signed, "neardup-signed")
 
 
-def _between_classes(bands: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of different classes in one bucket whose weights allow a link.
+def _between_classes(bands: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of texts of different classes in one bucket whose weights allow a link; the bands
+    of crowded buckets.
 
     All such pairs, where they are at most PARTNERS times the bucket's texts. In larger buckets each
-    class is represented by its least text, and these are compared in a chain.
+    class is represented by its least text, and these are compared in a chain; ``_crowded_links``
+    compares what is left there.
     """
     named = bands.join(classes, F.col("key") == F.col("node"), "left").drop("node")
     named = checkpointed(named.withColumn("component", F.coalesce("component", "key")))
@@ -482,7 +486,109 @@ def _between_classes(bands: DataFrame, classes: DataFrame) -> DataFrame:
     crowded = parts.join(buckets.where(~small), F.col("band") == F.col("__band"), "left_semi")
     crowded = crowded.select(F.col("least").alias("a"), F.lag("least").over(chain).alias("b"))
     pairs = pairs.union(crowded.where("b is not null"))
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    return pairs, buckets.where(~small).select("__band")
+
+
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _block_links(rows: pa.Table) -> pa.Table:
+    """Of one block: a link for every two classes with similar texts, one on either side.
+
+    A pair is scored in the least band that its texts share, and once where both are outside the
+    bucket's largest class.
+    """
+    band = rows.column("band")[0].as_py()
+    left = np.array(rows.column("left"), bool)
+    key, whole, component, inside = (
+        rows.column(c).to_numpy() for c in ("key", "weight", "component", "inside")
+    )
+    one, two = np.flatnonzero(left), np.flatnonzero(~left)
+    if not len(one) or not len(two):
+        return _LINK.empty_table()
+    lists = rows.column("mine").combine_chunks()
+    own = np.repeat(np.arange(len(key)), np.diff(lists.offsets.to_numpy()))
+    lower = lists.values.to_numpy()
+    own, lower = own[lower < band], lower[lower < band]
+    both = np.intersect1d(lower[left[own]], lower[~left[own]])
+    held = np.zeros((len(key), len(both)), np.float32)
+    in_both = np.isin(lower, both)
+    held[own[in_both], np.searchsorted(both, lower[in_both])] = 1
+    low = np.minimum(whole[one][:, None], whole[two])
+    high = np.maximum(whole[one][:, None], whole[two])
+    open_ = (
+        (component[one][:, None] != component[two])
+        & (inside[two] | (key[one][:, None] > key[two]))
+        & (low >= high * (THRESHOLD - 1e-9))
+        & (held[one] @ held[two].T == 0)
+    )
+    packs = rows.column("shared")
+    unpacked = [_unpack(packs[i].as_py()) for i in two.tolist()]
+    name = np.concatenate([p[0] for p in unpacked])
+    weight = np.concatenate([p[1][p[2]] for p in unpacked])
+    text = np.repeat(np.arange(len(two)), [len(p[0]) for p in unpacked])
+    order = np.argsort(name, kind="stable")
+    name, weight, text = name[order], weight[order], text[order]
+    links: dict[tuple[int, int], tuple[int, int]] = {}
+    for i in np.flatnonzero(open_.any(axis=1)).tolist():
+        pack = packs[int(one[i])].as_py()
+        names, values, code = _unpack(pack)
+        first = np.searchsorted(name, names)
+        n = np.searchsorted(name, names, side="right") - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        common = np.bincount(
+            text[at], np.minimum(np.repeat(values[code], n), weight[at]), minlength=len(two)
+        )
+        score = common / (whole[one[i]] + whole[two] - common)
+        for j in np.flatnonzero(open_[i] & (score >= THRESHOLD - 1e-9)).tolist():
+            a, b = int(one[i]), int(two[j])
+            if score[j] < THRESHOLD + 1e-9:  # sums in the order of all other pairs decide
+                exact = weighted_jaccard(pack, whole[a], packs[b].as_py(), whole[b])
+                if exact < THRESHOLD:
+                    continue
+            links.setdefault((int(component[a]), int(component[b])), (int(key[a]), int(key[b])))
+    a, b = zip(*links.values(), strict=True) if links else ([], [])
+    return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_LINK)
+
+
+def _crowded_links(
+    bands: DataFrame, crowded: DataFrame, classes: DataFrame, signed: DataFrame
+) -> DataFrame:
+    """Links (a, b) between the classes that still meet in crowded buckets, from all their pairs.
+
+    In each bucket the texts outside its largest class meet all texts, in blocks of about BLOCK by
+    BLOCK texts, so a task holds two blocks and a text is sent once for each block it meets.
+    """
+    named = bands.join(crowded, F.col("band") == F.col("__band"), "left_semi")
+    named = named.join(classes, F.col("key") == F.col("node"), "left")
+    named = named.select("band", "key", F.coalesce("component", "key").alias("component"))
+    named = checkpointed(named)
+    parts = named.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+    stats = parts.groupBy(F.col("band").alias("__band")).agg(
+        F.max(F.struct("n", "component"))["component"].alias("__largest"),
+        F.sum("n").alias("__n"), F.max("n").alias("__in"),
+    )
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    stats = stats.where("__n > __in").select(
+        "__band", "__largest", blocks(F.col("__n") - F.col("__in")).alias("__rows"),
+        blocks(F.col("__n")).alias("__columns"),
+    )
+    texts = named.join(checkpointed(stats), F.col("band") == F.col("__band")).drop("__band")
+    texts = checkpointed(texts.withColumn("inside", F.col("component") == F.col("__largest")))
+    mine = texts.groupBy(F.col("key").alias("__key")).agg(F.collect_list("band").alias("mine"))
+    mine = mine.join(signed.select("key", "weight", "shared"), F.col("__key") == F.col("key"))
+    texts = texts.join(mine.drop("key"), F.col("key") == F.col("__key")).drop("__key")
+    span = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = ["band", "key", "component", "inside", "weight", "mine", "shared"]
+    row, column = (F.expr(f"pmod(key, {c})") for c in ("__rows", "__columns"))
+    left = texts.where("not inside").select(
+        *own, F.lit(True).alias("left"), row.alias("i"), span(F.col("__columns")).alias("j")
+    )
+    right = texts.select(
+        *own, F.lit(False).alias("left"), span(F.col("__rows")).alias("i"), column.alias("j")
+    )
+    return left.union(right).groupBy("band", "i", "j").applyInArrow(_block_links, "a long, b long")
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -490,7 +596,8 @@ def text_classes(docs: DataFrame) -> DataFrame:
 
     Every text is first compared with the least text of each of its band buckets, which joins most
     of a class at a cost linear in the bucket; pairs inside a class need no further look. What is
-    left, pairs of texts in one bucket but in different classes, is then compared.
+    left, pairs of texts in one bucket but in different classes, is then compared: one by one, or
+    in crowded buckets along a chain and then, between the classes still apart, in blocks.
     """
     signed = signed_texts(docs)
     bands = signed.select("key", "weight", F.explode("bands").alias("band")).where("band <> 0")
@@ -503,11 +610,15 @@ def text_classes(docs: DataFrame) -> DataFrame:
     stars = stars.distinct()
     links = checkpointed(_linked(stars, signed).select("a", "b"))
     classes = checkpointed(components(links))
-    pairs = _between_classes(bands, classes)
+    pairs, crowded = _between_classes(bands, classes)
     tried = stars.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
     pairs = pairs.join(tried, (F.col("a") == F.col("__a")) & (F.col("b") == F.col("__b")), "left_anti")
     more = checkpointed(_linked(pairs, signed).select("a", "b"))
-    return components(links.union(more))
+    links = links.union(more)
+    if crowded.isEmpty():
+        return components(links)
+    rest = _crowded_links(bands, crowded, checkpointed(components(links)), signed)
+    return components(links.union(checkpointed(rest)))
 
 
 def classes_of(docs: DataFrame) -> DataFrame:

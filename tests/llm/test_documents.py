@@ -96,6 +96,23 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert neardup.keep_one(one).count() == 1
 
 
+def test_near_copies_inside_a_family_of_one_template(spark):
+    """Similarity is about 0.74 to all of the family and 0.82 to the planted partner, and some pairs
+    share crowded buckets only."""
+    rng = random.Random(21)
+    fresh = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    template, rows = fresh(404), []
+    for i in range(260):
+        head = fresh(7) if i % 2 == 0 or i >= 160 else head  # noqa: F821
+        rows.append((i, " ".join(head + template + fresh(14)), "en", "s", 0))
+    want = cases.near_classes([r[:2] for r in rows])
+    assert sum(len(c) == 2 for c in want) == 80 and len(want) == 180
+    classes = defaultdict(list)
+    for r in neardup.classes_of(frame(spark, rows)).collect():
+        classes[r.class_id].append(r.doc_id)
+    assert sorted(sorted(c, key=str) for c in classes.values()) == want
+
+
 def test_samples_collide_as_often_as_texts_are_similar():
     rng = np.random.default_rng(1)
     names = rng.integers(0, 2**63, 400).astype(np.uint64)
