@@ -1,21 +1,25 @@
 """Personal data: fixed patterns first, then terms that give a protected value away.
 
 Base spans are found by pattern. Every value found is a protected entity. The corpus then tells how
-strongly a term near an entity reveals it: with document counts of the term n(t), of the entity
-n(e) and of the term in the entity's context n(t, e), the disclosure of t is the pointwise mutual
-information log(n(t, e) N / (n(t) n(e))), and t is a disclosing term of e where that reaches
-DISCLOSURE of the information content log(N / n(e)) of the entity itself. Such terms become spans of
-kind ``term`` wherever they stand in a context of their entity; ``sanitised`` replaces base spans by
-their kind and removes or generalises terms.
+strongly a term in an entity's documents reveals it: with document counts of the term n(t), of the
+entity n(e) and of both n(t, e), the share p = (n(t, e) + k n(e) / N) / (n(t) + k) is that of the
+entity among the term's documents, drawn to its share of all by k = SMOOTHING documents. The
+disclosure of t is the smoothed pointwise mutual information log(p N / n(e)), and t is a disclosing
+term of e where that reaches DISCLOSURE of the information content log(N / n(e)) of the entity
+itself. Terms are words outside base spans; a disclosing one becomes a span of kind ``term``
+wherever it stands in the documents of its entity. ``sanitised`` replaces base spans by their kind
+and removes or generalises terms.
 
 Spans are counted in code points, end exclusive. Defined cases: a null text is empty and has no
-spans; texts are read whole at any length; spans of different kinds may overlap; equal contexts
-count once for the support of a term; repeated rows (equal id and text) get equal spans; an empty
+spans; texts are read whole at any length; base spans of different kinds may overlap; repeated rows
+(equal id and text) count as documents of their own and get equal spans; an empty
 table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,17 +36,22 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-#: Code points on either side of an entity that are its context.
-CONTEXT = 60
-#: Distinct contexts in which a term must stand near an entity.
-SUPPORT = 3
+#: Documents by which a term's share is drawn to the share of all: one shared document is evidence
+#: in a large table, and none in a small one.
+SMOOTHING = 1 / 3
 DISCLOSURE = 0.9
-TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+(?=[^\p{L}\p{N}])"
+TERM = r"(?<![\p{L}\p{N}])\p{L}[\p{L}\p{N}]{2,}+"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
-def spans_of(text: Column, pattern: str, possible: Column | None = None) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` as (start, stop, value), in code points.
+def spans_of(
+    text: Column,
+    pattern: str,
+    possible: Column | None = None,
+    wanted: Callable[[Column], Column] | None = None,
+) -> Column:
+    """Leftmost non-overlapping matches of ``pattern`` as (start, stop, value), in code points; of
+    the matches only the ``wanted`` ones, where that is given.
 
     The pieces between the matches and the matches themselves alternate; their lengths add up.
     """
@@ -58,7 +67,10 @@ def spans_of(text: Column, pattern: str, possible: Column | None = None) -> Colu
             begins = acc["at"] + F.length(F.get(pieces, i))
             ends = begins + F.length(match)
             span = F.struct(begins.alias("start"), ends.alias("stop"), match.alias("value"))
-            return F.struct(ends.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+            more = F.concat(acc["spans"], F.array(span))
+            if wanted is not None:
+                more = F.when(wanted(match), more).otherwise(acc["spans"])
+            return F.struct(ends.alias("at"), more.alias("spans"))
 
         every = F.sequence(F.lit(0), F.size(matches) - 1)
         return F.aggregate(every, start, step, lambda acc: acc["spans"])
@@ -132,81 +144,71 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def _context(text: Column, span: Column) -> tuple[Column, Column]:
-    """The code points before and after a span; the text is padded with one space on each side."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    first = F.greatest(span["start"] + 1 - CONTEXT, F.lit(0))
-    left = F.substring(padded, first + 1, span["start"] + 1 - first)
-    return left, F.substring(padded, span["stop"] + 2, F.lit(CONTEXT))
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with spaces in place of the spans, which are sorted."""
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(acc["at"], s["start"])
+        between = F.substring(text, acc["at"] + 1, begin - acc["at"])
+        blank = F.repeat(F.lit(" "), F.greatest(s["stop"] - begin, F.lit(0)))
+        return F.struct(
+            F.greatest(acc["at"], s["stop"]).alias("at"),
+            F.concat(acc["parts"], F.array(between, blank)).alias("parts"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    rest = lambda acc: F.concat(
+        F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text))
+    )
+    return F.aggregate(spans, start, step, rest)
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, ``__base`` spans and, for each span, its context; no texts."""
+    """doc_id, text_hash, ``__base`` spans and, only where there are any, the text outside them."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("__text"))
     rows = rows.withColumns({f"__{kind}": s for kind, s in base_spans(F.col("__text")).items()})
     rows = rows.select("doc_id", "text_hash", "__text", _all_kinds().alias("__base"))
+    outside = F.when(F.size("__base") > 0, _blanked(F.col("__text"), F.col("__base")))
+    return rows.select("doc_id", "text_hash", "__base", outside.alias("__rest"))
 
-    def around(s: Column) -> Column:
-        left, right = _context(F.col("__text"), s)
-        return F.struct(
-            s["kind"].alias("kind"), s["value"].alias("value"),
-            s["start"].alias("start"), s["stop"].alias("stop"),
-            left.alias("left"), right.alias("right"),
-        )
 
-    return rows.select(
-        "doc_id", "text_hash", "__base", F.transform("__base", around).alias("__around")
-    )
+def _words(text: Column) -> Column:
+    """The distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def _terms(found: DataFrame) -> DataFrame:
-    """One row per term in the context of an entity: where it stands in the document."""
-    one = found.select("doc_id", "text_hash", F.explode("__around").alias("__s"))
-    one = one.select("doc_id", "text_hash", "__s.*").withColumn(
-        "__context", F.xxhash64("kind", "value", "left", "right")
-    )
-    first = F.greatest(F.col("start") - CONTEXT, F.lit(-1))
-    moved = lambda spans, by: F.transform(
-        spans,
-        lambda t: F.struct(
-            (t["start"] + by).alias("start"), (t["stop"] + by).alias("stop"),
-            F.lower(t["value"]).alias("term"),
-        ),
-    )
-    left = spans_of(F.col("left"), r"(?<=[^\p{L}\p{N}])" + TERM)
-    right = spans_of(F.col("right"), r"(?<=[^\p{L}\p{N}])" + TERM)
-    both = F.concat(moved(left, first), moved(right, F.col("stop")))
-    rows = one.withColumn("__t", F.explode(both))
-    return rows.select(
-        "doc_id", "text_hash", "kind", "value", "__context", "__t.term",
-        F.col("__t.start").alias("start"), F.col("__t.stop").alias("stop"),
+    """One row per document, entity and term of the document."""
+    entity = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
+    rows = found.where(F.col("__rest").isNotNull())
+    rows = rows.select(
+        "doc_id", "text_hash", F.array_distinct(entity).alias("__e"),
+        F.explode(_words(F.col("__rest"))).alias("term"),
     )
+    rows = rows.select("doc_id", "text_hash", "term", F.explode("__e").alias("__e"))
+    return rows.select("doc_id", "text_hash", "__e.kind", "__e.value", "term")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
     """(kind, value, term) whose disclosure reaches the threshold, from counts of all documents."""
-    doc = F.struct("doc_id", "text_hash")
-    pairs = terms.groupBy("kind", "value", "term").agg(
-        F.count_distinct("__context").alias("__support"), F.count_distinct(doc).alias("n_both")
-    )
-    pairs = pairs.where(F.col("__support") >= SUPPORT)
-    spans = found.select("doc_id", "text_hash", F.explode("__base").alias("__s"))
-    entities = spans.groupBy(
+    pairs = terms.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_both"))
+    entity = F.transform("__base", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("value")))
+    entities = found.select(F.explode(F.array_distinct(entity)).alias("__s")).groupBy(
         F.col("__s.kind").alias("__kind"), F.col("__s.value").alias("__value")
-    ).agg(F.count_distinct(doc).alias("n_entity"))
+    ).agg(F.count(F.lit(1)).alias("n_entity"))
     same = (F.col("kind") == F.col("__kind")) & (F.col("value") == F.col("__value"))
     pairs = pairs.join(entities, same).drop("__kind", "__value")
     pairs = checkpointed(pairs)
     wanted = pairs.select(F.col("term").alias("__wanted")).distinct()
-    word = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}[\p{L}\p{N}]{2,}+"), F.lit(0))
-    words = docs.select(F.explode(F.array_distinct(word)).alias("__word"))
+    words = docs.select(F.explode(_words(F.col("text"))).alias("__word"))
     counts = words.groupBy("__word").agg(F.count(F.lit(1)).alias("n_term"))
     counts = counts.join(wanted, F.col("__word") == F.col("__wanted")).drop("__wanted")
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
     scored = pairs.join(counts, F.col("term") == F.col("__word")).crossJoin(F.broadcast(n))
-    shown = F.log(F.col("n_both") * F.col("__n") / (F.col("n_term") * F.col("n_entity")))
-    whole = F.log(F.col("__n") / F.col("n_entity"))
+    base_rate = F.col("n_entity") / F.col("__n")
+    rate = (F.col("n_both") + base_rate * SMOOTHING) / (F.col("n_term") + SMOOTHING)
+    shown, whole = F.log(rate / base_rate), -F.log(base_rate)
     scored = scored.withColumns({"disclosure": shown, "content": whole})
     kept = scored.where((F.col("content") > 0) & (shown >= whole * DISCLOSURE))
     return kept.select("kind", "value", "term", "disclosure", "content")
@@ -224,22 +226,23 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         & (F.col("value") == F.col("__value"))
         & (F.col("term") == F.col("__t"))
     )
-    span = F.struct(
-        "start", F.lit(len(KINDS)).alias("at"), "stop", F.lit("term").alias("kind"),
-        F.col("term").alias("value"),
-    )
     added = terms.join(flagged, same).groupBy(
         F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h")
-    ).agg(F.array_sort(F.collect_set(span)).alias("__terms"))
+    ).agg(F.collect_set("term").alias("__flagged"))
     own = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("text_hash") == F.col("__h"))
     joined = found.join(added, own, "left")
-    none = F.array().cast(
-        "array<struct<start:int,at:int,stop:int,kind:string,value:string>>"
-    )
-    return joined.select(
-        "doc_id", "text_hash", F.col("__base").alias("base"),
-        F.coalesce("__terms", none).alias("terms"),
+    spans = spans_of(
+        F.col("__rest"), TERM, F.col("__flagged").isNotNull(),
+        lambda match: F.array_contains("__flagged", F.lower(match)),
+    )
+    marked = F.transform(
+        spans,
+        lambda s: F.struct(
+            s["start"].alias("start"), F.lit(len(KINDS)).alias("at"), s["stop"].alias("stop"),
+            F.lit("term").alias("kind"), F.lower(s["value"]).alias("value"),
+        ),
     )
+    return joined.select("doc_id", "text_hash", F.col("__base").alias("base"), marked.alias("terms"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:

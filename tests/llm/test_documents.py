@@ -267,6 +267,17 @@ def test_terms_that_give_an_entity_away(spark):
     assert "wrote [TERM] to [EMAIL] about" in clean[0] and clean[99] == rows[-1][1]
 
 
+def test_a_term_beside_one_address_gives_it_away_in_the_whole_document(spark):
+    rng = random.Random(14)
+    common = prose(rng, 40)
+    text = f"Quillfeather led it. {common} {common} Mail amy.low@one.example.org, {common} signed quillfeather"
+    rows = [(1, text, "", "", 0)] + [(10 + i, common, "", "", 0) for i in range(300)]
+    found = {r.doc_id: r for r in privacy.find_personal_data(frame(spark, rows)).collect()}
+    assert [text[t.start : t.stop] for t in found[1].terms if t.value == "quillfeather"] == ["Quillfeather", "quillfeather"]
+    assert not {t.value for t in found[1].terms} & {"low", "one", "example", *common.lower().replace(".", "").split()}
+    assert not any(found[i].terms for i in found if i != 1)
+
+
 def test_licenses_equal_containment_in_whole_texts(spark):
     rng = random.Random(13)
     notice = licenses.TEMPLATES["MIT-notice"].split(" ")
