@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from lumenota.llm import (
+    audit,
     decontaminate,
     fertility,
     licenses,
@@ -31,10 +32,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
+    "op11_filter_interaction": audit.op11_filter_interaction,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op3_source_mix": mixing.OP3_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op8_warc_transactions": warc.OP8_SQL,
+    "op11_filter_interaction": audit.OP11_SQL,
 }
