@@ -17,6 +17,7 @@ from lumenota.llm import (
     privacy,
     repeats,
     sharding,
+    spelling,
     urls,
     warc,
 )
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
     "op11_filter_interaction": audit.op11_filter_interaction,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
