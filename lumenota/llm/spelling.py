@@ -11,8 +11,9 @@ pair meets at a pivot of one and a prefix bigram of the other.
 start in both words, or on its left, with the same distance from the end. All letters on the quiet
 side are equal too, and so is one half of the letters on the other side, whichever the edit is not
 in. An index key is the side, the position, the shorter word's length, which half, and a hash of the
-equal letters; a frequent bigram alone fills no bucket. What shares a key is verified by edit
-distance, so a hash that collides costs work and no result.
+equal letters; a frequent bigram alone fills no bucket. Beside the key stand the letters of the half
+that may differ, so what meets is compared there and then; what passes is verified by the edit
+distance of the whole words, so a hash that collides costs work and no result.
 
 Words are counted where they stand; distinct words are what is indexed. Only the bigram counts go
 through the driver: the alphabet has 90 letters, so there are at most 8,100.
@@ -46,6 +47,8 @@ RATIO = 10
 DROP_EVERY = 31
 
 PREFIX, PIVOTS, WIDTH = 3, 2, 2
+#: A half of more letters is not carried beside its key, only compared with the whole words.
+CARRIED = 24
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -166,8 +169,8 @@ def _mixed(*parts: np.ndarray) -> np.ndarray:
 
 
 def _keys(letters, starts, word, places):
-    """For each prefix bigram its index keys: (key, number of the bigram, whether the word is taken
-    as the longer one of a pair)."""
+    """For each prefix bigram its index keys: (key, number of the bigram, where the half that may
+    differ begins and ends, whether the word is taken as the longer one of a pair)."""
     hashes = _Hashes(letters)
     begin, end = starts[word], starts[word + 1]
     length, number = end - begin, np.arange(word.size)
@@ -182,11 +185,22 @@ def _keys(letters, starts, word, places):
             some = rest >= 0
             cut = np.maximum(rest, 0) // 2
             for half in (0, 1):  # the half that the edit is not in
-                a, b = (low, low + cut) if half == 0 else (high - (np.maximum(rest, 0) - cut), high)
-                a, b = np.where(some, a, low), np.where(some, b, low)
+                if half == 0:
+                    split = np.where(some, low + cut, low)
+                    equal, other = (low, split), (split, high)
+                else:
+                    split = np.where(some, high - (rest - cut), high)
+                    equal, other = (split, high), (low, split)
                 tag = np.full(word.size, side * 2 + half)
-                key = _mixed(tag, offset, length - shorter, whole, hashes.of(a, b))
-                yield key[some], number[some], bool(shorter)
+                key = _mixed(tag, offset, length - shorter, whole, hashes.of(*equal))
+                yield key[some], number[some], other[0][some], other[1][some], bool(shorter)
+
+
+def _stretches(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of the letters as texts; null where one is longer than CARRIED."""
+    text = letters.tobytes().decode("latin-1")
+    pairs = zip(start.tolist(), end.tolist(), strict=True)
+    return pa.array([text[a:b] if b - a <= CARRIED else None for a, b in pairs], pa.string())
 
 
 def _index(ranks: np.ndarray, costs: np.ndarray):
@@ -197,10 +211,11 @@ def _index(ranks: np.ndarray, costs: np.ndarray):
             letters, starts = _letters(batch.column("word"))
             word, places, pivot = _prefixes(letters, starts, ranks, costs)
             ids = np.asarray(batch.column("id"))
-            for key, number, longer in _keys(letters, starts, word, places):
+            for key, number, start, end, longer in _keys(letters, starts, word, places):
                 columns = [key, ids[word[number]], pivot[number], np.full(key.size, longer)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in columns], ["key", "id", "pivot", "longer"]
+                    [*[pa.array(c) for c in columns], _stretches(letters, start, end)],
+                    ["key", "id", "pivot", "longer", "rest"],
                 )
 
     return index
@@ -220,13 +235,19 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ranks = np.empty(costs.size, np.int64)
     ranks[np.lexsort((np.arange(costs.size), costs))] = np.arange(costs.size)
     entries = words.select("id", "word").mapInArrow(
-        _index(ranks, costs), "key long, id long, pivot boolean, longer boolean"
+        _index(ranks, costs), "key long, id long, pivot boolean, longer boolean, rest string"
+    )
+    # An index is many times its words: the planner, which knows the words' size only, must not
+    # broadcast it.
+    p, q = entries.alias("p"), entries.alias("q").hint("merge")
+    apart = F.levenshtein("p.rest", "q.rest", 1) == 1
+    met = p.join(q, "key").filter(
+        (F.col("p.id") < F.col("q.id"))
+        & (F.col("p.pivot") | F.col("q.pivot"))
+        & ~(F.col("p.longer") & F.col("q.longer"))
+        & F.coalesce(apart, F.lit(True))
     )
-    entries = stored(entries, "spelling-index")
-    pivots = entries.filter("pivot").select("key", F.col("id").alias("p"), F.col("longer").alias("pl"))
-    prefixes = entries.select("key", F.col("id").alias("q"), F.col("longer").alias("ql"))
-    met = pivots.join(prefixes, "key").filter("p != q and not (pl and ql)")
-    pairs = met.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j")).distinct()
+    pairs = met.select(F.col("p.id").alias("i"), F.col("q.id").alias("j")).distinct()
     left = words.select(F.col("id").alias("i"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = words.select(F.col("id").alias("j"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     verified = F.levenshtein(F.col("a"), F.col("b"), 1) == 1
