@@ -18,6 +18,7 @@ from lumenota.llm import (
     repeats,
     sharding,
     spelling,
+    toxicity,
     urls,
     warc,
 )
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_hilbert_shards": sharding.op9_hilbert_shards,
     "op10_token_fertility": fertility.op10_token_fertility,
     "op11_filter_interaction": audit.op11_filter_interaction,
+    "op12_toxicity": toxicity.op12_toxicity,
     "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
