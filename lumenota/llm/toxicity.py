@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import stored, table
+from lumenota.llm.common import slices, stored, table
 
 DECAY = 0.6
 SPAN = 6
@@ -53,6 +53,8 @@ WINDOW = 24
 LONGEST = 40
 PIECE = 4
 TOXIC_LANDMARKS, CLEAN_LANDMARKS, HARD_LANDMARKS = 72, 16, 40
+#: Words whose features are made at once; their letters stay below 2**16.
+CHUNK = 2500
 #: Landmarks that are more alike than this say the same.
 ALIKE = 0.8
 #: A word speaks for toxic documents where its logarithmic odds, less two standard errors, exceed this.
@@ -65,53 +67,70 @@ FIRMNESS = 8.0
 THRESHOLD = 0.7
 #: Words scored before the table of known scores is begun anew.
 REMEMBERED = 400_000
+#: Bytes of texts taken in a turn, and words after which a turn is settled.
+TURN = 2_000_000
+PENDING = 1_000_000
 
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 _MARKS = re.compile(r"[\W_]+")
-_LONE = re.compile(r"(?<!\S)\w(?:[^\S\n]+\w){2,}(?!\S)")
+_LONE = re.compile(r"(?<!\S)\w(?:[^\S\n]+\w){2,}(?!\w)")
 _GAPS = [(i, j) for i, j in combinations(range(1, SPAN), 2)]
 
 
+def _units(token: str) -> list[str]:
+    """The words that one run of characters other than white space is read as."""
+    if len(token) <= WINDOW and token.isalnum():
+        return [token]
+    pieces = [x for x in _MARKS.split(token) if x]
+    whole = "".join(pieces)
+    if len(whole) > WINDOW:
+        words = [whole[i : i + WINDOW] for i in range(0, len(whole) - WINDOW // 2, WINDOW // 2)]
+    else:
+        words = [whole] if whole else []
+    if len(pieces) > 1:
+        words += [x for x in pieces if PIECE <= len(x) <= WINDOW]
+    return words
+
+
+def _parts(text: str) -> list[str]:
+    """Sentences as texts, with single characters in a row joined."""
+    return _SENTENCE.split(_LONE.sub(lambda m: "".join(m.group().split()), text.lower()))
+
+
 def sentences(text: str) -> Iterator[list[str]]:
     """The distinct words of each sentence, in order; every sentence has one."""
-    for part in _SENTENCE.split(text.lower()):
-        words = []
-        for token in _LONE.sub(lambda m: "".join(m.group().split()), part).split():
-            pieces = [x for x in _MARKS.split(token) if x]
-            token = "".join(pieces)
-            if len(token) > WINDOW:
-                words += [token[i : i + WINDOW] for i in range(0, len(token) - WINDOW // 2, WINDOW // 2)]
-            elif token:
-                words.append(token)
-            if len(pieces) > 1:
-                words += [x for x in pieces if PIECE <= len(x) <= WINDOW]
+    for part in _parts(text):
+        words = [w for token in part.split() for w in _units(token)]
         for at in range(0, len(words), LONGEST):
             yield list(dict.fromkeys(words[at : at + LONGEST]))
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number, feature and weight of the words' subsequences; the weights of a word have
-    length 1. A feature is three code points in one number; words are at most WINDOW long."""
+    """Word number, feature and weight of the subsequences of at most CHUNK words; the weights of a
+    word have length 1. A feature is three code points in one number; words are at most WINDOW long."""
     sizes = np.fromiter((len(w) for w in words), np.int64, len(words))
     starts = np.cumsum(sizes) - sizes
     codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = codes.astype(np.int64)
-    owner = np.repeat(np.arange(sizes.size), sizes)
+    alphabet, codes = np.unique(codes.astype(np.int64), return_inverse=True)  # below 2**16 letters
+    owner = np.repeat(np.arange(sizes.size), sizes) << 48
     left = np.repeat(starts + sizes, sizes) - np.arange(codes.size)
-    rows, names, weights = [], [], []
+    keys, weights = [], []
     for j, k in _GAPS:
         at = np.flatnonzero(left > k)
-        rows.append(owner[at])
-        names.append(codes[at] << 42 | codes[at + j] << 21 | codes[at + k])
+        keys.append(owner[at] | codes[at] << 32 | codes[at + j] << 16 | codes[at + k])
         weights.append(np.full(at.size, DECAY ** (k + 1)))
-    row, name, weight = (np.concatenate(x) for x in (rows, names, weights))
-    order = np.lexsort((name, row))
-    row, name, weight = row[order], name[order], weight[order]
-    if row.size:
-        new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(name) != 0)])
-        row, name, weight = row[new], name[new], np.add.reduceat(weight, new)
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key)
+    key, weight = key[order], weight[order]
+    if key.size:
+        new = np.flatnonzero(np.r_[True, np.diff(key) != 0])
+        key, weight = key[new], np.add.reduceat(weight, new)
+    row, low = key >> 48, 0xFFFF
+    if not key.size:
+        return row, key, weight
+    first, second, third = (alphabet[key >> shift & low] for shift in (32, 16, 0))
     norm = np.sqrt(np.bincount(row, weight**2, sizes.size))
-    return row, name, weight / norm[row] if row.size else weight
+    return row, first << 42 | second << 21 | third, weight / norm[row]
 
 
 class Landmarks:
@@ -121,10 +140,15 @@ class Landmarks:
         row, name, weight = features(words)
         self.words = words
         self.names = np.unique(name)
-        self.table = np.zeros((self.names.size, len(words)))
+        self.table = np.zeros((self.names.size, len(words)), np.float32)
         self.table[np.searchsorted(self.names, name), row] = weight
 
     def kernel(self, words: list[str]) -> np.ndarray:
+        """One row per word, one column per landmark."""
+        some = [self._kernel(words[at : at + CHUNK]) for at in range(0, len(words), CHUNK)]
+        return np.concatenate(some) if some else np.zeros((0, len(self.words)))
+
+    def _kernel(self, words: list[str]) -> np.ndarray:
         row, name, weight = features(words)
         out = np.zeros((len(words), len(self.words)))
         if row.size and self.names.size:
@@ -132,7 +156,7 @@ class Landmarks:
             hit = np.flatnonzero(self.names[place] == name)
             if hit.size:
                 first = np.flatnonzero(np.r_[True, np.diff(row[hit]) != 0])
-                terms = self.table[place[hit]] * weight[hit, None]
+                terms = self.table[place[hit]] * weight[hit, None].astype(np.float32)
                 out[row[hit][first]] = np.add.reduceat(terms, first)
         return out**SHARPNESS
 
@@ -170,32 +194,61 @@ class Model:
     shift: float
 
     def scorer(self):
-        """A function from a text to its score; it remembers words it has met."""
-        known: dict[str, float] = {}
+        """A function from texts to their scores; it remembers words it has met."""
         marks = Landmarks(self.words)
-
-        def learn(words: set[str]) -> None:
-            if len(known) > REMEMBERED:
-                known.clear()
-            for at in range(0, len(new := [w for w in words if w not in known]), 5000):
-                some = new[at : at + 5000]
-                known.update(zip(some, (marks.kernel(some) @ self.weights).tolist(), strict=True))
-
-        def score(text: str) -> float:
-            best, rest, found = None, [], set()
-            for words in sentences(text):
-                rest.append(words)
-                found.update(words)
-                if len(found) > 50_000:
-                    learn(found)
-                    tops = [sum(known[w] for w in s) for s in rest]
-                    best, rest, found = max(tops if best is None else [*tops, best]), [], set()
-            learn(found)
-            tops = [sum(known[w] for w in s) for s in rest]
-            if best is not None or tops:
-                best = max(tops if best is None else [*tops, best])
-            margin = self.slope * ((best or 0.0) + self.bias) + self.shift
-            return float(1 / (1 + np.exp(-np.clip(margin, -40, 40))))
+        places: dict[str, int] = {}
+        tokens: dict[str, list[int]] = {}
+        known = np.zeros(0)
+
+        def place(word: str) -> int:
+            return places.setdefault(word, len(places))
+
+        def tops(ids: list[int], ends: list[int]) -> np.ndarray:
+            """The sum over the distinct words of each sentence; sentences are given by their ends."""
+            nonlocal known
+            if len(places) > known.size:
+                fresh = list(places)[known.size :]
+                known = np.concatenate([known, marks.kernel(fresh) @ self.weights])
+            sizes = np.diff(ends, prepend=0)
+            pairs = np.repeat(np.arange(sizes.size) << 32, sizes) | np.array(ids, np.int64)
+            pairs.sort()
+            pairs = pairs[np.r_[True, np.diff(pairs) != 0]]
+            return np.bincount(pairs >> 32, known[pairs & 0xFFFFFFFF], sizes.size)
+
+        def score(texts: list[str]) -> np.ndarray:
+            nonlocal known
+            best = np.full(len(texts), -np.inf)
+            ids: list[int] = []
+            ends: list[int] = []
+            owners: list[int] = []
+
+            def settle() -> None:
+                np.maximum.at(best, owners, tops(ids, ends))
+                for pending in (ids, ends, owners):
+                    pending.clear()
+
+            if len(places) > REMEMBERED:
+                places.clear()
+                tokens.clear()
+                known = np.zeros(0)
+            for number, text in enumerate(texts):
+                for part in _parts(text):
+                    first = len(ids)
+                    for token in part.split():
+                        found = tokens.get(token)
+                        if found is None:
+                            found = tokens[token] = [place(w) for w in _units(token)]
+                        ids += found
+                    cuts = [*range(first + LONGEST, len(ids), LONGEST), len(ids)]
+                    if len(ids) > first:
+                        ends += cuts
+                        owners += [number] * len(cuts)
+                    if len(ids) > PENDING:
+                        settle()
+            if ids:
+                settle()
+            margin = np.where(np.isinf(best), 0.0, best) + self.bias
+            return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
         return score
 
@@ -248,8 +301,7 @@ def _embedded(examples, marks: Landmarks, root: np.ndarray, change) -> list[np.n
     """Features of each document's sentences, with ``change`` made to their words."""
     kinds = {w: i for i, w in enumerate(dict.fromkeys(w for _, doc in examples for s in doc for w in s))}
     changed = change(list(kinds))
-    kernels = [marks.kernel(changed[at : at + 5000]) for at in range(0, len(changed), 5000)]
-    words = np.concatenate(kernels) @ root
+    words = marks.kernel(changed) @ root
     return [np.array([words[[kinds[w] for w in s]].sum(0) for s in doc]) for _, doc in examples]
 
 
@@ -299,8 +351,7 @@ def fitted(
     held = Counter(w for t, doc in examples if not t for w in {w for s in doc for w in s})
     usual = [w for w, n in held.items() if n > 1]
     if usual:
-        harm = [marks.kernel(usual[a : a + 5000]) @ weights for a in range(0, len(usual), 5000)]
-        harm = dict(zip(usual, np.concatenate(harm).tolist(), strict=True))
+        harm = dict(zip(usual, (marks.kernel(usual) @ weights).tolist(), strict=True))
         hard = sorted((w for w in usual if harm[w] > 0), key=lambda w: (-harm[w] * held[w], w))
         words += spread_apart([w for w in hard if w not in set(words)], HARD_LANDMARKS, [])
     marks, weights, bias, scores, stretched = _learned(examples, words, scores, ROUNDS)
@@ -355,7 +406,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """
     known = labels.filter("doc_id is not null and toxic is not null").filter(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic"))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(known, "doc_id")
+    rows = docs.select("doc_id", "text").filter("text is not null").join(known.hint("merge"), "doc_id")
     rows = stored(rows, "toxicity-labelled")  # the only shuffle of texts
     classes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(classes) < 2:
@@ -365,6 +416,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         _word_presence, "word string, toxic long, clean long"
     )
     presence = presence.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    presence = stored(presence.filter("toxic > 1 or clean > 1"), "toxicity-words")
     odds = F.log(
         (F.col("toxic") + 0.5) / (n1 + 1.0) / ((F.col("clean") + 0.5) / (n0 + 1.0))
     )
@@ -401,9 +453,9 @@ def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            found = [score(t.as_py() or "") for t in batch.column("text")]
+            found = [score([t.decode() for t in turn]) for _, turn in slices(batch.column("text"), TURN)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(np.concatenate([*found, []]))], ["doc_id", "score"]
             )
 
     rows = docs.select("doc_id", "text")
