@@ -37,10 +37,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,8 @@ FIRMNESS = 8.0
 THRESHOLD = 0.7
 #: Words scored before the table of known scores is begun anew.
 REMEMBERED = 400_000
-#: Bytes of texts taken in a turn, and words after which a turn is settled.
-TURN = 2_000_000
-PENDING = 1_000_000
+#: Characters taken in a turn.
+TURN = 4_000_000
 
 _SENTENCE = re.compile(r"[.!?]+(?=\s|$)|\n")
 _MARKS = re.compile(r"[\W_]+")
@@ -138,10 +138,11 @@ class Landmarks:
 
     def __init__(self, words: list[str]):
         row, name, weight = features(words)
+        order = np.argsort(name, kind="stable")
         self.words = words
-        self.names = np.unique(name)
-        self.table = np.zeros((self.names.size, len(words)), np.float32)
-        self.table[np.searchsorted(self.names, name), row] = weight
+        self.owners, self.weights = row[order], weight[order]
+        self.names, self.starts = np.unique(name[order], return_index=True)
+        self.counts = np.diff(self.starts, append=name.size)
 
     def kernel(self, words: list[str]) -> np.ndarray:
         """One row per word, one column per landmark."""
@@ -150,15 +151,17 @@ class Landmarks:
 
     def _kernel(self, words: list[str]) -> np.ndarray:
         row, name, weight = features(words)
-        out = np.zeros((len(words), len(self.words)))
-        if row.size and self.names.size:
-            place = np.minimum(np.searchsorted(self.names, name), self.names.size - 1)
-            hit = np.flatnonzero(self.names[place] == name)
-            if hit.size:
-                first = np.flatnonzero(np.r_[True, np.diff(row[hit]) != 0])
-                terms = self.table[place[hit]] * weight[hit, None].astype(np.float32)
-                out[row[hit][first]] = np.add.reduceat(terms, first)
-        return out**SHARPNESS
+        shape = len(words), len(self.words)
+        if not row.size or not self.names.size:
+            return np.zeros(shape)
+        place = np.minimum(np.searchsorted(self.names, name), self.names.size - 1)
+        hit = np.flatnonzero(self.names[place] == name)
+        counts = self.counts[place[hit]]
+        first = np.repeat(self.starts[place[hit]] - counts.cumsum() + counts, counts)
+        entry = first + np.arange(first.size)  # every landmark that has the feature
+        cell = np.repeat(row[hit], counts) * shape[1] + self.owners[entry]
+        terms = np.repeat(weight[hit], counts) * self.weights[entry]
+        return np.bincount(cell, terms, shape[0] * shape[1]).reshape(shape) ** SHARPNESS
 
 
 def spread_apart(words: list[str], most: int, taken: list[str]) -> list[str]:
@@ -200,53 +203,61 @@ class Model:
         tokens: dict[str, list[int]] = {}
         known = np.zeros(0)
 
-        def place(word: str) -> int:
-            return places.setdefault(word, len(places))
+        def place(token: str) -> list[int]:
+            found = tokens.get(token)
+            if found is None:
+                found = [places.setdefault(w, len(places)) for w in _units(token)]
+                tokens[token] = found
+            return found
 
-        def tops(ids: list[int], ends: list[int]) -> np.ndarray:
-            """The sum over the distinct words of each sentence; sentences are given by their ends."""
+        def tops(parts: list[str], owners: list[int], best: np.ndarray) -> None:
+            """Raise the best scores of the owners of sentences."""
             nonlocal known
+            split = pc.utf8_split_whitespace(pa.array(parts, pa.large_string()))
+            coded = split.values.dictionary_encode()
+            found = [place(t) for t in coded.dictionary.to_pylist()]
             if len(places) > known.size:
-                fresh = list(places)[known.size :]
+                fresh = list(islice(places, known.size, None))
                 known = np.concatenate([known, marks.kernel(fresh) @ self.weights])
-            sizes = np.diff(ends, prepend=0)
-            pairs = np.repeat(np.arange(sizes.size) << 32, sizes) | np.array(ids, np.int64)
-            pairs.sort()
-            pairs = pairs[np.r_[True, np.diff(pairs) != 0]]
-            return np.bincount(pairs >> 32, known[pairs & 0xFFFFFFFF], sizes.size)
+            sizes = np.fromiter((len(f) for f in found), np.int64, len(found))
+            words = np.fromiter(chain.from_iterable(found), np.int64, sizes.sum())
+            codes = coded.indices.to_numpy()
+            counts = sizes[codes]
+            sentence = np.repeat(np.arange(len(parts)), np.diff(split.offsets.to_numpy()))
+            sentence = np.repeat(sentence, counts)
+            if not sentence.size:
+                return
+            first = (sizes.cumsum() - sizes)[codes] - counts.cumsum() + counts
+            words = words[np.repeat(first, counts) + np.arange(sentence.size)]
+            begins = np.flatnonzero(np.r_[True, np.diff(sentence) != 0])
+            sizes = np.diff(begins, append=sentence.size)
+            within = np.arange(sentence.size) - np.repeat(begins, sizes)
+            window = np.cumsum(within % LONGEST == 0) - 1
+            owner = np.array(owners)[sentence[within % LONGEST == 0]]
+            pairs = np.sort(window << 32 | words)
+            pairs = pairs[np.r_[True, np.diff(pairs) != 0]]  # each word once
+            np.maximum.at(best, owner, np.bincount(pairs >> 32, known[pairs & 0xFFFFFFFF]))
 
         def score(texts: list[str]) -> np.ndarray:
             nonlocal known
             best = np.full(len(texts), -np.inf)
-            ids: list[int] = []
-            ends: list[int] = []
-            owners: list[int] = []
-
-            def settle() -> None:
-                np.maximum.at(best, owners, tops(ids, ends))
-                for pending in (ids, ends, owners):
-                    pending.clear()
-
             if len(places) > REMEMBERED:
                 places.clear()
                 tokens.clear()
                 known = np.zeros(0)
+            parts: list[str] = []
+            owners: list[int] = []
+            size = 0
             for number, text in enumerate(texts):
                 for part in _parts(text):
-                    first = len(ids)
-                    for token in part.split():
-                        found = tokens.get(token)
-                        if found is None:
-                            found = tokens[token] = [place(w) for w in _units(token)]
-                        ids += found
-                    cuts = [*range(first + LONGEST, len(ids), LONGEST), len(ids)]
-                    if len(ids) > first:
-                        ends += cuts
-                        owners += [number] * len(cuts)
-                    if len(ids) > PENDING:
-                        settle()
-            if ids:
-                settle()
+                    parts.append(part)
+                    owners.append(number)
+                    size += len(part)
+                    if size > TURN:
+                        tops(parts, owners, best)
+                        parts, owners, size = [], [], 0
+            if parts:
+                tops(parts, owners, best)
             margin = np.where(np.isinf(best), 0.0, best) + self.bias
             return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
