@@ -405,6 +405,94 @@ def settled_pairs(spark, sf):
     return found.withColumnRenamed("row", "true_row")
 
 
+def _classes_sql(side: str) -> str:
+    """Rows of one side grouped by their identity values, named by their least row."""
+    values = {
+        name: s.norm_name(f"{side}_{name}") if name in ("code", "description") else f"{side}_{name}"
+        for name in m.ITEM_WEIGHTS
+    }
+    listed = ", ".join(f"{value} AS {name}" for name, value in values.items())
+    return f"""{side}_classes AS (SELECT * EXCLUDE (pos), min(pos) AS row, count(*) AS n FROM
+      (SELECT case_id, {listed}, pos FROM {side}_items) GROUP BY ALL)"""
+
+
+_CLASS_SCORE = " + ".join(
+    f"CASE WHEN coalesce(t.{name}=p.{name},false) THEN {weight} ELSE 0 END"
+    for name, weight in m.ITEM_WEIGHTS.items()
+)
+
+
+@query(
+    "j06_class_pairs",
+    q.with_ctes(
+        q.LINKS,
+        _classes_sql("t"),
+        _classes_sql("p"),
+        f"""paired AS (SELECT t.case_id, t.row AS true_row, p.row AS predicted_row,
+          ({_CLASS_SCORE})::BIGINT AS score, t.n AS true_rows, p.n AS answer_rows
+          FROM t_classes t JOIN p_classes p USING (case_id))""",
+        select=f"SELECT * FROM paired WHERE score>={m.ITEM_MINIMUM}",
+    ),
+)
+def class_pairs(spark, sf):
+    """Pairs between classes of equal rows, each named by its least row."""
+    found = m.class_pairs(*_both_sides(spark, sf), "item")
+    return found.withColumnRenamed("row", "true_row")
+
+
+def best_totals_sql(*parts: str) -> str:
+    """The greatest total score and then the least total distance of each case, by walking through
+    every one-to-one choice of ``candidates``."""
+    walked = q.with_ctes(
+        *parts,
+        """ranked AS (SELECT *, dense_rank() OVER (PARTITION BY case_id ORDER BY true_row) AS k
+          FROM candidates)""",
+        "tops AS (SELECT case_id, max(k) AS last FROM ranked GROUP BY case_id)",
+        """choices AS (SELECT case_id, k, 1::BIGINT << predicted_row::INTEGER AS bit, score,
+          abs(true_row-predicted_row) AS distance FROM ranked
+          UNION ALL SELECT DISTINCT case_id, k, 0::BIGINT, 0, 0 FROM ranked)""",
+        """walk AS (SELECT case_id, 0::BIGINT AS k, 0::BIGINT AS used, 0::BIGINT AS score,
+          0::BIGINT AS distance FROM tops UNION ALL
+          SELECT w.case_id, c.k, w.used|c.bit, w.score+c.score, w.distance+c.distance
+          FROM walk w JOIN choices c ON c.case_id=w.case_id AND c.k=w.k+1 AND (w.used&c.bit)=0)""",
+        """best AS (SELECT case_id, max(score*1000000-distance) AS v FROM walk GROUP BY case_id)""",
+        select="""SELECT case_id, ((v+999999)//1000000)::BIGINT AS score,
+          (((v+999999)//1000000)*1000000-v)::BIGINT AS distance FROM best""",
+    )
+    return walked.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def match_totals(pairs):
+    return pairs.groupBy("case_id").agg(
+        F.sum("score").alias("score"),
+        F.sum(F.abs(C("row") - C("predicted_row"))).alias("distance"),
+    )
+
+
+@query("j07_match_totals", best_totals_sql(q.LINKS, CANDIDATES))
+def match_item_totals(spark, sf):
+    """Total score and row distance of each case's optimal pairs, the same for every optimum."""
+    return match_totals(m.match_rows(*_both_sides(spark, sf), "item"))
+
+
+@query(
+    "j07_match_installment_totals",
+    best_totals_sql(
+        q.CASES, q.INSTALLMENTS,
+        """candidates AS (SELECT t.case_id, t.pos AS true_row, p.pos AS predicted_row,
+          (CASE WHEN t.number=p.number THEN 2 ELSE 0 END + CASE WHEN t.t_due=p.p_due THEN 2 ELSE 0 END
+          + CASE WHEN t.t_amount=p.p_amount THEN 1 ELSE 0 END)::BIGINT AS score
+          FROM inst t JOIN inst p ON t.case_id=p.case_id AND p.has_p
+          WHERE t.number=p.number OR t.t_due=p.p_due)""",
+    ),
+)
+def match_installment_totals(spark, sf):
+    links = b.installment_links(spark, sf)
+    return match_totals(
+        m.match_rows(b.flat_installments(links, "t"), b.flat_installments(links, "p"), "installment")
+    )
+
+
 @query("j07_match_rows")
 def match_rows(spark, sf):
     """The optimal one-to-one pairs of all items (checked against brute force in the tests)."""
