@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenota.operators import grading as g
 from lumenota.operators import matching, tags
+from lumenota.session import checkpointed
 
 HEADER = (
     "access_key", "number", "series", "issue_date", "operation_nature", "issuer", "recipient",
@@ -62,7 +63,7 @@ def grade_answers(
     sides = {}
     for kind, (_, list_name, _) in g.KINDS.items():
         true_rows, answer_rows = list_rows(true_side, list_name), list_rows(answer_side, list_name)
-        pairs = matching.match_rows(true_rows, answer_rows, kind)
+        pairs = checkpointed(matching.match_rows(true_rows, answer_rows, kind))  # used four times
         paired = g.grade_pairs(
             g.pair_rows(true_rows, answer_rows, pairs.drop("score"), kind), kind, tolerance
         )
