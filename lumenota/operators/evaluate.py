@@ -72,8 +72,9 @@ def grade_answers(
             g.row_events(missing, extra, kind)
         )
         sides[kind] = (true_rows, paired, missing, extra)
-    true_items, item_pairs, missing, extra = sides["item"]
-    tagged = tags.tag_wrong_values(wrong, header, true_items, item_pairs, missing, extra)
+    _, item_pairs, missing, extra = sides["item"]
+    linked = g.linked_rows(item_pairs, missing, extra, "item")
+    tagged = tags.tag_wrong_values(wrong, header, linked)
     return Evaluation(
         header=header,
         wrong=wrong,

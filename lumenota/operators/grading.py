@@ -118,6 +118,16 @@ def unmatched_rows(
     return missing, answer.join(used, ["case_id", "row"], "left_anti")
 
 
+def linked_rows(paired: DataFrame, missing: DataFrame, extra: DataFrame, kind: str) -> DataFrame:
+    """``case_id, row, t, p`` of all rows of one list: a null ``p`` is a missing row, a null ``t`` an
+    extra one (whose ``row`` is its answered place)."""
+    columns = KINDS[kind][0]
+    both = paired.select("case_id", "row", "t", "p")
+    lost = missing.select("case_id", "row", F.struct(*columns).alias("t"))
+    gained = extra.select("case_id", "row", F.struct(*columns).alias("p"))
+    return both.unionByName(lost, True).unionByName(gained, True)
+
+
 def _other_box(kind: str, column: str, t: Column, p: Column) -> Column:
     """Whether a wrong amount is another money column's value of the same true row."""
     if kind != "item" or column not in ROW_MONEY_COLUMNS:

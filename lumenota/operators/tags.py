@@ -1,14 +1,15 @@
 """Failure tags: every wrong value gets exactly one, by the first rule of an ordered list.
 
-The facts a rule reads about other rows of a case are found with equi-joins on (case, column,
-amount) and folded into one small fact table, which is joined to the wrong values once.
+The facts a rule reads about other rows of a case come from one table of linked rows: amounts that
+meet on (case, column, amount) in one pass, the last matched row per case, and the true cells whose
+values were copied. Each is joined to the wrong values once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenota.functions.numbers import significant_digits
@@ -62,94 +63,81 @@ ITEM_NEAR_MISS_COLUMNS = ("code", "description", "unit")
 HEADER_TEXT_ONLY_PATHS = ("issuer.uf", "recipient.uf", "recipient.tax_id_kind")
 
 FACT_KEYS = ("case_id", "event_key", "line", "column")
-FACTS = ("merged", "split", "trailing")
+FACTS = ("merged", "split")
 _AMOUNT = "decimal(38,4)"
 
 
 # --- facts about other rows -------------------------------------------------------------------
 
 
-def _amounts(rows: DataFrame, line: str) -> DataFrame:
-    """Non-zero totals and quantities of unmatched rows: ``case_id, line, column, amount``."""
-    listed = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(name).alias("column"), F.col(name).cast(_AMOUNT).alias("amount"))
-                for name in SUM_COLUMNS
-            ]
-        )
-    )
-    return rows.select("case_id", F.col(line).alias("line"), listed).filter(F.col("amount") != 0)
-
-
-def _gaps(paired: DataFrame) -> DataFrame:
-    """Answered minus true total and quantity of matched pairs, where the true one is not zero."""
-    listed = F.inline(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.col(f"t.{name}").cast(_AMOUNT).alias("base"),
-                    (F.col(f"p.{name}") - F.col(f"t.{name}")).cast(_AMOUNT).alias("gap"),
-                )
-                for name in SUM_COLUMNS
-            ]
+def _movements(linked: DataFrame) -> DataFrame:
+    """Totals and quantities that could have moved between rows: ``case_id, line, column, kind,
+    amount``. A matched cell whose true value is not zero has *grown* by its gap and *shrunk* by the
+    opposite; a missing row has *lost* its amount and an extra row has *gained* one.
+    """
+    t, p = F.col("t"), F.col("p")
+    cells = []
+    for name in SUM_COLUMNS:
+        true, read = t[name].cast(_AMOUNT), p[name].cast(_AMOUNT)
+        gap = F.when(true != 0, read - true)
+        for kind, amount in (
+            (F.when(p.isNull(), "lost").when(t.isNotNull(), "grown"), F.when(p.isNull(), true).otherwise(gap)),
+            (F.when(t.isNull(), "gained").when(p.isNotNull(), "shrunk"), F.when(t.isNull(), read).otherwise(-gap)),
+        ):
+            parts = (F.lit(name).alias("column"), kind.alias("kind"), amount.cast(_AMOUNT).alias("amount"))
+            cells.append(F.struct(*parts))
+    listed = linked.select("case_id", F.col("row").alias("line"), F.inline(F.array(*cells)))
+    return listed.filter(F.col("kind").isNotNull() & (F.col("amount") != 0))
+
+
+def moved_rows(linked: DataFrame) -> DataFrame:
+    """Movements that meet another of equal amount in their case and column, with ``fact``.
+
+    *merged*: a cell has grown by a missing row's amount; *split*: it has shrunk by an extra row's.
+    """
+    meets = Window.partitionBy("case_id", "column", "amount")
+    seen = lambda kind: F.max(F.col("kind") == kind).over(meets)
+    facts = (
+        _movements(linked)
+        .withColumns({kind: seen(kind) for kind in ("grown", "lost", "shrunk", "gained")})
+        .withColumn(
+            "fact",
+            F.when(F.col("kind").isin("grown", "lost") & F.col("grown") & F.col("lost"), "merged").when(
+                F.col("kind").isin("shrunk", "gained") & F.col("shrunk") & F.col("gained"), "split"
+            ),
         )
     )
-    rows = paired.select("case_id", F.col("row").alias("line"), listed)
-    return rows.filter((F.col("gap") != 0) & (F.col("base") != 0))
+    return facts.filter(F.col("fact").isNotNull()).select("case_id", "line", "column", "kind", "fact")
 
 
-def merged_rows(paired: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matched cells that absorbed a missing row's amount, and the absorbed missing rows."""
-    keys = ["case_id", "column", "amount"]
-    grown = _gaps(paired).select("case_id", "line", "column", F.col("gap").alias("amount"))
-    lost = _amounts(missing, "row")
-    cells = grown.join(lost.select(keys).distinct(), keys, "left_semi")
-    rows = lost.join(grown.select(keys).distinct(), keys, "left_semi")
-    return cells.select("case_id", "line", "column"), rows.select("case_id", "line").distinct()
+def last_matched(linked: DataFrame) -> DataFrame:
+    """Per case the last true row that is matched."""
+    both = F.col("t").isNotNull() & F.col("p").isNotNull()
+    return linked.filter(both).groupBy("case_id").agg(F.max("row").alias("last_row"))
 
 
-def split_rows(paired: DataFrame, extra: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matched cells that lost an extra row's amount, and the extra rows that hold it."""
-    keys = ["case_id", "column", "amount"]
-    shrunk = _gaps(paired).select("case_id", "line", "column", (-F.col("gap")).alias("amount"))
-    gained = _amounts(extra, "row")
-    cells = shrunk.join(gained.select(keys).distinct(), keys, "left_semi")
-    rows = gained.join(shrunk.select(keys).distinct(), keys, "left_semi")
-    return cells.select("case_id", "line", "column"), rows.select("case_id", "line").distinct()
+def _trailing(line: Column) -> Column:
+    return line > F.coalesce(F.col("last_row"), F.lit(-1))
 
 
-def trailing_missing(pairs: DataFrame, missing: DataFrame) -> DataFrame:
+def trailing_missing(linked: DataFrame) -> DataFrame:
     """Missing true rows after the last matched one."""
-    last = pairs.groupBy("case_id").agg(F.max("row").alias("last_row"))
-    joined = missing.select("case_id", F.col("row").alias("line")).join(last, "case_id", "left")
-    return joined.filter(F.col("line") > F.coalesce("last_row", F.lit(-1))).select(
-        "case_id", "line"
-    )
-
-
-def _fact(rows: DataFrame, event: str, name: str) -> DataFrame:
-    column = F.col("column") if "column" in rows.columns else F.lit("total")
-    flags = [F.lit(fact == name).alias(fact) for fact in FACTS]
-    return rows.select(
-        "case_id", F.lit(event).alias("event_key"), "line", column.alias("column"), *flags
-    )
+    missing = linked.filter(F.col("p").isNull()).select("case_id", F.col("row").alias("line"))
+    joined = missing.join(last_matched(linked), "case_id", "left")
+    return joined.filter(_trailing(F.col("line"))).select("case_id", "line")
 
 
-def row_facts(paired: DataFrame, missing: DataFrame, extra: DataFrame) -> DataFrame:
-    """The merged, split and trailing facts of item rows, one row per cell or row event."""
-    merged_cells, merged_lost = merged_rows(paired, missing)
-    split_cells, split_extra = split_rows(paired, extra)
-    tail = trailing_missing(paired, missing)
-    facts = (
-        _fact(merged_cells, "", "merged")
-        .unionByName(_fact(merged_lost, "missing", "merged"))
-        .unionByName(_fact(split_cells, "", "split"))
-        .unionByName(_fact(split_extra, "extra", "split"))
-        .unionByName(_fact(tail, "missing", "trailing"))
+def row_facts(linked: DataFrame) -> DataFrame:
+    """The merged and split facts of item rows, one row per cell or row event."""
+    moved = moved_rows(linked)
+    event = F.when(F.col("kind") == "lost", "missing").when(F.col("kind") == "gained", "extra")
+    return (
+        moved.withColumn("event_key", F.coalesce(event, F.lit("")))
+        # A row event stands on the total, whichever of its amounts moved.
+        .withColumn("column", F.when(event.isNotNull(), "total").otherwise(F.col("column")))
+        .groupBy(*FACT_KEYS)
+        .agg(*[F.bool_or(F.col("fact") == name).alias(name) for name in FACTS])
     )
-    return facts.groupBy(*FACT_KEYS).agg(*[F.bool_or(name).alias(name) for name in FACTS])
 
 
 def _match_value(column: Column, value: Column) -> Column:
@@ -348,21 +336,21 @@ def tag_name(rule: Column) -> Column:
     return F.element_at(F.array(*[F.lit(tag) for tag in TAG_ORDER]), rule + 1)
 
 
-def _keyed(wrong: DataFrame, header: DataFrame, facts: DataFrame) -> DataFrame:
+def _keyed(wrong: DataFrame, header: DataFrame, linked: DataFrame) -> DataFrame:
     """Wrong values with the case facts and the row facts."""
+    line = F.when(F.col("scope") == "item", F.coalesce("row", "predicted_row"))
     keyed = wrong.withColumns(
-        {
-            "event_key": F.coalesce("event", F.lit("")),
-            "line": F.when(
-                F.col("scope") == "item", F.coalesce("row", "predicted_row")
-            ).otherwise(F.lit(-1)),
-        }
+        {"event_key": F.coalesce("event", F.lit("")), "line": F.coalesce(line, F.lit(-1))}
     )
-    joined = keyed.join(header.select("case_id", "status", "crossover"), "case_id", "left").join(
-        facts, list(FACT_KEYS), "left"
+    joined = (
+        keyed.join(header.select("case_id", "status", "crossover"), "case_id", "left")
+        .join(last_matched(linked), "case_id", "left")
+        .join(row_facts(linked), list(FACT_KEYS), "left")
     )
+    trailing = (F.col("event") == "missing") & (F.col("scope") == "item") & _trailing(F.col("line"))
     flags = {name: F.coalesce(name, F.lit(False)) for name in (*FACTS, "crossover")}
-    return joined.withColumns(flags).drop("event_key", "line")
+    flags["trailing"] = F.coalesce(trailing, F.lit(False))
+    return joined.withColumns(flags).drop("event_key", "line", "last_row")
 
 
 def with_copied(keyed: DataFrame, copied: DataFrame) -> DataFrame:
@@ -381,37 +369,58 @@ def _is_count() -> Column:
     return counts & ~F.coalesce(F.col("status") == "schema_invalid", F.lit(False))
 
 
-def tag_values(joined: DataFrame, events: DataFrame) -> DataFrame:
-    """Wrong values plus ``rule`` and ``tag``; a count takes the tag of its first row event."""
-    rule = F.when(_is_count(), F.coalesce("event_rule", F.lit(UNTAGGED_RULE))).otherwise(
-        first_rule()
-    )
-    tagged = (
-        with_comparable(joined)
-        .join(events, ["case_id", "column"], "left")
-        .withColumn("rule", rule)
-    )
-    dropped = (*FACTS, *COMPARABLE, "other_row", "other_box", "crossover", "status", "event_rule")
-    return tagged.withColumn("tag", tag_name(F.col("rule"))).drop(*dropped)
+def _event_place() -> Column:
+    """Missing rows in order, then extra rows in order."""
+    rank = F.when(F.col("event") == "missing", 0).otherwise(1)
+    return F.struct(rank, F.coalesce("row", "predicted_row"))
+
+
+def _count_field() -> Column:
+    """The count field that a row event explains."""
+    return F.when(F.col("event").isNotNull(), F.concat("scope", F.lit("_count")))
 
 
 def first_event_rules(keyed: DataFrame) -> DataFrame:
     """Per case and count field the rule of the first row event: missing rows, then extra rows."""
-    rank = F.when(F.col("event") == "missing", 0).otherwise(1)
-    place = F.struct(rank, F.coalesce("row", "predicted_row"))
     return (
         keyed.filter(F.col("event").isNotNull())
         .withColumn("rule", first_rule(ROW_EVENT_TAGS))
-        .groupBy("case_id", F.concat("scope", F.lit("_count")).alias("column"))
-        .agg(F.min_by("rule", place).alias("event_rule"))
+        .groupBy("case_id", _count_field().alias("column"))
+        .agg(F.min_by("rule", _event_place()).alias("event_rule"))
+    )
+
+
+def tag_values(joined: DataFrame) -> DataFrame:
+    """Wrong values plus ``rule`` and ``tag``; a count takes the tag of its first row event.
+
+    Counts meet the row events they inherit from in a window of their own; every other value is
+    alone in its window.
+    """
+    count_field = F.when(_is_count(), F.col("column")).otherwise(_count_field())
+    meets = Window.partitionBy("case_id", "count_field", "alone")
+    event_rule = F.when(F.col("event").isNotNull(), first_rule(ROW_EVENT_TAGS))
+    place = F.when(F.col("event").isNotNull(), _event_place())
+    inherited = F.min_by("event_rule", "place").over(meets)
+    ruled = (
+        joined.withColumns({"count_field": count_field, "event_rule": event_rule, "place": place})
+        .withColumn("alone", F.when(F.col("count_field").isNull(), F.col("path")))
+        .withColumn("inherited", inherited)
     )
+    rule = F.when(_is_count(), F.coalesce("inherited", F.lit(UNTAGGED_RULE))).otherwise(first_rule())
+    tagged = with_comparable(ruled).withColumn("rule", rule)
+    dropped = (
+        *FACTS, "trailing", *COMPARABLE, "other_row", "other_box", "crossover", "status",
+        "event_rule", "count_field", "place", "alone", "inherited",
+    )
+    return tagged.withColumn("tag", tag_name(F.col("rule"))).drop(*dropped)
+
 
+def tag_wrong_values(wrong: DataFrame, header: DataFrame, linked: DataFrame) -> DataFrame:
+    """All wrong values with their tag: facts from the linked item rows, then the ordered rules.
 
-def tag_wrong_values(
-    wrong: DataFrame, header: DataFrame, truth: DataFrame, paired: DataFrame, missing: DataFrame,
-    extra: DataFrame,
-) -> DataFrame:
-    """All wrong values with their tag: facts from the item rows, then the ordered rules."""
-    keyed = _keyed(wrong, header, row_facts(paired, missing, extra))
-    copied = with_copied(keyed, values_from_other_rows(wrong, truth))
-    return tag_values(copied, first_event_rules(keyed))
+    ``linked`` has ``case_id, row, t, p`` of every item row (see ``grading.linked_rows``) and is read
+    four times; it should be a stored table.
+    """
+    keyed = _keyed(wrong, header, linked)
+    truth = linked.filter(F.col("t").isNotNull()).select("case_id", "t.*")
+    return tag_values(with_copied(keyed, values_from_other_rows(wrong, truth)))

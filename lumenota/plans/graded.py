@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from lumenota.operators import grading as g
 from lumenota.operators import tags
 from lumenota.plans import bindings as b
+from lumenota.session import stored
 
 
 @dataclass(frozen=True)
 class GradedRun:
+    """A graded run. ``linked`` has all graded item rows, paired, missing (null ``p``) and extra
+    (null ``t``), with a ``right_<column>`` flag each; ``wrong`` is the table of wrong values."""
+
     cases: DataFrame
     header: DataFrame
     items: DataFrame
     installments: DataFrame
-    item_pairs: DataFrame
-    installment_pairs: DataFrame
+    linked: DataFrame
     wrong: DataFrame
-    missing: DataFrame
-    extra: DataFrame
     truth: DataFrame
 
 
@@ -36,15 +37,6 @@ def _kept_links(links: DataFrame, status: DataFrame) -> DataFrame:
     return kept.filter(used).select("case_id", F.col("pos").alias("row"), "t", "p")
 
 
-def _sides(kept: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Paired, missing and extra rows of kept links."""
-    has_true, has_answer = F.col("t").isNotNull(), F.col("p").isNotNull()
-    paired = kept.filter(has_true & has_answer).withColumn("predicted_row", F.col("row"))
-    missing = kept.filter(has_true & ~has_answer).select("case_id", "row", "t.*")
-    extra = kept.filter(~has_true & has_answer).select("case_id", "row", "p.*")
-    return paired, missing, extra
-
-
 def counted(links: DataFrame, name: str) -> DataFrame:
     """Per case the number of true and of answered rows, in one grouping."""
     return links.groupBy("case_id").agg(
@@ -56,7 +48,10 @@ def counted(links: DataFrame, name: str) -> DataFrame:
 def counted_headers(
     header_links: DataFrame, item_links: DataFrame, installment_links: DataFrame
 ) -> DataFrame:
-    """Header links of the graded cases with both list lengths inside ``t`` and ``p``."""
+    """Header links of the graded cases with both list lengths inside ``t`` and ``p``.
+
+    The lists' links are those of the graded cases; a case with an unusable answer has none there.
+    """
     names = ("item_count", "installment_count")
     joined = (
         header_links.filter(F.col("status").isin(*g.GRADED_STATUSES))
@@ -77,54 +72,39 @@ def counted_headers(
 
 @lru_cache(maxsize=4)
 def graded_run(spark: SparkSession, sf_dir: str, tolerance: str = "0.00") -> GradedRun:
-    """Lazy plans of one graded run; a query takes the parts it needs.
-
-    Only the analysed plans are remembered between queries, never data.
+    """One graded run, written once a session into the shared folder and read by every query that
+    measures it. The tables behind it are taken to stay as they are while the session lasts.
     """
-    cases = b.case_metadata(spark, sf_dir)
+    cases = stored(b.case_metadata(spark, sf_dir), "graded-cases")
     status = cases.filter(F.col("status").isin(*g.GRADED_STATUSES)).select("case_id", "status")
     item_links = b.item_links(spark, sf_dir)
     installment_links = b.installment_links(spark, sf_dir)
+    linked = g.grade_pairs(_kept_links(item_links, status), "item", tolerance)
+    linked = stored(linked, "graded-items")
+    parts = _kept_links(installment_links, status)
+    parts = stored(g.grade_pairs(parts, "installment", tolerance), "graded-installments")
     header = g.grade_header(
-        counted_headers(
-            b.header_links(spark, sf_dir),
-            # Counts need no positions, so this side has no window.
-            b.item_links(spark, sf_dir, positions=False),
-            installment_links,
-        ),
-        tolerance,
+        counted_headers(b.header_links(spark, sf_dir), linked, parts), tolerance
     )
-    kept_items = _kept_links(item_links, status)
-    kept_parts = _kept_links(installment_links, status)
-    paired, missing, extra = _sides(kept_items)
-    part_paired, _, _ = _sides(kept_parts)
-    item_pairs = g.grade_pairs(paired, "item", tolerance)
-    part_pairs = g.grade_pairs(part_paired, "installment", tolerance)
+    header = stored(header, "graded-headers")
     wrong = (
         g.header_wrong(header)
-        .unionByName(g.linked_wrong(g.grade_pairs(kept_items, "item", tolerance), "item"))
-        .unionByName(
-            g.linked_wrong(g.grade_pairs(kept_parts, "installment", tolerance), "installment")
-        )
+        .unionByName(g.linked_wrong(linked, "item"))
+        .unionByName(g.linked_wrong(parts, "installment"))
     )
     return GradedRun(
         cases=cases,
         header=header,
         items=item_links,
         installments=installment_links,
-        item_pairs=item_pairs,
-        installment_pairs=part_pairs,
-        wrong=wrong,
-        missing=missing,
-        extra=extra,
-        truth=b.true_items(item_links).join(status.select("case_id"), "case_id", "left_semi"),
+        linked=linked,
+        wrong=stored(wrong, "graded-wrong"),
+        truth=linked.filter(F.col("t").isNotNull()).select("case_id", "row", "t.*"),
     )
 
 
 def tagged_wrong(run: GradedRun) -> DataFrame:
-    return tags.tag_wrong_values(
-        run.wrong, run.header, run.truth, run.item_pairs, run.missing, run.extra
-    )
+    return tags.tag_wrong_values(run.wrong, run.header, run.linked)
 
 
 def graded_cases(run: GradedRun, *, tagged: bool = False) -> DataFrame:

@@ -289,8 +289,16 @@ def unmatched_rows(spark, sf):
 _FACT_SQL = (*s.WRONG, s.TAGGED)
 
 
-def _pairs_and_gaps(run):
-    return run.item_pairs, run.missing, run.extra
+def _moved(spark, sf, fact, cell_kind, side):
+    """Cells and row events of one kind of moved amounts."""
+    moved = tags.moved_rows(graded_run(spark, sf).linked).filter(C("fact") == fact)
+    cells = moved.filter(C("kind") == cell_kind).select(
+        "case_id", C("line").alias("pos"), "column", F.lit("cell").alias("side")
+    )
+    rows = moved.filter(C("kind") != cell_kind).select("case_id", C("line").alias("pos")).distinct()
+    return cells.unionByName(
+        rows.select("case_id", "pos", F.lit("row").alias("column"), F.lit(side).alias("side"))
+    )
 
 
 @query(
@@ -302,12 +310,7 @@ def _pairs_and_gaps(run):
     ),
 )
 def absorbed_rows(spark, sf):
-    run = graded_run(spark, sf)
-    cells, rows = tags.merged_rows(run.item_pairs, run.missing)
-    shaped = rows.select("case_id", "line", F.lit("row").alias("column"), F.lit("missing").alias("side"))
-    return (
-        cells.withColumn("side", F.lit("cell")).unionByName(shaped).withColumnRenamed("line", "pos")
-    )
+    return _moved(spark, sf, "merged", "grown", "missing")
 
 
 @query(
@@ -319,12 +322,7 @@ def absorbed_rows(spark, sf):
     ),
 )
 def split_rows(spark, sf):
-    run = graded_run(spark, sf)
-    cells, rows = tags.split_rows(run.item_pairs, run.extra)
-    shaped = rows.select("case_id", "line", F.lit("row").alias("column"), F.lit("extra").alias("side"))
-    return (
-        cells.withColumn("side", F.lit("cell")).unionByName(shaped).withColumnRenamed("line", "pos")
-    )
+    return _moved(spark, sf, "split", "shrunk", "extra")
 
 
 @query(
@@ -535,7 +533,7 @@ def tag_values(spark, sf):
 )
 def trailing_rows(spark, sf):
     run = graded_run(spark, sf)
-    return tags.trailing_missing(run.item_pairs, run.missing).withColumnRenamed("line", "pos")
+    return tags.trailing_missing(run.linked).withColumnRenamed("line", "pos")
 
 
 @query("t14_text_near_miss")
@@ -555,6 +553,5 @@ def text_near_miss(spark, sf):
 )
 def inherited_tags(spark, sf):
     run = graded_run(spark, sf)
-    facts = tags.row_facts(run.item_pairs, run.missing, run.extra)
-    rules = tags.first_event_rules(tags._keyed(run.wrong, run.header, facts))
+    rules = tags.first_event_rules(tags._keyed(run.wrong, run.header, run.linked))
     return rules.select("case_id", "column", tags.tag_name(C("event_rule")).alias("tag"))
