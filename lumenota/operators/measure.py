@@ -6,8 +6,12 @@ short array beside the case, so membership never needs a join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +27,12 @@ from lumenota.operators.grading import (
 from lumenota.operators.ordering import running_before
 from lumenota.operators.tags import TAG_ORDER
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SLICES_VERSION = "slices-1"
 BOOTSTRAP_SEED = "20261101"
-DEFAULT_RESAMPLES = 1000
-HASH_BITS = 52
+#: Fixed value: the resamples of the published intervals.
+RESAMPLES = 10_000
 
 
 def _count_if(condition: Column) -> Column:
@@ -304,11 +310,44 @@ def field_stats(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 # --- bootstrap --------------------------------------------------------------------------------
 
 
-def hash_unit(*parts: Column, seed: str = BOOTSTRAP_SEED) -> Column:
-    """A number in [0, 1) from the digest of a seed and key parts, equal on every partitioning."""
-    text = F.concat_ws(":", F.lit(seed), *[part.cast("string") for part in parts])
-    head = F.substring(F.md5(text), 1, HASH_BITS // 4)
-    return F.conv(head, 16, 10).cast("bigint") / F.lit(float(2**HASH_BITS))
+# A draw is a number below the prime 2**31 - 1: the unit's digest plus a step for each resample,
+# squared up (x -> x * (x + k)) once per round. Another engine can follow it in 64-bit integers.
+PRIME = 2**31 - 1
+RESAMPLE_STEP = 1_164_413_355
+ROUNDS = (362_437, 521_288_629, 88_675_123, 613_566_757)
+UNIT_DIGITS = 7
+#: Units whose draws are held at once: resamples x units numbers of eight bytes.
+UNITS_AT_ONCE = 128
+
+
+def poisson_thresholds(most: int = 12) -> list[int]:
+    """The least draws that stand for 1, 2, ... ``most`` times in a resample (Poisson with mean 1)."""
+    total = probability = 2.718281828459045**-1
+    found = []
+    for count in range(1, most + 1):
+        found.append(int(total * PRIME))
+        probability /= count
+        total += probability
+    return found
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for 0 <= x < 2**62, by folding."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def poisson_weights(units: np.ndarray, resamples: int) -> np.ndarray:
+    """How often each unit stands in each resample: (resamples, units)."""
+    steps = np.arange(resamples, dtype=np.int64)[:, None] * RESAMPLE_STEP
+    draws = _reduced(_reduced(steps) + units[None, :])
+    for constant in ROUNDS:
+        draws = _reduced(draws * (draws + constant))
+    weights = np.zeros(draws.shape)
+    for threshold in poisson_thresholds():
+        weights += draws >= threshold
+    return weights
 
 
 def bootstrap_sums(
@@ -317,26 +356,53 @@ def bootstrap_sums(
 ) -> DataFrame:
     """Counter sums of resamples of the invoices: ``by, resample`` and the sums.
 
-    Each invoice enters a resample with a Poisson(1) count drawn from the digest of (seed,
-    resample, invoice). A row carries its own draws, so no resample is ever joined and the invoices
-    of one hot group stay spread; the sums are pre-aggregated before the one shuffle.
+    Each invoice enters a resample with a Poisson(1) count drawn from (seed, resample, invoice), the
+    same in every group of ``by``. Every partition multiplies its matrix of draws with its counters,
+    a bounded number of units at a time, and gives one sum for each group and resample; only those
+    are shuffled, pre-aggregated. The groups of ``by`` must be few: their sums are held in a task.
     """
-    drawn = vectors.withColumn(
-        "resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    ).withColumn("draw", hash_unit(F.col("resample"), F.col(unit), seed=seed))
-    weight = F.lit(0)
-    total = probability = 2.718281828459045**-1
-    thresholds = []
-    for count in range(1, 13):
-        thresholds.append(total)
-        probability /= count
-        total += probability
-    for threshold in thresholds:
-        weight = weight + F.when(F.col("draw") >= F.lit(threshold), 1).otherwise(0)
-    weighted = drawn.withColumn("weight", weight)
-    return weighted.groupBy(*by, "resample").agg(
-        *[F.sum(F.col(name) * F.col("weight")).alias(name) for name in counters]
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(unit).cast("string")))
+    start = F.conv(F.substring(digest, 1, UNIT_DIGITS), 16, 10).cast("bigint")
+    rows = vectors.select(
+        start.alias("__unit"),
+        *[F.col(name).cast("string").alias(f"__by_{i}") for i, name in enumerate(by)],
+        *[F.col(name).cast("bigint").alias(name) for name in counters],
     )
+    names, width = list(counters), len(by)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            units, place = np.unique(np.asarray(batch.column(0)), return_inverse=True)
+            groups = list(zip(*(batch.column(1 + i).to_pylist() for i in range(width)), strict=True))
+            groups = groups or [()] * batch.num_rows
+            kinds = {group: k for k, group in enumerate(dict.fromkeys(groups))}
+            kind = np.array([kinds[group] for group in groups], np.int64)
+            values = np.stack(
+                [np.asarray(batch.column(1 + width + i).fill_null(0)) for i in range(len(names))], 1
+            ).astype(float)
+            for first in range(0, units.size, UNITS_AT_ONCE):
+                weights = poisson_weights(units[first : first + UNITS_AT_ONCE], resamples)
+                near = (place >= first) & (place < first + UNITS_AT_ONCE)
+                for group, k in kinds.items():
+                    at = np.flatnonzero(near & (kind == k))
+                    if at.size:
+                        own = sums.setdefault(group, np.zeros((resamples, len(names)), np.int64))
+                        own += (weights[:, place[at] - first] @ values[at]).round().astype(np.int64)
+        for group, own in sums.items():
+            listed = [pa.array([value] * resamples, pa.string()) for value in group]
+            columns = [pa.array(np.ascontiguousarray(own[:, i])) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(
+                [*listed, pa.array(np.arange(resamples)), *columns],
+                [*[f"__by_{i}" for i in range(width)], "resample", *names],
+            )
+
+    schema = "".join(f"__by_{i} string, " for i in range(width)) + "resample bigint"
+    schema += "".join(f", `{name}` bigint" for name in names)
+    kinds_of = dict(vectors.dtypes)
+    keys = [F.col(f"__by_{i}").cast(kinds_of[name]).alias(name) for i, name in enumerate(by)]
+    partial = rows.repartition("__unit").mapInArrow(summed, schema)
+    return partial.groupBy(*keys, "resample").agg(*[F.sum(name).alias(name) for name in names])
 
 
 def bootstrap_interval(

@@ -227,26 +227,36 @@ def row_metrics(spark, sf):
     return m.row_metrics(stats.join(cases, "case_id"), "item", ("split",))
 
 
-RESAMPLES = 100
+_RATIOS = m.row_ratios("item")
 
 
-def _thresholds() -> list[float]:
-    total = probability = 2.718281828459045**-1
-    found = []
-    for count in range(1, 13):
-        found.append(total)
-        probability /= count
-        total += probability
-    return found
+def _draws_sql(units: str) -> str:
+    """How often (``w``) each of ``units`` (base_case) stands in each resample."""
+    draw = f"""((('0x'||substr(md5('{m.BOOTSTRAP_SEED}:'||base_case),1,{m.UNIT_DIGITS}))::BIGINT
+      + (resample*{m.RESAMPLE_STEP})%{m.PRIME})%{m.PRIME})"""
+    rounds, source = [], f"(SELECT base_case, resample, {draw} AS x FROM {units}, (SELECT unnest(range(0,{m.RESAMPLES})) AS resample))"
+    for constant in m.ROUNDS:
+        source = f"(SELECT base_case, resample, (x*(x+{constant}))%{m.PRIME} AS x FROM {source})"
+    weight = "+".join(f"(x>={t})::BIGINT" for t in m.poisson_thresholds())
+    return f"SELECT base_case, resample, {weight} AS w FROM {source}"
 
 
-_WEIGHT = "+".join(f"(draw>={x!r}::DOUBLE)::BIGINT" for x in _thresholds())
-_VECTORS = f"""vectors AS (SELECT base_case, {", ".join(f"sum({x})::BIGINT AS {x}" for x in _COUNTERS)}
+_WANTED = sorted({name for pair in _RATIOS.values() for name in pair})
+_EXTRA = "2*sum(matched)::BIGINT AS matched_twice, (sum(predicted_rows)+sum(true_rows))::BIGINT AS both_rows"
+_VECTORS = f"""vectors AS (SELECT base_case, {_SUMS}, {_EXTRA}
   FROM stats JOIN cases USING (case_id) GROUP BY base_case),
-drawn AS (SELECT v.*, r.resample, ('0x'||substr(md5('{m.BOOTSTRAP_SEED}:'||r.resample||':'||base_case),1,13))
-  ::BIGINT/{float(2**52)!r}::DOUBLE AS draw FROM vectors v, (SELECT unnest(range(0,{RESAMPLES})) AS resample) r),
-sums AS (SELECT resample, sum(matched*w)::BIGINT AS matched, sum(predicted_rows*w)::BIGINT AS predicted_rows,
-  sum(true_rows*w)::BIGINT AS true_rows FROM (SELECT *, {_WEIGHT} AS w FROM drawn) GROUP BY resample)"""
+draws AS ({_draws_sql("(SELECT DISTINCT base_case FROM vectors)")}),
+sums AS (SELECT resample, {", ".join(f"sum({x}*w)::BIGINT AS {x}" for x in _WANTED)}
+  FROM vectors JOIN draws USING (base_case) GROUP BY resample)"""
+
+
+def _intervals_sql(source: str, keys: str = "", chosen=None) -> str:
+    valued = " UNION ALL ".join(
+        f"SELECT {keys}'{label}' AS label, {rate_sql(top, bottom)} AS v FROM {source} WHERE {bottom}<>0"
+        for label, (top, bottom) in (chosen or _RATIOS).items()
+    )
+    return f"""SELECT {keys}label, quantile_disc(v,0.025) AS low, quantile_disc(v,0.975) AS high,
+      count(*) AS resamples FROM ({valued}) GROUP BY {keys}label"""
 
 
 def _vectors(spark, sf, by=()):
@@ -260,42 +270,20 @@ def _vectors(spark, sf, by=()):
     q.with_ctes(q.CASES, q.LINKS, STATS_SQL, _VECTORS, select="SELECT * FROM sums"),
 )
 def bootstrap_sums(spark, sf):
-    return m.bootstrap_sums(
-        _vectors(spark, sf), ("matched", "predicted_rows", "true_rows"), RESAMPLES
-    )
+    return m.bootstrap_sums(_vectors(spark, sf), _WANTED, m.RESAMPLES)
 
 
 @query(
     "a11_bootstrap_interval",
-    q.with_ctes(
-        q.CASES, q.LINKS, STATS_SQL, _VECTORS,
-        f"""valued AS (SELECT 'precision' AS label, {rate_sql("matched", "predicted_rows")} AS v FROM sums
-          UNION ALL SELECT 'recall', {rate_sql("matched", "true_rows")} FROM sums)""",
-        select="""SELECT label, quantile_disc(v,0.025) AS low, quantile_disc(v,0.975) AS high,
-          count(*) AS resamples FROM valued GROUP BY label""",
-    ),
-)
+    q.with_ctes(q.CASES, q.LINKS, STATS_SQL, _VECTORS, select=_intervals_sql("sums")),
+)
 def bootstrap_interval(spark, sf):
-    sums = m.bootstrap_sums(
-        _vectors(spark, sf), ("matched", "predicted_rows", "true_rows"), RESAMPLES
-    )
-    ratios = {
-        "precision": ("matched", "predicted_rows"),
-        "recall": ("matched", "true_rows"),
-    }
-    return m.bootstrap_interval(sums, ratios)
+    """Intervals of all row ratios."""
+    return m.bootstrap_interval(m.bootstrap_sums(_vectors(spark, sf), _WANTED, m.RESAMPLES), _RATIOS)
 
 
-@query("a12_column_intervals")
-def column_intervals(spark, sf):
-    """Per slice an interval for every item column, all columns from one draw."""
-    stats = link_stats(b.item_links(spark, sf, positions=False))
-    sliced = m.with_slices(stats.join(b.case_metadata(spark, sf), "case_id"))
-    vectors = m.invoice_vectors(sliced, "item", ("slice_id",))
-    ratios = {k: v for k, v in m.row_ratios("item").items() if k.startswith("item.")}
-    counters = sorted({name for pair in ratios.values() for name in pair})
-    sums = m.bootstrap_sums(vectors, counters, 40, by=("slice_id",))
-    return m.bootstrap_interval(sums, ratios, ("slice_id",))
+_COLUMN_RATIOS = {label: pair for label, pair in _RATIOS.items() if label.startswith("item.")}
+_COLUMN_COUNTERS = sorted({name for pair in _COLUMN_RATIOS.values() for name in pair})
 
 
 @query("a13_scopes", q.with_ctes(*BASE, SCOPED, select="SELECT scope, count(*) AS cases FROM scoped GROUP BY scope"))
@@ -391,6 +379,29 @@ SLICED = f"""sliced AS (SELECT *, unnest(list_filter([{_SLICE_SQL}], lambda x: x
 _ALL_SLICES = "[" + ",".join(f"'{name}'" for name in m.SLICE_IDS) + "]"
 
 
+@query(
+    "a12_column_intervals",
+    q.with_ctes(
+        q.CASES, q.LINKS, STATS_SQL,
+        f"""sliced AS (SELECT case_id, base_case, unnest(list_filter([{_SLICE_SQL}],
+          lambda x: x IS NOT NULL)) AS slice_id FROM cases)""",
+        f"""vectors AS (SELECT slice_id, base_case, {", ".join(f"sum({x})::BIGINT AS {x}" for x in _COLUMN_COUNTERS)}
+          FROM stats JOIN sliced USING (case_id) GROUP BY slice_id, base_case)""",
+        f"draws AS ({_draws_sql('(SELECT DISTINCT base_case FROM vectors)')})",
+        f"""sums AS (SELECT slice_id, resample, {", ".join(f"sum({x}*w)::BIGINT AS {x}" for x in _COLUMN_COUNTERS)}
+          FROM vectors JOIN draws USING (base_case) GROUP BY slice_id, resample)""",
+        select=_intervals_sql("sums", "slice_id, ", _COLUMN_RATIOS),
+    ),
+)
+def column_intervals(spark, sf):
+    """Per slice an interval for every item column, all columns from one draw."""
+    stats = link_stats(b.item_links(spark, sf, positions=False))
+    sliced = m.with_slices(stats.join(b.case_metadata(spark, sf), "case_id"))
+    vectors = m.invoice_vectors(sliced, "item", ("slice_id",))
+    sums = m.bootstrap_sums(vectors, _COLUMN_COUNTERS, m.RESAMPLES, by=("slice_id",))
+    return m.bootstrap_interval(sums, _COLUMN_RATIOS, ("slice_id",))
+
+
 @query(
     "a18_slice_rates",
     q.with_ctes(
