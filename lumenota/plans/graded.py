@@ -70,6 +70,25 @@ def counted_headers(
     return both.withColumn("crossover", g.party_crossover(F.col("t"), F.col("p")))
 
 
+@dataclass(frozen=True)
+class Invoices:
+    headers: DataFrame
+    items: DataFrame
+    installments: DataFrame
+
+
+@lru_cache(maxsize=4)
+def answered_invoices(spark: SparkSession, sf_dir: str) -> Invoices:
+    """The answered invoices as flat tables, written once a session like ``graded_run``."""
+    return Invoices(
+        stored(b.answered_headers(b.true_headers(spark, sf_dir)), "answered-headers"),
+        stored(b.answered_items(b.item_links(spark, sf_dir)), "answered-items"),
+        stored(
+            b.flat_installments(b.installment_links(spark, sf_dir), "p"), "answered-installments"
+        ),
+    )
+
+
 @lru_cache(maxsize=4)
 def graded_run(spark: SparkSession, sf_dir: str, tolerance: str = "0.00") -> GradedRun:
     """One graded run, written once a session into the shared folder and read by every query that

@@ -8,6 +8,7 @@ from lumenota.functions import identifiers as ids
 from lumenota.operators import rules as r
 from lumenota.plans import bindings as b
 from lumenota.plans import oracle_sql as q
+from lumenota.plans.graded import answered_invoices
 from lumenota.plans.registry import query
 
 C = F.col
@@ -147,6 +148,10 @@ boxed AS (SELECT h.case_id, coalesce(x.products_total,0) AS products_total,
   coalesce(x.ipi_amount,0) AS ipi_amount FROM cases h LEFT JOIN box x USING (case_id))"""
 
 
+# The boxes as an answer prints them, whatever its items add up to.
+PRINTED = "boxed AS (SELECT case_id, products_total, icms_base, icms_amount, ipi_amount FROM p_head)"
+
+
 def _total_rows(side: str) -> str:
     sums = f"""sums AS (SELECT case_id, count(*) AS n, sum({side}_total) AS total,
       sum({side}_icms_base) AS base, sum({side}_icms_amount) AS amount,
@@ -186,6 +191,24 @@ _DUP = _row(
     "abs(s-invoice_total)>least(n,100)",
 )
 INSTALLMENT_ROWS = f"installment_findings AS ({_DUE} UNION ALL {_DUP})"
+# The same over the true installments and the headers whose total follows from the true items.
+TRUE_INSTALLMENT_ROWS = (
+    INSTALLMENT_ROWS.replace("has_p AND p_due", "p_due")
+    .replace(" WHERE has_p GROUP BY", " GROUP BY")
+    .replace("p_due", "t_due")
+    .replace("p_amount", "t_amount")
+    .replace("p_head", "summed_head")
+)
+SUMMED_HEAD = """summed_head AS (SELECT t.case_id, t.issue_date,
+  b.products_total - t.discount + t.freight + b.ipi_amount AS invoice_total
+  FROM t_head t JOIN boxed b USING (case_id))"""
+EVERY_FINDING = " UNION ALL ".join(
+    f"SELECT {COLUMNS} FROM {part}_findings" for part in ("head", "item", "total", "installment")
+)
+ANSWER_SQL = (
+    q.CASES, q.HEADERS, q.LINKS, q.INSTALLMENTS, _header_rows("p_head"), _item_rows("p_items", "p"),
+    PRINTED, _total_rows("p"), INSTALLMENT_ROWS, f"every AS ({EVERY_FINDING})",
+)
 
 HEAD_SQL = (q.CASES, q.HEADERS, _header_rows("p_head"))
 ITEM_SQL = (q.LINKS, _item_rows("p_items", "p"))
@@ -303,10 +326,9 @@ _register_installment("v26_dup_sum", "DUP_SUM")
 
 def _with_gaps(spark, sf):
     """Answers with nulls: the issue date of one misreading, the unit of another."""
-    heads = answered(spark, sf).withColumn(
-        "issue_date", F.when(C("g") != 21, C("issue_date"))
-    )
-    items = answered_items(spark, sf).withColumn("unit", F.when(C("unit") != "ZZ", C("unit")))
+    answers = answered_invoices(spark, sf)
+    heads = answers.headers.withColumn("issue_date", F.when(C("g") != 21, C("issue_date")))
+    items = answers.items.withColumn("unit", F.when(C("unit") != "ZZ", C("unit")))
     return heads, items
 
 
@@ -326,35 +348,42 @@ def null_value(spark, sf):
     return r.flat_null_findings(heads, items)
 
 
+def _validated(spark, sf):
+    """All findings of all rules over the answers."""
+    answers = answered_invoices(spark, sf)
+    return r.validate_flat(answers.headers, answers.items, answers.installments, b.REFERENCE_DATE)
+
+
 @query(
     "v01_validate_gated",
     q.with_ctes(
-        q.CASES, q.HEADERS, q.LINKS, _header_rows("p_head"), _item_rows("p_items", "p"),
+        *ANSWER_SQL,
         """nulls AS (SELECT case_id FROM cases WHERE g=21 UNION ALL
           SELECT case_id FROM p_items WHERE p_unit='ZZ')""",
-        select="""SELECT rule_id, severity, count(*) AS findings, count(DISTINCT case_id) AS cases FROM (
-          SELECT case_id, rule_id, severity FROM head_findings UNION ALL
-          SELECT case_id, rule_id, severity FROM item_findings)
-          WHERE case_id NOT IN (SELECT case_id FROM nulls) GROUP BY ALL
+        select="""SELECT rule_id, severity, count(*) AS findings, count(DISTINCT case_id) AS cases
+          FROM every WHERE case_id NOT IN (SELECT case_id FROM nulls) GROUP BY ALL
           UNION ALL SELECT 'NULL_VALUE', 'error', count(*), count(DISTINCT case_id) FROM nulls""",
     ),
 )
 def validate_gated(spark, sf):
+    """All rules over answers with gaps: a case with a null has no other finding."""
     heads, items = _with_gaps(spark, sf)
-    found = r.validate_flat(heads, items, answered_installments(spark, sf), b.REFERENCE_DATE)
-    left_out = (
-        "ITEMS_EMPTY", "REGIME_CODE_MISMATCH", "DUE_DATE_ORDER", "DUP_SUM",
-        *(rule for rule, _, _ in r.SUM_RULES),
-    )
-    return (
-        found.filter(~C("rule_id").isin(*left_out))
-        .groupBy("rule_id", "severity")
-        .agg(
-            F.count(F.lit(1)).alias("findings"), F.count_distinct("case_id").alias("cases")
-        )
+    installments = answered_invoices(spark, sf).installments
+    found = r.validate_flat(heads, items, installments, b.REFERENCE_DATE)
+    return found.groupBy("rule_id", "severity").agg(
+        F.count(F.lit(1)).alias("findings"), F.count_distinct("case_id").alias("cases")
     )
 
 
+@query(
+    "v01_validate_all",
+    q.with_ctes(*ANSWER_SQL, select=f"SELECT {COLUMNS} FROM every"),
+)
+def validate_all(spark, sf):
+    """Every finding of every rule, in one table."""
+    return _validated(spark, sf).select(*COLUMNS.split(", "))
+
+
 @query(
     "v27_arith_overflow",
     q.with_ctes(
@@ -380,11 +409,8 @@ def arith_overflow(spark, sf):
 @query(
     "v28_severity_split",
     q.with_ctes(
-        q.CASES, q.HEADERS, q.LINKS, q.INSTALLMENTS, _header_rows("p_head"),
-        _item_rows("p_items", "p"), INSTALLMENT_ROWS,
-        """every AS (SELECT case_id, severity FROM head_findings UNION ALL SELECT case_id, severity
-          FROM item_findings UNION ALL SELECT case_id, severity FROM installment_findings),
-        tallied AS (SELECT case_id, count(*) FILTER (severity='error') AS errors,
+        *ANSWER_SQL,
+        """tallied AS (SELECT case_id, count(*) FILTER (severity='error') AS errors,
           count(*) FILTER (severity='warning') AS warnings FROM every GROUP BY case_id)""",
         select="""SELECT case_id, coalesce(errors,0) AS errors, coalesce(warnings,0) AS warnings,
           CASE WHEN coalesce(errors,0)>0 THEN 'failed' WHEN coalesce(warnings,0)>0 THEN 'warned'
@@ -392,13 +418,7 @@ def arith_overflow(spark, sf):
     ),
 )
 def severity_split(spark, sf):
-    heads, items = answered(spark, sf), answered_items(spark, sf)
-    found = (
-        heads.select("case_id", F.inline(r.header_findings(b.REFERENCE_DATE, formula=True)))
-        .unionByName(r.item_table_findings(items))
-        .unionByName(_installment_part(spark, sf))
-    )
-    return r.severity_split(heads, found)
+    return r.severity_split(b.case_metadata(spark, sf), _validated(spark, sf))
 
 
 def _redacted_sql() -> str:
@@ -412,39 +432,31 @@ def _redacted_sql() -> str:
         ', but the answer has '||actual||'. Re-read both on the document.'
         ELSE {_text(r.UNKNOWN_SENTENCE)} END
       ELSE CASE rule_id {fixed} ELSE {_text(r.UNKNOWN_SENTENCE)} END END AS detail
-      FROM (SELECT * FROM head_findings UNION ALL SELECT * FROM item_findings) WHERE severity='error'"""
+      FROM every WHERE severity='error'"""
 
 
-@query(
-    "v29_redact",
-    q.with_ctes(
-        q.CASES, q.HEADERS, q.LINKS, _header_rows("p_head"), _item_rows("p_items", "p"),
-        select=_redacted_sql(),
-    ),
-)
+@query("v29_redact", q.with_ctes(*ANSWER_SQL, select=_redacted_sql()))
 def redact(spark, sf):
-    found = answered(spark, sf).select(
-        "case_id", F.inline(r.header_findings(b.REFERENCE_DATE, formula=True))
-    )
-    return r.redact(found.unionByName(r.item_table_findings(answered_items(spark, sf))))
+    return r.redact(_validated(spark, sf))
 
 
 @query(
     "v30_truth_gate",
     q.with_ctes(
-        q.CASES, q.HEADERS, q.LINKS, SUMMED, _header_rows("t_head"), _item_rows("t_items", "t"),
-        _total_rows("t"),
-        select=f"""SELECT {COLUMNS} FROM (SELECT * FROM head_findings UNION ALL SELECT * FROM
-          item_findings UNION ALL SELECT * FROM total_findings) WHERE severity='error'""",
+        q.CASES, q.HEADERS, q.LINKS, q.INSTALLMENTS, SUMMED, _header_rows("t_head"),
+        _item_rows("t_items", "t"), _total_rows("t"), SUMMED_HEAD, TRUE_INSTALLMENT_ROWS,
+        f"every AS ({EVERY_FINDING})",
+        select=f"SELECT {COLUMNS} FROM every WHERE severity='error'",
     ),
 )
 def truth_gate(spark, sf):
-    """True invoices with true sums: only code-length mixes, empty orders and late dates remain."""
+    """All rules over true invoices with true sums: what is left are code-length mixes, empty orders,
+    late dates and the installments, which still follow the printed total."""
     links = b.item_links(spark, sf)
-    heads, items = summed_headers(spark, sf, links), b.true_items(links)
-    found = (
-        heads.select("case_id", F.inline(r.header_findings(b.REFERENCE_DATE, formula=True)))
-        .unionByName(r.item_table_findings(items))
-        .unionByName(r.total_findings(heads, items))
+    found = r.validate_flat(
+        summed_headers(spark, sf, links),
+        b.true_items(links),
+        b.flat_installments(b.installment_links(spark, sf), "t"),
+        b.REFERENCE_DATE,
     )
     return r.truth_gate(found)
