@@ -290,4 +290,7 @@ def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"),
         F.coalesce("n_spans", zero).alias("n_spans"),
         F.coalesce("kept_sha256", "__sha").alias("kept_sha256"),
+        # the finding itself: whether the document repeats anything, and how much of it
+        F.col("n_removed").isNotNull().alias("has_repeats"),
+        F.coalesce(F.col("n_removed") / F.col("n_bytes"), F.lit(0.0)).alias("removed_share"),
     )
