@@ -195,26 +195,65 @@ def split_twins(twins: DataFrame, splits: DataFrame, *, case: str = "case_id") -
 
 def pick_one_per_cell(
     cases: DataFrame, cells: Sequence[tuple[str, Column]], seed: str, *, case: str = "case_id"
-) -> list[tuple[str, object]]:
-    """One dev case per named predicate, the smallest seeded digest, no case twice.
+) -> DataFrame:
+    """``cell, case`` of one dev case per named predicate: the smallest seeded digest, in the order
+    of the cells, no case twice.
+
+    A cell can lose at most one of its best cases to each cell before it, so its first as many as
+    there are cells suffice: one pass keeps those, and the greedy choice runs over that bounded list
+    in one row. A cell without a free case is an error when the result is read.
+    """
+    names = [name for name, _ in cells]
+    digest = lambda name: F.sha2(
+        F.concat_ws(":", F.lit(seed), F.lit("ci"), F.lit(name), F.col(case).cast("string")), 256
+    )
+    offers = F.array_compact(
+        F.array(
+            *[
+                F.when(hit, F.struct(F.lit(at).alias("at"), digest(name).alias("digest")))
+                for at, (name, hit) in enumerate(cells)
+            ]
+        )
+    )
+    listed = cases.filter(F.col("split") == "dev").select(F.col(case).alias("case"), F.inline(offers))
+    best = Window.partitionBy("at").orderBy("digest", "case")
+    near = listed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= len(cells))
+    offered = near.agg(F.sort_array(F.collect_list(F.struct("at", "rank", "case"))).alias("offered"))
+    kind = dict(cases.dtypes)[case]
+
+    def choose(taken: Column, at: Column) -> Column:
+        free = F.filter(
+            "offered", lambda o: (o["at"] == at) & ~F.array_contains(taken["cases"], o["case"])
+        )
+        pick = F.get(free, F.lit(0))["case"]
+        missing = F.concat(
+            F.lit("no dev case matches cell "), F.get(F.array(*map(F.lit, names)), at)
+        )
+        checked = F.coalesce(pick, F.raise_error(missing).cast(kind))
+        return F.struct(F.concat(taken["cases"], F.array(checked)).alias("cases"))
+
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("cases"))
+    chosen = F.aggregate(F.sequence(F.lit(0), F.lit(len(cells) - 1)), start, choose)["cases"]
+    picked = offered.select(F.posexplode(chosen).alias("at", case))
+    return picked.select(F.get(F.array(*map(F.lit, names)), F.col("at")).alias("cell"), case)
+
+
+def nest_invoices(headers: DataFrame, items: DataFrame, installments: DataFrame) -> DataFrame:
+    """Headers with their ``items`` and ``installments`` as arrays in printed order (by ``row``).
 
-    One bounded aggregate per cell; only the picked ids reach the driver.
+    An invoice has at most 990 items by its layout; that bounds what meets in one row.
     """
-    chosen: list[tuple[str, object]] = []
-    pool = cases.filter(F.col("split") == "dev")
-    for name, predicate in cells:
-        taken = [value for _, value in chosen]
-        free = pool.filter(predicate)
-        if taken:
-            free = free.filter(~F.col(case).isin(*taken))
-        digest = F.sha2(
-            F.concat_ws(":", F.lit(seed), F.lit("ci"), F.lit(name), F.col(case).cast("string")), 256
+    nested = headers
+    for name, rows in (("items", items), ("installments", installments)):
+        fields = [c for c in rows.columns if c not in ("case_id", "row")]
+        listed = rows.groupBy("case_id").agg(
+            F.sort_array(F.collect_list(F.struct("row", F.struct(*fields).alias("r")))).alias("rows")
         )
-        pick = free.agg(F.min_by(case, F.struct(digest, F.col(case))).alias("pick")).first().pick
-        if pick is None:
-            raise ValueError(f"no dev case matches cell {name!r}")
-        chosen.append((name, pick))
-    return chosen
+        kept = F.transform("rows", lambda member: member["r"])
+        nested = nested.join(listed.select("case_id", kept.alias(name)), "case_id", "left")
+        empty = F.array().cast(dict(nested.dtypes)[name])
+        nested = nested.withColumn(name, F.coalesce(name, empty))
+    return nested
 
 
 def derive_tags(facts: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from lumenota.operators.decisions import label
 from lumenota.operators.rules import validate
 from lumenota.plans import bindings as b
 from lumenota.plans import oracle_sql as q
-from lumenota.plans.queries_rules import COLUMNS, HEAD_SQL
+from lumenota.plans import queries_rules as rules_sql
+from lumenota.plans.graded import answered_invoices
 from lumenota.plans.registry import query
 from lumenota.session import shared_folder
 from lumenota.sources import nfe, records, sinks, tables
@@ -391,16 +392,14 @@ def stratified_split(spark, sf):
     ),
 )
 def pick_one_per_cell(spark, sf):
-    """Two cells: the picks are the answer, so they come back as a small table."""
     splits = ds.stratified_split(_bases(spark, sf), "7").drop("cell")
     customer = b.table(spark, sf, "customer")
     pool = splits.join(customer, splits.case_id == customer.c_custkey).select(
         "case_id", "split", "c_mktsegment"
     )
-    picks = ds.pick_one_per_cell(
+    return ds.pick_one_per_cell(
         pool, (("BUILDING", C("c_mktsegment") == "BUILDING"), ("any", F.lit(True))), "7"
     )
-    return spark.createDataFrame(picks, "cell string, case_id bigint")
 
 
 @query(
@@ -619,36 +618,27 @@ def mutate_cases(spark, sf):
 # --- nested rows and streams ------------------------------------------------------------------
 
 
-def _nested(heads):
-    """Headers as nested invoices with one item and no installment (a stream has no join)."""
-    total = C("totals.products_total")
-    zero = F.lit("0.00").cast("decimal(18,2)")
-    item = F.struct(
-        F.lit("P1").alias("code"), F.lit("thing").alias("description"),
-        F.lit("12345678").alias("ncm"), F.lit("0102").alias("cst_csosn"),
-        F.lit("5102").alias("cfop"), F.lit("UN").alias("unit"),
-        F.lit("1.0000").cast("decimal(18,4)").alias("quantity"),
-        total.cast("decimal(18,4)").alias("unit_price"), total.alias("total"),
-        zero.alias("icms_base"), F.lit("0.00").cast("decimal(9,2)").alias("icms_rate"),
-        zero.alias("icms_amount"), F.lit("0.00").cast("decimal(9,2)").alias("ipi_rate"),
-        zero.alias("ipi_amount"),
-    )
-    parts = F.array().cast("array<struct<number:string,due_date:date,amount:decimal(18,2)>>")
-    return heads.withColumns({"items": F.array(item), "installments": parts})
+# Rows are counted inside their invoice here, so a row that was not answered leaves no gap.
+_PLACE = "SELECT * REPLACE (row_number() OVER (PARTITION BY case_id ORDER BY pos)-1 AS pos) FROM"
+NESTED_SQL = q.with_ctes(
+    q.CASES, q.HEADERS, q.LINKS, q.INSTALLMENTS, rules_sql._header_rows("p_head"),
+    f"n_items AS ({_PLACE} p_items)", f"n_inst AS ({_PLACE} inst WHERE has_p)",
+    rules_sql._item_rows("n_items", "p"), rules_sql.PRINTED, rules_sql._total_rows("p"),
+    rules_sql.INSTALLMENT_ROWS.replace("inst JOIN", "n_inst JOIN"),
+    select=rules_sql.EVERY_FINDING,
+)
 
 
-NESTED_SQL = q.with_ctes(
-    *HEAD_SQL,
-    select=f"""SELECT {COLUMNS} FROM head_findings UNION ALL SELECT case_id, 'totals.icms_amount',
-      'TOTAL_SUM_ICMS', '0.00', {q.fixed("icms_amount", 2)}, 'error' FROM p_head WHERE icms_amount>1""",
-)
+def _whole_invoices(spark, sf):
+    """The answered invoices with their items and installments, nested."""
+    answers = answered_invoices(spark, sf)
+    return ds.nest_invoices(answers.headers, answers.items, answers.installments)
 
 
 @query("v_validate_nested", NESTED_SQL)
 def validate_nested(spark, sf):
-    """The nested form of all rules: arrays only, no shuffle after the header binding."""
-    nested = _nested(b.answered_headers(b.true_headers(spark, sf)))
-    return validate(nested, b.REFERENCE_DATE).drop("ordinal")
+    """The nested form of all rules over whole invoices: arrays only, no shuffle after nesting."""
+    return validate(_whole_invoices(spark, sf), b.REFERENCE_DATE).drop("ordinal")
 
 
 def work_folder(spark):
@@ -674,9 +664,9 @@ def latest_stream(spark, sf):
 
 @query("w01_validate_stream", NESTED_SQL)
 def validate_stream(spark, sf):
-    """Answered headers written as nested invoices, then read back and checked as a stream."""
+    """Answered invoices written nested, then read back and checked by all rules as a stream."""
     folder = work_folder(spark)
-    nested = _nested(b.answered_headers(b.true_headers(spark, sf))).drop("g", "base_case")
+    nested = _whole_invoices(spark, sf).drop("g", "base_case")
     nested.write.parquet(f"{folder}/invoices")
     source = spark.readStream.schema(nested.schema).parquet(f"{folder}/invoices")
     found = streams.validate_stream(source, b.REFERENCE_DATE).drop("ordinal")
@@ -796,14 +786,21 @@ def schema_validity(spark, sf):
 @query(
     "n12_expected_block",
     q.with_ctes(
-        q.CASES, q.HEADERS,
-        select="""SELECT case_id, 1::BIGINT AS item_count, 0::BIGINT AS installment_count,
+        q.CASES, q.HEADERS, q.LINKS, q.INSTALLMENTS,
+        """counts AS (SELECT case_id, count(*) AS n FROM t_items GROUP BY case_id),
+        parts AS (SELECT case_id, count(*) AS m FROM inst GROUP BY case_id)""",
+        select="""SELECT case_id, coalesce(n,0) AS item_count, coalesce(m,0) AS installment_count,
           invoice_total/100 AS invoice_total, issuer_cnpj, tax_id AS recipient_tax_id,
-          tax_id_kind AS recipient_tax_id_kind FROM t_head""",
+          tax_id_kind AS recipient_tax_id_kind FROM t_head LEFT JOIN counts USING (case_id)
+          LEFT JOIN parts USING (case_id)""",
     ),
 )
 def expected_block(spark, sf):
-    nested = _nested(b.true_headers(spark, sf))
+    nested = ds.nest_invoices(
+        b.true_headers(spark, sf),
+        b.true_items(b.item_links(spark, sf)),
+        b.flat_installments(b.installment_links(spark, sf), "t"),
+    )
     return ds.expected_block(nested).select("case_id", "expected.*")
 
 
