@@ -11,7 +11,7 @@ from lumenota.functions.identifiers import valid_salt
 from lumenota.functions.invoice import canonical_sha256
 from lumenota.functions.numbers import dec
 from lumenota.operators.measure import TOKEN_FIELDS
-from lumenota.operators.ordering import latest_per_key, running_before
+from lumenota.operators.ordering import latest_per_key, one_per_key, running_before
 
 COST = "decimal(18,8)"
 # The rate column of each token counter, and the wire names of the cache modes.
@@ -41,10 +41,14 @@ class RunConfigMismatch(ValueError):
 
 
 def price_table(prices: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One rate row per model name, aliases included; a direct price wins over an alias."""
+    """One rate row per model name, aliases included; a direct price wins over an alias.
+
+    A model with two different prices, or an alias of two models, is refused.
+    """
     rates = list(dict.fromkeys(TOKEN_RATES.values()))
-    direct = prices.select("model", *rates)
-    aliased = aliases.join(direct, aliases.target == direct.model).select(
+    direct = one_per_key(prices.select("model", *rates), ["model"], "price")
+    named = one_per_key(aliases.select("alias", "target"), ["alias"], "model alias")
+    aliased = named.join(direct, named.target == direct.model).select(
         F.col("alias").alias("model"), *rates
     )
     extra = aliased.join(direct.select("model"), "model", "left_anti")
@@ -297,8 +301,8 @@ def run_report(charged: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame
 
 def check_overrides(requests: DataFrame, priced: DataFrame, prompts: DataFrame) -> DataFrame:
     """Plus ``bad_fields``: the override names that may not be used, never their values."""
-    models = priced.select(F.col("model"), F.lit(True).alias("__priced"))
-    known = prompts.select(F.col("prompt_version"), F.lit(True).alias("__known"))
+    models = priced.select("model").distinct().withColumn("__priced", F.lit(True))
+    known = prompts.select("prompt_version").distinct().withColumn("__known", F.lit(True))
     joined = requests.join(models, "model", "left").join(known, "prompt_version", "left")
     mode, salt = F.col("cache_mode"), F.col("replicate_salt")
     repairs = F.col("max_repairs")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _chunk_offsets(df: DataFrame, group: Sequence[str], chunk: str) -> DataFrame:
@@ -87,15 +88,56 @@ def running_before(
     )
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(field.dataType) for field in kind.fields)
+    if isinstance(kind, T.ArrayType):
+        return _orderable(kind.elementType)
+    return isinstance(kind, T.AtomicType | T.NullType) and not isinstance(kind, T.VariantType)
+
+
+def _extreme_per_key(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, last: bool
+) -> DataFrame:
+    kinds = {field.name: field.dataType for field in df.schema.fields}
+    others = [name for name in df.columns if name not in keys and name not in order]
+    ties = [name for name in others if _orderable(kinds[name])]
+    place = F.struct(*order, *ties)
+    if len(ties) == len(others):
+        best = F.max(place) if last else F.min(place)
+    else:
+        pick = F.max_by if last else F.min_by
+        best = pick(F.struct(*[name for name in df.columns if name not in keys]), place)
+    wanted = [name if name in keys else f"__row.{name}" for name in df.columns]
+    return df.groupBy(*keys).agg(best.alias("__row")).select(*wanted)
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of the greatest ``order`` per key, as a partial aggregate (no per-key sort)."""
-    rest = [name for name in df.columns if name not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    return df.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*df.columns)
+    """The row of the greatest ``order`` per key, as a partial aggregate (no per-key sort).
+
+    Rows of equal order are told apart by their other columns, so every run keeps the same one;
+    columns without an order (maps) cannot decide.
+    """
+    return _extreme_per_key(df, keys, order, last=True)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The row of the smallest ``order`` per key."""
+    """The row of the smallest ``order`` per key; ties as in ``latest_per_key``."""
+    return _extreme_per_key(df, keys, order, last=False)
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """``df`` as the side of a join that must not multiply rows: one row per key.
+
+    Equal rows are kept once. Two different rows of one key are refused, with the key, when the
+    result is read.
+    """
     rest = [name for name in df.columns if name not in keys]
-    best = F.min_by(F.struct(*rest), F.struct(*order)).alias("__row")
-    return df.groupBy(*keys).agg(best).select(*keys, "__row.*").select(*df.columns)
+    if not rest:
+        return df.distinct()
+    row = F.struct(*rest)
+    held = df.groupBy(*keys).agg(F.min(row).alias("__row"), F.max(row).alias("__other"))
+    shown = F.concat_ws(", ", *[F.col(key).cast("string") for key in keys])
+    refused = F.raise_error(F.concat(F.lit(f"{what}: different rows for "), shown))
+    kept = F.when(~F.col("__row").eqNullSafe(F.col("__other")), refused).otherwise(F.col("__row"))
+    return held.select(*keys, kept.alias("__row")).select(*keys, "__row.*").select(*df.columns)

@@ -1,11 +1,19 @@
 import random
 from decimal import Decimal as D
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenota.operators import datasets as ds
-from lumenota.operators.ledger import admit, check_same_overrides, replay
-from lumenota.operators.ordering import latest_per_key, row_index, running_before
+from lumenota.operators.ledger import (
+    TOKEN_RATES,
+    admit,
+    check_overrides,
+    check_same_overrides,
+    price_table,
+    replay,
+)
+from lumenota.operators.ordering import latest_per_key, row_index, running_before, top_per_key
 
 
 def hot(spark, seed=1):
@@ -115,3 +123,34 @@ def test_hot_cell_split(spark):
     assert {(r.cell, r.split): r["count"] for r in counts} == {
         (1, "dev"): 200, (1, "test"): 400, (2, "dev"): 100, (2, "test"): 200,
     }
+
+
+def test_equal_order_values_keep_the_same_row(spark):
+    rows = [(k, 5, f"{k}{v}", {"m": str(v)} if v % 2 else None) for k in "ab" for v in range(20)]
+    schema = "k string, at int, answer string, extra map<string,string>"
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(rows, schema).repartition(parts)
+        for columns in (["k", "at", "answer"], ["k", "at", "answer", "extra"]):
+            found = latest_per_key(df.select(*columns), ["k"], ["at"]).collect()
+            assert sorted(r.answer for r in found) == ["a9", "b9"]
+            assert found[0].asDict().keys() == set(columns)
+            first = top_per_key(df.select(*columns), ["k"], ["at"]).collect()
+            assert sorted(r.answer for r in first) == ["a0", "b0"]
+
+
+def test_doubled_prices_and_prompts_do_not_multiply_rows(spark):
+    rates = list(dict.fromkeys(TOKEN_RATES.values()))
+    schema = "model string, " + ", ".join(f"{name} decimal(18,8)" for name in rates)
+    price = lambda model, x: (model, *[D(x)] * len(rates))
+    aliases = spark.createDataFrame([("x", "m"), ("x", "m")], "alias string, target string")
+    doubled = spark.createDataFrame([price("m", 1), price("m", 1), price("n", 2)], schema)
+    assert sorted(r.model for r in price_table(doubled, aliases).collect()) == ["m", "n", "x"]
+    unlike = spark.createDataFrame([price("m", 1), price("m", 3)], schema)
+    with pytest.raises(Exception, match="price: different rows for m"):
+        price_table(unlike, aliases).collect()
+    requests = spark.createDataFrame(
+        [("m", "p1", None, None, 0)],
+        "model string, prompt_version string, cache_mode string, replicate_salt string, max_repairs int",
+    )
+    prompts = spark.createDataFrame([("p1", 1), ("p1", 2)], "prompt_version string, n int")
+    assert [r.bad_fields for r in check_overrides(requests, doubled, prompts).collect()] == [[]]
