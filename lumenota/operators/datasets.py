@@ -36,8 +36,6 @@ ST_MARGINS = {"10": "40.00", "30": "40.00", "70": "35.00"}
 ST_RATES = {"10": "18.00", "30": "18.00", "70": "18.00"}
 DEFERRAL_RATES = {"51": "33.33"}
 ST_CODES = ("10", "30", "51", "70")
-REGIMES = ("normal", "simples")
-LENGTHS = ("short", "medium", "many_items", "multi_page")
 
 
 # --- quotas and splits ------------------------------------------------------------------------
@@ -113,53 +111,128 @@ def expand_twins(
     return twins.select(number.alias("number"), "base_number", "rendering", "severity")
 
 
+# Fixed values of a quota plan, as relations. A *mark* is what a slot carries: a trait, ``curve`` for
+# a base with twins, ``pinned`` for a fixed item count and ``pinned_one`` where that count is one.
+ATTRIBUTE_VALUES = {
+    "regime": ("normal", "simples"),
+    "length": ("short", "medium", "many_items", "multi_page"),
+    "pages": ("single", "multi"),
+}
+SPLIT_NAMES = ("dev", "test")
+MARK_CELLS = (  # mark, attribute, the values of it that the mark may stand in
+    ("st_deferral", "regime", ("normal",)),
+    ("mei", "cell", ("simples-short", "simples-medium")),
+    ("long_text", "length", ("short", "multi_page")),
+    ("curve", "pages", ("single",)),
+)
+MARKS_APART = (  # two marks that no slot has together, and the only length that holds for (or none)
+    ("mixed_tax_codes", "pinned_one", None),
+    ("confusable", "pinned_one", None),
+    ("confusable", "long_text", None),
+    ("confusable", "curve", None),
+    ("mei", "curve", None),
+    ("long_text", "curve", None),
+    ("long_text", "pinned", "multi_page"),
+    ("alphanumeric_recipient", "cpf_recipient", None),
+)
+
+
+def slot_marks(cells: DataFrame) -> DataFrame:
+    """``cell, count`` and the attributes of a cell with every ``slot, mark`` of it, and the split
+    that a curve slot names."""
+    own = ["cell", "count", *ATTRIBUTE_VALUES]
+    parts = (
+        cells.select(*own, F.explode("traits").alias("mark", "slots")).select(
+            *own, "mark", F.explode("slots").alias("slot"), F.lit(None).cast("string").alias("split")
+        ),
+        cells.select(*own, F.lit("curve").alias("mark"), F.explode("curve").alias("slot", "split")),
+        cells.select(*own, F.explode("pinned").alias("slot", "items")).select(
+            *own,
+            F.explode(
+                F.array_compact(
+                    F.array(F.lit("pinned"), F.when(F.col("items") == 1, F.lit("pinned_one")))
+                )
+            ).alias("mark"),
+            "slot",
+            F.lit(None).cast("string").alias("split"),
+        ),
+    )
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def check_quota(cells: DataFrame) -> DataFrame:
-    """``cell, problem``: every inconsistency of a quota plan."""
-    none = F.array().cast("array<int>")
-    at = lambda trait: F.coalesce(F.try_element_at("traits", F.lit(trait)), none)
-    every = F.flatten(F.map_values("traits"))
-    curve_slots, pinned_slots = F.map_keys("curve"), F.map_keys("pinned")
-    pinned_one = F.map_keys(F.map_filter("pinned", lambda _, items: items == 1))
-    outside = lambda slots: F.exists(slots, lambda s: (s < 0) | (s >= F.col("count")))
-    shared = lambda a, b: F.size(F.array_intersect(a, b)) > 0
-    given = lambda trait: F.size(at(trait)) > 0
-    dev_named = F.size(F.filter(F.map_values("curve"), lambda split: split == "dev"))
-    dev_places = F.greatest(F.lit(1), F.call_function("div", F.col("count") + 1, F.lit(3)))
-    long_band = F.col("long_low").isNotNull()
-    rules = (
-        ("unknown regime", ~F.col("regime").isin(*REGIMES)),
-        ("unknown length", ~F.col("length").isin(*LENGTHS)),
-        ("unknown pages", ~F.col("pages").isin("single", "multi")),
-        ("count below 2", F.col("count") < 2),
-        ("bad item band", (F.col("item_low") < 1) | (F.col("item_low") > F.col("item_high"))),
-        ("trait slot outside", outside(every)),
-        ("st_deferral outside normal", given("st_deferral") & (F.col("regime") != "normal")),
-        ("mei outside simples short and medium",
-         given("mei") & ~F.col("cell").isin("simples-short", "simples-medium")),
-        ("mixed_tax_codes on a one-item slot", shared(at("mixed_tax_codes"), pinned_one)),
-        ("long_text outside short and multi_page",
-         given("long_text") & ~F.col("length").isin("short", "multi_page")),
-        ("long_text on a pinned slot",
-         (F.col("length") == "multi_page") & shared(at("long_text"), pinned_slots)),
-        ("confusable shares a long_text slot", shared(at("confusable"), at("long_text"))),
-        ("confusable on a one-item slot", shared(at("confusable"), pinned_one)),
-        ("confusable on a curve slot", shared(at("confusable"), curve_slots)),
-        ("bad long_text band",
-         long_band & ((F.col("long_low") < 1) | (F.col("long_low") > F.col("long_high")))),
-        ("cpf_recipient shares an alphanumeric slot",
-         shared(at("cpf_recipient"), at("alphanumeric_recipient"))),
-        ("pinned slot outside", outside(pinned_slots)),
-        ("curve slot outside", outside(curve_slots)),
-        ("unknown curve split",
-         F.exists(F.map_values("curve"), lambda split: ~split.isin("dev", "test"))),
-        ("curve slot in a multi-page cell",
-         (F.size("curve") > 0) & (F.col("pages") != "single")),
-        ("curve slot with an excluded trait",
-         shared(curve_slots, F.concat(at("mei"), at("long_text")))),
-        ("too many dev curve slots", dev_named > dev_places),
-    )
-    found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
-    return cells.select("cell", F.explode(found).alias("problem"))
+    """``cell, problem``: where a quota plan breaks a relation it is defined by.
+
+    An attribute has a value of its own list; a mark stands inside its cell, and only in cells it may
+    stand in; two marks that stay apart share no slot; a band ascends from 1; a cell has a base for
+    either split, and names no more dev slots than a third of it gives.
+    """
+    marks = slot_marks(cells)
+    spark = cells.sparkSession
+
+    def say(found: DataFrame, problem: Column) -> DataFrame:
+        return found.select("cell", problem.alias("problem"))
+
+    attributes = cells.select(
+        "cell",
+        F.inline(
+            F.array(
+                *[F.struct(F.lit(n).alias("attribute"), F.col(n).alias("value")) for n in ATTRIBUTE_VALUES]
+            )
+        ),
+    )
+    listed = [(name, value) for name, values in ATTRIBUTE_VALUES.items() for value in values]
+    known = spark.createDataFrame(listed, "attribute string, value string")
+    strange = attributes.join(F.broadcast(known), ["attribute", "value"], "left_anti")
+
+    place = F.create_map(
+        *[x for n in ("cell", *ATTRIBUTE_VALUES) for x in (F.lit(n), F.col(n))]
+    )
+    homes = spark.createDataFrame(
+        [(m, a, list(v)) for m, a, v in MARK_CELLS], "mark string, attribute string, homes array<string>"
+    )
+    abroad = marks.withColumn("place", place).join(F.broadcast(homes), "mark")
+    abroad = abroad.filter(~F.array_contains("homes", F.try_element_at("place", F.col("attribute"))))
+
+    outside = marks.filter((F.col("slot") < 0) | (F.col("slot") >= F.col("count")))
+    apart = spark.createDataFrame(list(MARKS_APART), "mark string, other string, only string")
+    partners = marks.select("cell", "slot", F.col("mark").alias("other"))
+    together = (
+        marks.join(F.broadcast(apart), "mark")
+        .filter(F.col("only").isNull() | (F.col("only") == F.col("length")))
+        .join(partners, ["cell", "slot", "other"])
+    )
+
+    curve = marks.filter(F.col("mark") == "curve")
+    unnamed = curve.filter(~F.col("split").isin(*SPLIT_NAMES))
+    dev = curve.filter(F.col("split") == "dev").groupBy("cell", "count").agg(F.count(F.lit(1)).alias("n"))
+    third = F.greatest(F.lit(1), F.call_function("div", F.col("count") + 1, F.lit(3)))
+    bands = cells.select(
+        "cell",
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(n).alias("band"), F.col(f"{n}_low").alias("low"), F.col(f"{n}_high").alias("high"))
+                    for n in ("item", "long")
+                ]
+            )
+        ),
+    )
+    broken = bands.filter((F.col("low") < 1) | (F.col("low") > F.col("high")))
+    problems = (
+        say(strange, F.concat(F.lit("no such "), "attribute")),
+        say(outside, F.concat("mark", F.lit(" on a slot the cell lacks"))),
+        say(abroad, F.concat("mark", F.lit(" not for this "), "attribute")),
+        say(together, F.concat("mark", F.lit(" together with "), "other")),
+        say(unnamed, F.lit("curve without a split")),
+        say(broken, F.concat("band", F.lit(" band does not ascend from 1"))),
+        say(cells.filter(F.col("count") < len(SPLIT_NAMES)), F.lit("fewer bases than splits")),
+        say(dev.filter(F.col("n") > third), F.lit("more dev curve slots than places")),
+    )
+    found = problems[0]
+    for more in problems[1:]:
+        found = found.unionByName(more)
+    return found.distinct()
 
 
 def stratified_split(bases: DataFrame, seed: str, *, case: str = "case_id") -> DataFrame:

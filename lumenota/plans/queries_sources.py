@@ -340,14 +340,19 @@ def expand_twins(spark, sf):
     "n03_check_quota",
     q.with_ctes(
         CELLS,
-        select="""SELECT 'nation-'||k AS cell, problem FROM cells, (VALUES ('bad item band'),
-          ('mixed_tax_codes on a one-item slot'),
-          ('long_text outside short and multi_page'),
-          ('confusable shares a long_text slot'),
-          ('curve slot with an excluded trait')) AS p(problem)
-          WHERE (problem='bad item band' AND k=7) OR problem LIKE 'mixed%'
-          OR (problem LIKE 'long_text%' AND k>=12) OR (problem LIKE 'confusable%' AND k%6 IN (3,5))
-          OR (problem LIKE 'curve%' AND k%6=0)""",
+        select="""SELECT 'nation-'||k AS cell, problem FROM cells, (VALUES
+          ('item band does not ascend from 1', k=7),
+          ('mixed_tax_codes together with pinned_one', true),
+          ('long_text not for this length', k>=12),
+          ('confusable together with long_text', k%6 IN (3,5)),
+          ('long_text together with curve', k%6=0),
+          ('curve on a slot the cell lacks', n<=6),
+          ('confusable on a slot the cell lacks', n<=5),
+          ('long_text on a slot the cell lacks', n<=greatest(4,k%6)),
+          ('mixed_tax_codes on a slot the cell lacks', n<=2),
+          ('pinned on a slot the cell lacks', n<=2),
+          ('pinned_one on a slot the cell lacks', n<=2),
+          ('fewer bases than splits', n<2)) AS p(problem, holds) WHERE holds""",
     ),
 )
 def check_quota(spark, sf):

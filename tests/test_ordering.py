@@ -109,8 +109,8 @@ def test_quota_plan(spark):
     assert [t.number for t in twins] == list(range(6, 22)) and twins[8].base_number == 5
     problems = {(r.cell, r.problem) for r in ds.check_quota(cells).collect()}
     assert problems == {
-        ("simples-short", "trait slot outside"), ("simples-short", "unknown curve split"),
-        ("simples-short", "curve slot in a multi-page cell"),
+        ("simples-short", "mei on a slot the cell lacks"), ("simples-short", "curve without a split"),
+        ("simples-short", "curve not for this pages"),
     }
 
 
