@@ -17,13 +17,15 @@ from lumenota.session import stored
 @dataclass(frozen=True)
 class GradedRun:
     """A graded run. ``linked`` has all graded item rows, paired, missing (null ``p``) and extra
-    (null ``t``), with a ``right_<column>`` flag each; ``wrong`` is the table of wrong values."""
+    (null ``t``), with a ``right_<column>`` flag each, ``parts`` the same of installments; ``wrong`` is the table
+    of wrong values."""
 
     cases: DataFrame
     header: DataFrame
     items: DataFrame
     installments: DataFrame
     linked: DataFrame
+    parts: DataFrame
     wrong: DataFrame
     truth: DataFrame
 
@@ -117,6 +119,7 @@ def graded_run(spark: SparkSession, sf_dir: str, tolerance: str = "0.00") -> Gra
         items=item_links,
         installments=installment_links,
         linked=linked,
+        parts=parts,
         wrong=stored(wrong, "graded-wrong"),
         truth=linked.filter(F.col("t").isNotNull()).select("case_id", "row", "t.*"),
     )
