@@ -53,12 +53,10 @@ _ITEM_TABLES = (q.CASES, q.LINKS)
     ),
 )
 def grade_rows(spark, sf):
-    """Given pairs joined to both item tables, then every column of every pair graded."""
-    run = graded_run(spark, sf)
-    usable = run.cases.filter(C("status").isin("success", "validation_failed")).select("case_id")
-    pairs = b.given_pairs(run.items).join(usable, "case_id", "left_semi")
-    paired = g.pair_rows(b.true_items(run.items), b.answered_items(run.items), pairs, "item")
-    return wrong_out(g.pair_wrong(g.grade_pairs(paired, "item"), "item"))
+    """Every column of every matched pair graded; a linked row carries both sides already."""
+    both = C("t").isNotNull() & C("p").isNotNull()
+    paired = graded_run(spark, sf).linked.filter(both).withColumn("predicted_row", C("row"))
+    return wrong_out(g.pair_wrong(paired, "item"))
 
 
 @query(
