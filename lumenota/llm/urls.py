@@ -1,13 +1,16 @@
 """URL filters: block and allow rules first, a gradient-boosted model of lexical features else.
 
 The model is trained from labelled URLs. Its features are length, path depth, digit ratio, entropy
-of the characters, number of query parameters and how often the host's suffix was blocked among the
-labelled URLs. All features are column expressions; the model is Spark's own gradient-boosted trees.
+of the characters, number of query parameters and how often the host's suffix was blocked among all
+labelled URLs (for the fitted ones: among those of other folds). All features are column expressions;
+the model is Spark's own gradient-boosted trees.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and, as any url without
 a fitting rule, gets the model's verdict; very long urls are read whole; of two rules that fit, the
 longer wins; repeated rows are judged alike; without labelled urls of both kinds every verdict is
-the one kind there is, or allow; an empty table gives an empty result. Extra columns are not read.
+the one kind there is, or allow; a url labelled both ways counts as most of its rows say; an empty
+table gives an empty result. Extra columns of any name pass through, but for ``model_blocks``,
+``verdict`` and ``rule``, which are results.
 """
 
 from __future__ import annotations
@@ -20,11 +23,18 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenota.llm.common import table
+from lumenota.llm.common import boxed, table
 from lumenota.session import checkpointed
 
-#: Labelled urls the model is fitted on at most: those first in the order of a hash of the url.
+#: Distinct labelled urls the trees are fitted on at most, half of them of each label; statistics of
+#: suffixes count every labelled row.
 FIT_ROWS = 20_000
+#: Parts of the labelled urls; a fitted url's suffix rate is counted over the other parts.
+FOLDS = 5
+#: Labelled rows by which a suffix's rate is drawn to the rate of all.
+PRIOR = 20.0
+#: A suffix of at least one judged row in this many is joined by broadcast; there are no more.
+HOT_SHARE = 10_000
 TREES = 8
 DEPTH = 3
 SEED = 7
@@ -69,6 +79,11 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return best
 
 
+def suffix_of(host: Column) -> Column:
+    """The last two labels of a host, the last one first."""
+    return F.concat_ws(".", F.slice(F.reverse(F.split(host, r"\.")), 1, 2))
+
+
 def with_features(urls: DataFrame) -> DataFrame:
     """``urls`` (url, host, path and any other columns) plus the lexical features and ``suffix``."""
     url = F.coalesce("url", F.lit(""))
@@ -84,56 +99,115 @@ def with_features(urls: DataFrame) -> DataFrame:
             "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(n, F.lit(1)),
             "entropy": F.aggregate(symbols, F.lit(0.0), lambda total, c: total + bits(c)),
             "n_params": F.regexp_count(query, F.lit("[^&]+")).cast("double"),
-            "suffix": F.concat_ws(".", F.slice(F.reverse(F.split("host", r"\.")), 1, 2)),
+            "suffix": suffix_of(F.col("host")),
         }
     )
 
 
 class UrlModel(NamedTuple):
-    """A fitted filter: blocked rates of suffixes (at most FIT_ROWS rows), base rate and trees."""
+    """A fitted filter: the blocked rate of every labelled suffix, the base rate and the trees."""
 
     suffixes: DataFrame
     base_rate: float
     trees: GBTClassificationModel | None
 
 
+def _drawn(blocked: Column, n: Column, base_rate: float) -> Column:
+    """Blocked share of n labelled rows, drawn to the base rate by PRIOR rows."""
+    return (blocked + PRIOR * base_rate) / (n + PRIOR)
+
+
+def fit_sample(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Up to ``fit_rows`` / 2 distinct urls of each label, in the order of a hash of the url, with
+    ``weight``: how many distinct urls of its label each stands for. A url labelled both ways has
+    the label of most of its rows, blocked where they are equal."""
+    voted = labelled.groupBy("url", "host", "path", "suffix", "fold").agg(
+        F.when(F.avg(F.col("blocked").cast("double")) >= 0.5, 1.0).otherwise(0.0).alias("label")
+    )
+    voted = checkpointed(voted)
+    parts = [
+        voted.where(F.col("label") == kind).orderBy(F.xxhash64("url"), "url").limit(fit_rows // 2)
+        for kind in (0.0, 1.0)
+    ]
+    sample = parts[0].unionByName(parts[1])
+    whole = voted.groupBy("label").agg(F.count(F.lit(1)).alias("__all"))
+    taken = sample.groupBy("label").agg(F.count(F.lit(1)).alias("__taken"))
+    weights = whole.join(taken, "label").select("label", (F.col("__all") / F.col("__taken")).alias("weight"))
+    return sample.join(F.broadcast(weights), "label")
+
+
 def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
-    """Fit on ``labelled`` (url, host, path, blocked); of larger tables a fixed sample is taken."""
-    sample = (
-        with_features(labelled.select("url", "host", "path", "blocked"))
-        .withColumn("__order", F.xxhash64("url"))
-        .orderBy("__order", "url")
-        .limit(fit_rows)
-        .select("suffix", "blocked", *[c for c in FEATURES if c != "suffix_rate"])
+    """Fit on ``labelled`` (url, host, path, blocked). Suffix rates count every labelled row; the
+    trees are fitted on ``fit_sample``, whose rows see the rates of the other folds only, so that
+    no label is among its own features."""
+    rows = labelled.select(
+        "url", "host", "path", "blocked", suffix_of(F.col("host")).alias("suffix"),
+        F.pmod(F.xxhash64(F.lit(SEED), "url"), F.lit(FOLDS)).alias("fold"),
+    )
+    folds = checkpointed(
+        rows.groupBy("suffix", "fold").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.col("blocked").cast("double")).alias("n_blocked")
+        )
     )
-    sample = checkpointed(sample)
-    blocked = F.col("blocked").cast("double")
-    n, rate = sample.agg(F.count(F.lit(1)), F.avg(blocked)).first()
-    suffixes = sample.groupBy("suffix").agg(
-        ((F.sum(blocked) + (rate or 0.0)) / (F.count(F.lit(1)) + 1.0)).alias("suffix_rate")
+    n, n_blocked = folds.agg(F.sum("n"), F.sum("n_blocked")).first()
+    base_rate = n_blocked / n if n else 0.0
+    suffixes = folds.groupBy("suffix").agg(
+        _drawn(F.sum("n_blocked"), F.sum("n"), base_rate).alias("suffix_rate")
     )
     suffixes = checkpointed(suffixes)
-    if not n or rate in (0.0, 1.0):
-        return UrlModel(suffixes, rate or 0.0, None)
-    rows = sample.join(F.broadcast(suffixes), "suffix").withColumn("label", blocked)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    if base_rate in (0.0, 1.0):
+        return UrlModel(suffixes, base_rate, None)
+    sample = checkpointed(fit_sample(rows, fit_rows))
+    if sample.select("label").distinct().count() < 2:
+        return UrlModel(suffixes, float(sample.first()["label"]), None)
+    # the sample is bounded by fit_rows
+    own = F.broadcast(sample.select("url", "suffix", F.col("fold").alias("own_fold")))
+    others = folds.join(own, "suffix").where(F.col("fold") != F.col("own_fold"))
+    others = others.groupBy(F.col("url").alias("__url")).agg(
+        F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked")
+    )
+    blocked, n = F.coalesce("n_blocked", F.lit(0.0)), F.coalesce("n", F.lit(0))
+    rated = with_features(sample).join(others, F.col("url").eqNullSafe(F.col("__url")), "left")
+    rated = rated.withColumn("suffix_rate", _drawn(blocked, n, base_rate))
+    rated = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated)
     trees = GBTClassifier(
-        maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=SEED, cacheNodeIds=False
-    ).fit(rows.select("features", "label").coalesce(4))
-    return UrlModel(suffixes, rate, trees)
+        maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=SEED, cacheNodeIds=False,
+        weightCol="weight",
+    ).fit(rated.select("features", "label", "weight").coalesce(4))
+    return UrlModel(suffixes, base_rate, trees)
+
+
+def _rated(rows: DataFrame, model: UrlModel) -> DataFrame:
+    """``rows`` (with ``url`` and ``suffix``) plus ``suffix_rate``.
+
+    Suffixes of at least one row in HOT_SHARE are at most that many and are broadcast, with or
+    without a rate; the rows of all others meet their rates by a shuffle, without a hot key.
+    """
+    counts = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    hot = counts.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_SHARE >= F.col("total"))
+    base = F.lit(model.base_rate)
+    hot = hot.join(model.suffixes, "suffix", "left").select(
+        "suffix", F.coalesce("suffix_rate", base).alias("hot_rate")
+    )
+    rows = rows.join(F.broadcast(hot), "suffix", "left")
+    # no host holds a slash, so a key that begins with one meets nothing
+    spread = F.concat(F.lit("/"), F.xxhash64("url").cast("string"))
+    rows = rows.withColumn("__key", F.when(F.col("hot_rate").isNull(), F.col("suffix")).otherwise(spread))
+    rates = model.suffixes.withColumnRenamed("suffix", "__key")
+    rows = rows.join(rates, "__key", "left")
+    return rows.withColumn("suffix_rate", F.coalesce("hot_rate", "suffix_rate", base))
 
 
 def predict(urls: DataFrame, model: UrlModel) -> DataFrame:
-    """``urls`` (url, host, path and others) plus ``model_blocks``; suffixes are broadcast."""
-    rows = with_features(urls).join(F.broadcast(model.suffixes), "suffix", "left")
-    rows = rows.fillna({"suffix_rate": model.base_rate})
+    """``urls`` (url, host, path and any other columns) plus ``model_blocks``."""
     if model.trees is None:
-        blocks = F.lit(model.base_rate == 1.0)
-    else:
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-        rows = model.trees.transform(rows)
-        blocks = F.col("prediction") == 1.0
-    return rows.withColumn("model_blocks", blocks).select(*urls.columns, "model_blocks")
+        return urls.withColumn("model_blocks", F.lit(model.base_rate == 1.0))
+    rows = boxed(urls).select("__row", "__row.url", "__row.host", "__row.path")
+    rows = _rated(with_features(rows), model)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    rows = model.trees.transform(rows)
+    return rows.select("__row.*", (F.col("prediction") == 1.0).alias("model_blocks"))
 
 
 def judge(urls: DataFrame, model: UrlModel) -> DataFrame:

@@ -117,3 +117,75 @@ def test_features_of_a_url(spark):
     r = urls.with_features(df).first()
     assert (r.depth, r.n_params, r.suffix, r.n_chars) == (3, 3, "org.example", len(r.url))
     assert r.digit_ratio == 1 / len(r.url) and 3 < r.entropy < 5
+
+
+LABELLED = "url string, host string, path string, blocked boolean"
+
+
+def test_urls_of_one_suffix_get_different_verdicts(spark):
+    """Every suffix is blocked as often as not, so only the other features can tell."""
+    rng = random.Random(2)
+
+    def one(i):
+        bad = i % 2 == 0
+        digits = "".join(rng.choice("0123456789") for _ in range(14)) if bad else "page"
+        url = f"https://h{rng.choice('abc')}.example.com/{'x/' * rng.randint(1, 3)}{digits}"
+        return url, *plain_parts(url), bad
+
+    rows = {r[0]: r for r in map(one, range(600))}
+    df = spark.createDataFrame(list(rows.values()), LABELLED)
+    plain = [f"https://new.example.com/{'y/' * k}page" for k in (1, 2)]
+    odd = [f"https://new.example.com/{'y/' * k}98127364519283" for k in (1, 2)]
+    fresh = spark.createDataFrame([(u, *plain_parts(u), "own", 0.5) for u in plain + odd],
+                                  "url string, host string, path string, suffix string, entropy double")
+    got = urls.predict(fresh, urls.fit(df))
+    assert got.columns == [*fresh.columns, "model_blocks"]  # a caller's columns keep their values
+    assert {(r.suffix, r.entropy) for r in got.collect()} == {("own", 0.5)}
+    assert {r.url for r in got.where("model_blocks").collect()} == set(odd)
+
+
+def test_suffix_rates_count_every_labelled_row(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(500):
+        url = f"https://s{i % 40}.d{i % 40}.org/{i}"
+        rows += [(url, *plain_parts(url), rng.random() < (i % 40) / 40)] * rng.randint(1, 3)
+    hot = "https://s1.d1.org/hot"
+    rows += [(hot, *plain_parts(hot), True)] * 300
+    model = urls.fit(spark.createDataFrame(rows, LABELLED).repartition(5), fit_rows=40)
+    base = sum(r[3] for r in rows) / len(rows)
+    want = {}
+    for k in range(40):
+        own = [r[3] for r in rows if r[1] == f"s{k}.d{k}.org"]
+        want[f"org.d{k}"] = (sum(own) + urls.PRIOR * base) / (len(own) + urls.PRIOR)
+    got = {r.suffix: r.suffix_rate for r in model.suffixes.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert abs(model.base_rate - base) < 1e-12 and model.trees is not None
+
+
+def test_the_fit_sample_holds_distinct_urls_of_both_labels(spark):
+    rows = [(f"u://a.org/{i}", "a.org", f"/{i}", i % 10 == 0) for i in range(200)]
+    rows += [rows[1]] * 400 + [(None, "", "", True), ("u://both", "both", "", True), ("u://both", "both", "", False)]
+    df = spark.createDataFrame(rows, LABELLED).selectExpr("*", "host AS suffix", "0L AS fold")
+    sample = urls.fit_sample(df, 20).collect()
+    assert Counter(r.label for r in sample) == {0.0: 10, 1.0: 10}
+    assert len({r.url for r in sample}) == 20
+    weights = {r.label: r.weight for r in sample}
+    assert weights == {0.0: 18.0, 1.0: 2.2}
+    whole = {r.url: r.label for r in urls.fit_sample(df, 1000).collect()}
+    assert len(whole) == 202 and whole["u://both"] == whole[None] == 1.0
+
+
+def test_frequent_and_rare_suffixes_get_the_same_rates(spark, monkeypatch):
+    rows = [(f"u://h{i}.d{i % 7}.org", f"h{i}.d{i % 7}.org") for i in range(70)] + [(None, None)] * 30
+    df = spark.createDataFrame(rows, "url string, host string").selectExpr(
+        "*", "concat_ws('.', slice(reverse(split(host, '[.]')), 1, 2)) AS suffix")
+    rates = spark.createDataFrame([(f"org.d{k}", k / 10) for k in range(5)], "suffix string, suffix_rate double")
+    model = urls.UrlModel(rates, 0.25, None)
+    for share in (0, 5, 10_000):  # none, one and all suffixes are broadcast
+        monkeypatch.setattr(urls, "HOT_SHARE", share)
+        got = urls._rated(df, model).collect()
+        assert len(got) == 100
+        for r in got:
+            k = int(r.suffix[-1]) if r.suffix else 9
+            assert r.suffix_rate == (k / 10 if k < 5 else 0.25)
