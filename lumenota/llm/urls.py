@@ -160,15 +160,15 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> UrlModel:
     sample = checkpointed(fit_sample(rows, fit_rows))
     if sample.select("label").distinct().count() < 2:
         return UrlModel(suffixes, float(sample.first()["label"]), None)
-    # the sample is bounded by fit_rows
-    own = F.broadcast(sample.select("url", "suffix", F.col("fold").alias("own_fold")))
-    others = folds.join(own, "suffix").where(F.col("fold") != F.col("own_fold"))
-    others = others.groupBy(F.col("url").alias("__url")).agg(
-        F.sum("n").alias("n"), F.sum("n_blocked").alias("n_blocked")
+    whole = folds.groupBy("suffix").agg(
+        F.sum("n").alias("n_whole"), F.sum("n_blocked").alias("blocked_whole")
     )
-    blocked, n = F.coalesce("n_blocked", F.lit(0.0)), F.coalesce("n", F.lit(0))
-    rated = with_features(sample).join(others, F.col("url").eqNullSafe(F.col("__url")), "left")
-    rated = rated.withColumn("suffix_rate", _drawn(blocked, n, base_rate))
+    others = folds.join(whole, "suffix").select(
+        "suffix", "fold",
+        _drawn(F.col("blocked_whole") - F.col("n_blocked"), F.col("n_whole") - F.col("n"), base_rate)
+        .alias("suffix_rate"),
+    )
+    rated = with_features(sample.drop("suffix")).join(others, ["suffix", "fold"])
     rated = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rated)
     trees = GBTClassifier(
         maxIter=TREES, maxDepth=DEPTH, maxBins=32, stepSize=0.3, seed=SEED, cacheNodeIds=False,
