@@ -67,6 +67,78 @@ def test_bands_reject_fallback_and_long_tokens(spark):
     assert judged[2].kept
 
 
+def test_byte_vocabulary_counts_tokens_and_parts():
+    coder, _ = fertility._byte_vocabulary(fertility.BYTE_VOCABULARY)
+    text = "The quick brown fox 漢字 \U00010348\U00010348 naïve"
+    row = dict(zip(fertility._NAMES, fertility._measure([text.encode()], fertility.VOCABULARY)[0],
+                   strict=True))
+    ids = [i for w in text.split() for i in coder.encode_ordinary(" " + w)]
+    parts = [coder.decode_single_token_bytes(i) for i in ids]
+    assert row["n_byte_tokens"] == len(ids)
+    assert row["n_byte_parts"] == sum(len(p) == 1 and p[0] > 0x7F for p in parts) > 0
+
+
+def plain_bands(rows):
+    """(language or script, length or -1, measure) -> (low, high), by sorting; ``rows`` are judged."""
+    groups, docs = defaultdict(list), Counter()
+    for r, lang in rows:
+        if r.base_failed:
+            continue
+        docs[lang] += 1
+        script = "latin" if r.latin_share >= 0.5 else "other"
+        for key in (("l", lang), ("s", script)):
+            for length in (-1, int(np.log2(max(r.n_tokens, 1)))):
+                for measure, cell in plain_cells(r).items():
+                    groups[key, length, measure].append(cell)
+    common = {lang for lang, n in docs.items() if lang is not None and n * fertility.RARE >= sum(docs.values())}
+    bands = {}
+    for key, cells in groups.items():
+        cells.sort()
+        low, high = (cells[-(-len(cells) * p // 100) - 1] for p in (fertility.LOW, fertility.HIGH))
+        slack = max((high - low) * fertility.SLACK, fertility.LEAST_SLACK[key[2]])
+        bands[key] = (low - slack, high + slack)
+    return bands, common
+
+
+def plain_cells(r):
+    n, b = max(r.n_tokens, 1), max(r.n_byte_tokens, 1)
+    values = {"chars": r.word_chars / n, "chars_bytes": r.word_chars / b,
+              "fallback": max(r.n_fallback / n, r.n_byte_parts / b), "entropy": r.entropy}
+    return {k: int(np.floor(v * 100)) for k, v in values.items()}
+
+
+def test_bands_equal_sorting_and_reject_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(fertility, "RARE", 20)
+    rng = random.Random(8)
+    german = ["straße", "über", "größe", "müßte", "schön", "wäre", "verfügung", "zurück", "während"]
+    rows = [(i, prose(rng, rng.randint(12, 400)), "en", "s", 0) for i in range(150)]
+    rows += [(200 + i, " ".join(rng.choice(german) + rng.choice(["en", "er", "", "heit"]) for _ in range(90)), "de", "s", 0)
+             for i in range(40)]
+    laced = [" ".join(w + "$%&" * rng.randint(1, 2) for w in prose(rng, 120).split()) for _ in range(2)]
+    rows += [(300 + i, text, "en", "s", 0) for i, text in enumerate(laced)]
+    rows += [(310, prose(rng, 80), None, "s", 0), (311, prose(rng, 80), "xx", "s", 0)]
+    langs = {r[0]: r[2] for r in rows}
+    got = fertility.judge_documents(frame(spark, rows).repartition(6)).collect()
+    bands, common = plain_bands([(r, langs[r.doc_id]) for r in got])
+    assert common == {"en", "de"} and len(got) == len(rows)
+    for r in got:
+        lang, script = langs[r.doc_id], "latin" if r.latin_share >= 0.5 else "other"
+        key = ("l", lang) if lang in common else ("s", script)
+        inside = True
+        for measure, cell in plain_cells(r).items():
+            fits = [bands.get((key, n, measure)) for n in (int(np.log2(max(r.n_tokens, 1))), -1)]
+            inside &= any(b and (measure == "fallback" or cell >= b[0]) and cell <= b[1] for b in fits)
+        evenness = r.entropy / np.log2(max(r.n_tokens, 2))
+        limits = fertility.BANDS[script]
+        n = max(r.n_tokens, 1)
+        for value, (low, high) in zip((r.word_chars / n, r.n_fallback / n, evenness), limits.values(), strict=True):
+            inside &= low <= value <= high
+        assert r.in_bands == inside, r
+        assert r.kept == (inside and not r.base_failed)
+    dropped = {r.doc_id for r in got if not r.kept and not r.base_failed}
+    assert dropped >= {300, 301} and len(dropped) <= 5
+
+
 def test_near_duplicates_equal_all_pairs(spark):
     rng = random.Random(4)
     rows = odd_documents()
