@@ -289,21 +289,21 @@ def order_summary(ordered: DataFrame) -> DataFrame:
 
 def field_stats(fields: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per header field the graded cases, invoices, rate and interval (from a ``fields`` struct)."""
+    # Every case has every field, so cases and invoices are counted once for all labels.
+    known = fields.filter(F.col("fields").isNotNull())
+    names = {name: name.replace(".", "__") for name in HEADER_FIELDS}
+    counted = known.groupBy(*by).agg(
+        *[_count_if(F.col(f"fields.{member}")).alias(f"__{member}") for member in names.values()],
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("base_case").alias("invoices"),
+    )
     cells = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("label"),
-                F.col(f"fields.{name.replace('.', '__')}").alias("right"),
-            )
-            for name in HEADER_FIELDS
+            F.struct(F.lit(name).alias("label"), F.col(f"__{member}").alias("correct"))
+            for name, member in names.items()
         ]
     )
-    listed = fields.filter(F.col("fields").isNotNull()).select(*by, "base_case", F.inline(cells))
-    grouped = listed.groupBy(*by, "label").agg(
-        _count_if(F.col("right")).alias("correct"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_distinct("base_case").alias("invoices"),
-    )
+    grouped = counted.filter(F.col("n") > 0).select(*by, F.inline(cells), "n", "invoices")
     return with_rate(grouped, "correct", "n", "invoices")
 
 
