@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenota.functions.identifiers import valid_case_id
 from lumenota.sources.records import typed_invoice
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MANIFEST_SCHEMA = """
 dataset string, dataset_version string, as_of_date string, master_seed bigint,
 quota_sha256 string, ci_subset array<string>,
@@ -149,10 +155,73 @@ def read_policy(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("approval_limit", F.col("approval_limit").try_cast("decimal(18,2)"))
 
 
+#: What Hadoop unpacks by a file's name, and the mark it leaves out at the start of a text.
+PACKED_NAME = r"(?i)\.(gz|bz2|deflate|lz4|snappy|zst)\z"
+BYTE_ORDER_MARK = b"\xef\xbb\xbf"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One digest a file from its lines, which come in order; only the running digests are held.
+
+    Neither the end of the last line nor a mark at the start is among the lines: the file's length tells.
+    """
+
+    def closed() -> pa.RecordBatch:
+        missing = length - seen
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{file}: its lines are {missing} bytes short")
+        digest = digests[missing >= 3]
+        digest.update(b"\n" * (missing % 3))
+        return pa.RecordBatch.from_pydict({"file": [file], "sha256": [digest.hexdigest()]})
+
+    file, length, seen, digests = None, 0, 0, ()
+    for batch in batches:
+        files, lines = batch.column("file"), batch.column("line").to_pylist()
+        starts = [0] if batch.num_rows else []
+        if batch.num_rows and files[0] != files[-1]:
+            names = files.to_pylist()
+            starts += [k for k in range(1, len(names)) if names[k] != names[k - 1]]
+        for first, last in zip(starts, [*starts[1:], batch.num_rows], strict=False):
+            text, name = b"\n".join(lines[first:last]), files[first].as_py()
+            if name == file:
+                text = b"\n" + text
+            else:
+                if file is not None:
+                    yield closed()
+                file, length, seen = name, batch.column("length")[first].as_py(), 0
+                digests = hashlib.sha256(), hashlib.sha256(BYTE_ORDER_MARK)
+            seen += len(text)
+            for digest in digests:
+                digest.update(text)
+    if file is not None:
+        yield closed()
+
+
 def content_hash(spark: SparkSession, path: str) -> DataFrame:
-    """``path, length, sha256`` of every file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """``path, length, sha256`` of every file, of any length.
+
+    The bytes are read as lines, split by split; the lines of a file are put in order in one partition
+    and pass through its digest there. Packed files, which would be unpacked, are read whole.
+    """
+    meta = F.col("_metadata")
+    known = spark.read.format("binaryFile").load(path)
+    files = known.select("path", "length", meta["file_path"].alias("file"))
+    packed = meta["file_path"].rlike(PACKED_NAME)
+    lines = spark.read.format("text").option("lineSep", "\n").load(path).filter(~packed)
+    lines = lines.select(
+        meta["file_path"].alias("file"), meta["file_size"].alias("length"),
+        meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place"),
+        F.col("value").cast("binary").alias("line"),
+    )
+    ordered = lines.repartition("file").sortWithinPartitions("file", "block", "place")
+    hashed = ordered.mapInArrow(_digests, "file string, sha256 string")
+    whole = known.filter(packed).select(
+        meta["file_path"].alias("file"), F.sha2("content", 256).alias("sha256")
+    )
+    # A file without a line has the mark alone; Spark lists no empty files.
+    alone = F.lit(hashlib.sha256(BYTE_ORDER_MARK).hexdigest())
+    joined = files.join(hashed.unionByName(whole), "file", "left")
+    return joined.select("path", "length", F.coalesce("sha256", alone).alias("sha256"))
 
 
 def table_diff(fresh: DataFrame, committed: DataFrame, key: Sequence[str]) -> DataFrame:

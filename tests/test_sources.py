@@ -112,6 +112,31 @@ def test_sinks(spark, tmp_path):
     assert hashed.sha256 == hashlib.sha256(b"abc").hexdigest()
 
 
+def test_files_are_hashed_as_streams_of_any_bytes(spark, tmp_path):
+    import gzip
+    import hashlib
+    import random
+
+    rng, mark = random.Random(7), b"\xef\xbb\xbf"
+    texts = {
+        "end": b"a\n", "open": b"a\r\nb", "blank": b"\n\n", "mark": mark, "marked": mark + b"x\n",
+        "split.parquet": rng.randbytes(300_000), "zeros": bytes(200_000), "packed.gz": gzip.compress(b"abc"),
+    }
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    size, limit = "spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength"
+    before = {key: spark.conf.get(key) for key in (size, limit)}
+    try:
+        spark.conf.set(size, "32k")
+        spark.conf.set(limit, "100000")  # longer files cannot be one row, like those of 2 GiB
+        rows = tables.content_hash(spark, str(tmp_path)).collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    found = {r.path.rsplit("/", 1)[1]: (r.length, r.sha256) for r in rows}
+    assert found == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in texts.items()}
+
+
 def test_only_a_torn_end_is_left_out(spark, tmp_path):
     good, more, torn = '{"case_id":"a","status":"x"}', '{"case_id":"b","status":"y"}', '{"case_id":"c'
     read = lambda name: {r.case_id for r in records.read_records(spark, f"{tmp_path}/{name}").collect()}
