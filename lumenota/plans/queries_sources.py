@@ -13,7 +13,6 @@ from lumenota.operators.rules import validate
 from lumenota.plans import bindings as b
 from lumenota.plans import oracle_sql as q
 from lumenota.plans import queries_rules as rules_sql
-from lumenota.plans.graded import answered_invoices
 from lumenota.plans.registry import query
 from lumenota.session import shared_folder
 from lumenota.sources import nfe, records, sinks, tables
@@ -635,9 +634,10 @@ NESTED_SQL = q.with_ctes(
 
 
 def _whole_invoices(spark, sf):
-    """The answered invoices with their items and installments, nested."""
-    answers = answered_invoices(spark, sf)
-    return ds.nest_invoices(answers.headers, answers.items, answers.installments)
+    """The answered invoices with their items and installments, nested where the three lie by case."""
+    headers = b.answered_headers(b.true_headers(spark, sf))
+    installments = b.flat_installments(b.installment_links(spark, sf), "p")
+    return ds.nest_invoices(headers, b.answered_items(b.item_links(spark, sf)), installments)
 
 
 @query("v_validate_nested", NESTED_SQL)
