@@ -331,22 +331,42 @@ def poisson_thresholds(most: int = 12) -> list[int]:
     return found
 
 
-def _reduced(x: np.ndarray) -> np.ndarray:
-    """``x`` modulo the prime, for 0 <= x < 2**62, by folding."""
-    x = (x & PRIME) + (x >> 31)
-    x = (x & PRIME) + (x >> 31)
-    return np.where(x >= PRIME, x - PRIME, x)
+def _reduce(x: np.ndarray, spare: np.ndarray) -> None:
+    """``x`` modulo the prime in place, for 0 <= x < 2**62, by folding."""
+    for _ in range(2):
+        np.right_shift(x, 31, out=spare)
+        x &= PRIME
+        x += spare
+    np.subtract(x, PRIME, out=x, where=x >= PRIME)
+
+
+#: Resamples whose draws are made together, so that they stay in the processor's cache.
+DRAWS_AT_ONCE = 256
 
 
 def poisson_weights(units: np.ndarray, resamples: int) -> np.ndarray:
     """How often each unit stands in each resample: (resamples, units)."""
-    steps = np.arange(resamples, dtype=np.int64)[:, None] * RESAMPLE_STEP
-    draws = _reduced(_reduced(steps) + units[None, :])
-    for constant in ROUNDS:
-        draws = _reduced(draws * (draws + constant))
-    weights = np.zeros(draws.shape)
-    for threshold in poisson_thresholds():
-        weights += draws >= threshold
+    weights = np.empty((resamples, units.size))
+    thresholds = np.array(poisson_thresholds())
+    often, seldom = thresholds[:4], thresholds[4:]
+    for first in range(0, resamples, DRAWS_AT_ONCE):
+        steps = np.arange(first, min(first + DRAWS_AT_ONCE, resamples), dtype=np.int64)[:, None]
+        steps = steps * RESAMPLE_STEP
+        spare = np.empty_like(steps)
+        _reduce(steps, spare)
+        draws = steps + units[None, :]
+        spare, added = np.empty_like(draws), np.empty_like(draws)
+        _reduce(draws, spare)
+        for constant in ROUNDS:
+            np.add(draws, constant, out=added)
+            draws *= added
+            _reduce(draws, spare)
+        own = weights[first : first + DRAWS_AT_ONCE]
+        np.greater_equal(draws, often[0], out=own)
+        for threshold in often[1:]:
+            own += draws >= threshold
+        rows, columns = np.nonzero(draws >= seldom[0])
+        own[rows, columns] += np.searchsorted(seldom, draws[rows, columns], side="right")
     return weights
 
 
@@ -359,7 +379,7 @@ def bootstrap_sums(
     Each invoice enters a resample with a Poisson(1) count drawn from (seed, resample, invoice), the
     same in every group of ``by``. Every partition multiplies its matrix of draws with its counters,
     a bounded number of units at a time, and gives one sum for each group and resample; only those
-    are shuffled, pre-aggregated. The groups of ``by`` must be few: their sums are held in a task.
+    are shuffled, pre-aggregated. Units come in order, so the draws of one are made once. The groups of ``by`` must be few: their sums are held in a task.
     """
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(unit).cast("string")))
     start = F.conv(F.substring(digest, 1, UNIT_DIGITS), 16, 10).cast("bigint")
@@ -381,14 +401,18 @@ def bootstrap_sums(
             values = np.stack(
                 [np.asarray(batch.column(1 + width + i).fill_null(0)) for i in range(len(names))], 1
             ).astype(float)
+            # Each unit's counters of all groups side by side, so that one product serves them all.
+            dense = np.zeros((units.size, len(kinds), len(names)))
+            np.add.at(dense, (place, kind), values)
+            dense = dense.reshape(units.size, -1)
+            total = np.zeros((resamples, dense.shape[1]))
             for first in range(0, units.size, UNITS_AT_ONCE):
                 weights = poisson_weights(units[first : first + UNITS_AT_ONCE], resamples)
-                near = (place >= first) & (place < first + UNITS_AT_ONCE)
-                for group, k in kinds.items():
-                    at = np.flatnonzero(near & (kind == k))
-                    if at.size:
-                        own = sums.setdefault(group, np.zeros((resamples, len(names)), np.int64))
-                        own += (weights[:, place[at] - first] @ values[at]).round().astype(np.int64)
+                total += weights @ dense[first : first + UNITS_AT_ONCE]
+            counted = total.round().astype(np.int64).reshape(resamples, len(kinds), len(names))
+            for group, k in kinds.items():
+                own = sums.setdefault(group, np.zeros((resamples, len(names)), np.int64))
+                own += counted[:, k]
         for group, own in sums.items():
             listed = [pa.array([value] * resamples, pa.string()) for value in group]
             columns = [pa.array(np.ascontiguousarray(own[:, i])) for i in range(len(names))]
@@ -401,7 +425,8 @@ def bootstrap_sums(
     schema += "".join(f", `{name}` bigint" for name in names)
     kinds_of = dict(vectors.dtypes)
     keys = [F.col(f"__by_{i}").cast(kinds_of[name]).alias(name) for i, name in enumerate(by)]
-    partial = rows.repartition("__unit").mapInArrow(summed, schema)
+    # A unit's rows come together, so its draws are made once.
+    partial = rows.repartition("__unit").sortWithinPartitions("__unit").mapInArrow(summed, schema)
     return partial.groupBy(*keys, "resample").agg(*[F.sum(name).alias(name) for name in names])
 
 

@@ -49,3 +49,19 @@ def test_interval_of_a_known_rate(spark):
     assert row.resamples == 4000
     assert abs(float(row.low) - (0.75 - 1.96 * 0.02165)) < 0.006
     assert abs(float(row.high) - (0.75 + 1.96 * 0.02165)) < 0.006
+
+
+def test_a_units_rows_come_together(spark):
+    """Units in order, each drawn once; before, every batch that held one of its rows drew it again."""
+    df = spark.createDataFrame([("a", "u", 1)], "grp string, base_case string, k int")
+    plan = m.bootstrap_sums(df, ["k"], 20, by=("grp",))._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    at = next(k for k, line in enumerate(lines) if "MapInArrow" in line)
+    assert "Sort [__unit" in lines[at + 1] and "RepartitionByExpression [__unit" in lines[at + 2]
+
+
+def test_every_draw_of_a_unit():
+    for unit in ("u1", "u2"):
+        start = int(md5(f"{m.BOOTSTRAP_SEED}:{unit}".encode()).hexdigest()[: m.UNIT_DIGITS], 16)
+        weights = m.poisson_weights(np.array([start]), 700)[:, 0]
+        assert weights.tolist() == [draw(unit, r) for r in range(700)]
