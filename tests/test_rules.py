@@ -98,3 +98,11 @@ def test_null_installments_block_the_flat_form_too(spark):
     )
     assert [(r.rule_id, r.field) for r in flat.collect()] == [("NULL_VALUE", "installments[0].amount")]
     assert found(spark, row) == [("NULL_VALUE", "installments[0].amount")]
+
+
+def test_truth_tables_are_made_once(spark):
+    """Lines, orders and installments are read from what was written, however many rules ask for them."""
+    from lumenota.plans.queries_rules import truth_gate
+
+    plan = truth_gate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "o_orderkey" not in plan
